@@ -64,6 +64,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """A staged table of narrow rows, marked for broadcast if it has at most most_rows; else the
+    table itself, whose joins are then shuffled."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
     """Arrow batches by size, so that a batch of very long texts still fits a Python worker."""
     ship(spark)

@@ -26,13 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, components, drop_staged, map_batches, mix, partitions, pieces, staged
+from .common import bounded_batches, components, map_batches, mix, partitions, small, staged
 
 U = np.uint64
 SHINGLE, ROWS, BANDS = 5, 8, 40
 COORDINATES = ROWS * BANDS
 UNIVERSE = 1 << 21
-BLOCK = 128
+BLOCK = 512
 #: Five standard deviations of a signature's estimate, below the least similarity.
 SLACK = 5.0
 ODD = (np.arange(1, 2 * SHINGLE, 2, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -82,39 +82,39 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def buckets(sig: np.ndarray) -> np.ndarray:
+    rows = mix(sig.reshape(BANDS, ROWS).astype(np.uint64) + ODD[0] * np.arange(1, ROWS + 1, dtype=np.uint64)).sum(1)
+    return mix(rows + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a and b (fingerprint of the set), bands (bucket of each band) and sig; the last two null for empty sets."""
+    """doc_id, n_shingles, a and b (fingerprint of the set) and bands (the bucket of each band; null for empty sets)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, a, b, bands, sigs = [], [], [], [], []
+        n, a, b, bands = [], [], [], []
         for text in batch.column("text"):
             s = shingles(text.as_py())
             n.append(len(s))
             a.append(int(s.sum().view(np.int64)) if len(s) else 0)
             b.append(int(mix(s ^ U(0xA5A5A5A5)).sum().view(np.int64)) if len(s) else 0)
-            if len(s):
-                sig = signature(s)
-                rows = mix(sig.reshape(BANDS, ROWS).astype(np.uint64) + ODD[0] * np.arange(1, ROWS + 1, dtype=np.uint64)).sum(1)
-                bands.append(mix(rows + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
-                sigs.append(sig.astype("<u2").tobytes())
-            else:
-                bands.append(None)
-                sigs.append(None)
-        columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-        return pa.record_batch(columns, ["doc_id", "n_shingles", "a", "b", "bands", "sig"])
+            bands.append(buckets(signature(s)) if len(s) else None)
+        columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+        return pa.record_batch(columns, ["doc_id", "n_shingles", "a", "b", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return map_batches(rows, run, "doc_id long, n_shingles long, a long, b long, bands array<long>, sig binary")
+    return map_batches(rows, run, "doc_id long, n_shingles long, a long, b long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """node and its set (sorted hashes as bytes) for the given nodes."""
+    """node, its set (sorted hashes as bytes) and signature, for the given nodes."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column("node"), pa.array([shingles(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], ["node", "items"])
+        found = [shingles(t.as_py()) for t in batch.column("text")]
+        sigs = [signature(s).astype("<u2").tobytes() for s in found]
+        return pa.record_batch([batch.column("node"), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(sigs, pa.binary())], ["node", "items", "sig"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
-    return map_batches(texts.join(ids, "node").select("node", "text"), run, "node long, items binary").dropDuplicates(["node"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
+    return map_batches(texts.join(ids, "node").dropDuplicates(["node"]).select("node", "text"), run, "node long, items binary, sig binary")
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -187,20 +187,20 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     all_rows = staged(sketches(docs), "sketches")
     usable = all_rows.where("n_shingles > 0 and doc_id is not null")
     classes = staged(usable.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
-    nodes = usable.join(classes.select(F.col("node").alias("doc_id"), "a", "b"), ["doc_id", "a", "b"]).select(F.col("doc_id").alias("node"), "bands", "sig").dropDuplicates(["node"])
+    nodes = usable.join(classes.select(F.col("node").alias("doc_id"), "a", "b"), ["doc_id", "a", "b"]).dropDuplicates(["doc_id", "a", "b"]).select(F.col("doc_id").alias("node"), "bands")
 
     banded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     full = banded.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("node").alias("head"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("n > 1")
     # equal sets of members need one look: the first band's
     full = full.groupBy("n", "members", "head").agg(F.min(F.struct("band", "bucket")).alias("x")).select("n", "head", "x.band", "x.bucket")
     full = staged(full, "buckets")
-    met = staged(banded.join(full, ["band", "bucket"]).select("node", "head", "band", "bucket", "n"), "members")
+    met = staged(banded.join(small(full), ["band", "bucket"]).select("node", "head", "band", "bucket", "n"), "members")
 
     # the head met in most buckets first
     heads = met.where("node <> head").groupBy("node", "head").agg(F.count("*").alias("times")).groupBy("node").agg(F.max_by("head", F.struct("times", -F.col("head"))).alias("head"))
     heads = staged(heads, "heads")
-    sets = staged(sets_of(docs, met.select("node").distinct()), "sets")
-    pairs = heads.join(sets, "node").join(sets.select(F.col("node").alias("head"), F.col("items").alias("other")), "head")
+    sets = staged(sets_of(docs, small(staged(met.select("node").distinct(), "met-nodes"))), "sets")
+    pairs = heads.join(sets.select("node", "items"), "node").join(sets.select(F.col("node").alias("head"), F.col("items").alias("other")), "head")
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = [linked(np.frombuffer(a.as_py(), U), np.frombuffer(b.as_py(), U), percent) for a, b in zip(batch.column("items"), batch.column("other"))]
@@ -218,7 +218,7 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     block = F.pmod(F.xxhash64("node"), count).cast("int")
     left = left.withColumn("blocks", count).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("node", "grp", "band", "bucket", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    rows = left.join(sets, "node").join(nodes.select("node", "sig"), "node")
+    rows = left.join(sets, "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -250,9 +250,7 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     whole = components(links.union(more), "all-links")
     by_class = classes.join(whole, "node", "left").select("a", "b", F.coalesce("component", "node").alias("component_id"))
     by_class = staged(by_class, "by-class")
-    for t in (sets, met, full, grouped):
-        drop_staged(t)
     kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
-    small = all_rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rest = all_rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = usable.select("doc_id", "n_shingles", "a", "b").join(by_class, ["a", "b"]).select("doc_id", "n_shingles", "component_id")
-    return out.union(small).withColumn("kept", kept)
+    return out.union(rest).withColumn("kept", kept)
