@@ -1,4 +1,6 @@
-"""Registered queries and their SQL."""
+"""Registered queries and, for each, SQL of the same result."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .oracles import ORACLES
+from .queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
