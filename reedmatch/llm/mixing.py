@@ -3,15 +3,17 @@
 A source with n documents and target weight w gets the mean repetition rate total * w / (n * sum
 of w). Each document's count is the inverse of that Poisson distribution at a number hashed from
 its doc_id and the seed, so it doesn't depend on other rows or on partitioning. Documents are
-exploded by their counts and all copies are ordered by a hashed key: a global shuffle.
+exploded by their counts, and all copies are dealt to partitions by ranges of a hashed key and
+ordered by it there: a global shuffle.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import partitions
+from .common import partitions, staged
 
+SALTS = 256
 STEP = 16.0  # a larger mean is drawn as a sum of means up to this
 
 
@@ -63,9 +65,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     rows get the same count each; an empty table stays empty. Extra columns are kept. A source of
     any size is neither grouped nor sorted as one: only its count is shuffled.
     """
-    rate = rates(docs, weights, power, total)
+    rate = staged(rates(docs, weights, power, total), "rates")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    with_rate = docs.withColumn("__source", F.coalesce("source", F.lit(""))).join(rate, "__source")
+    with_rate = docs.withColumn("__source", F.coalesce("source", F.lit("")))
+    if rate.count() <= 1_000_000:  # one narrow row for each source
+        with_rate = with_rate.join(F.broadcast(rate), "__source")
+    else:  # a hot source is dealt over SALTS tasks
+        salted = rate.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        with_rate = with_rate.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["__source", "__salt"]).drop("__salt")
     counted = with_rate.withColumn("n_copies", poisson(F.col("__mean"), key, seed).cast("long")).where("n_copies > 0").drop("__source", "__mean")
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
     keyed = copies.withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), key, F.col("copy_no").cast("string"))), 1, 15), 16, 10).cast("long"))
