@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import staged
+from .common import small, staged
 
 
 @dataclass(frozen=True)
@@ -58,6 +58,10 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return rows.withColumn("end", end).where("kept").select("blob", "kind", "version", (F.col("end") - F.col("size")).alias("start"), "end")
 
 
+#: Rows of the ledger's unseen blobs up to which they are broadcast: about 150 bytes each.
+MOST_BROADCAST = 100_000
+
+
 def update(versions: DataFrame, ledger: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scan what the ledger lacks: rows of `versions` are (path, text), one for each version of a path.
 
@@ -71,12 +75,12 @@ def update(versions: DataFrame, ledger: DataFrame, findings: DataFrame, rules: t
     kinds = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
     wanted = first.select("blob", F.explode(kinds).alias("r")).select("blob", "r.kind", "r.version")
     new = staged(wanted.join(ledger.select("blob", "kind", "version").distinct(), ["blob", "kind", "version"], "left_anti"), "ledger")
-    todo = new.groupBy("blob").agg(F.collect_list("kind").alias("kinds")).join(first, "blob")
+    todo = small(staged(new.groupBy("blob").agg(F.collect_list("kind").alias("kinds")).join(first, "blob"), "unseen"), MOST_BROADCAST)
     texts = versions.select(F.col("path").alias("p"), F.coalesce("text", F.lit("")).alias("text"), blob_id(F.col("text")).alias("b"))
     unseen = texts.join(todo, F.col("p").eqNullSafe(F.col("path")) & (F.col("b") == F.col("blob")))
     gate = F.lit(False)
     for r in rules:
-        gate = gate | F.col("text").rlike(r.gate)
+        gate = gate | (F.array_contains("kinds", r.kind) & F.col("text").rlike(r.gate))  # bound to the unseen pairs
     scanned = unseen.where(gate).select("blob", "text", "kinds").dropDuplicates(["blob"])
     return paths, new, staged(scan_blobs(scanned, rules), "findings")
 
@@ -86,7 +90,7 @@ def spans_by_path(paths: DataFrame, findings: DataFrame, rules: tuple[Rule, ...]
     (start, rank of the kind in the rules, kind, end) in that order; empty without findings."""
     rank = F.coalesce(*(F.when(F.col("kind") == r.kind, F.lit(k)) for k, r in enumerate(rules)))
     by_blob = findings.groupBy("blob").agg(*(F.count_if(F.col("kind") == r.kind).alias(f"n_{r.kind}") for r in rules), F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("spans"))
-    out = paths.join(by_blob, "blob", "left")
+    out = paths.join(small(staged(by_blob, "spans"), MOST_BROADCAST), "blob", "left")  # written, so that a blob with very many paths can be split
     return out.select("path", "blob", *(F.coalesce(f"n_{r.kind}", F.lit(0).cast("long")).alias(f"n_{r.kind}") for r in rules), "spans")
 
 
