@@ -42,7 +42,7 @@ class Merges:
         self.stable: dict[str, bool] = {}
         self.young: dict[str, tuple[int, int, int]] = {}  # states by prefix, and the generation before
         self.old: dict[str, tuple[int, int, int]] = {}
-        self.most = 150_000
+        self.most = 300_000
 
     def _stable(self, end: bool, a: str, b: str) -> bool:
         key = f"{a}\x00{b}" if end else f"{a}\x01{b}"
@@ -66,9 +66,10 @@ class Merges:
                 raise LookupError(s)
         return found[0], found[1], found[-1]
 
-    def counts(self, text: str) -> list[int]:
+    def counts(self, text: str, s: str | None = None) -> list[int]:
         """The count of text[:1], text[:2], ... each taken as a pre-token of its own."""
-        s, starts, counts, closed = spelled(text), [0], [0], []
+        s = spelled(text) if s is None else s
+        starts, counts, closed = [0], [0], []
         young, old = self.young, self.old
         for i in range(1, len(s) + 1):
             prefix = s[:i]
@@ -82,7 +83,7 @@ class Merges:
             closed.append(state[2])
         if len(young) > self.most:
             self.young, self.old = {}, young
-        if len(self.stable) > 300_000:
+        if len(self.stable) > 600_000:
             self.stable.clear()
         if text.isascii():
             return closed
@@ -92,7 +93,7 @@ class Merges:
 class PrefixCounts:
     """Prefix tables of whole texts, with a bounded cache by unit (what stands between single spaces)."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         self.library, self.most = Library(path), most
         if self.library.kind != "word":
             raise ValueError("prefix tables need a word-level byte-pair file whose white space is dropped")
@@ -126,10 +127,11 @@ class PrefixCounts:
             return got
         if len(p) > 1 and p[0] == "'" and p[1].isalpha():  # a contraction; cut short, it is two pre-tokens
             return self._by_library(p)
-        got = self.merges.counts(p)
-        if got[-1] != len(self.library.model.tokenize(spelled(p))):
+        s = spelled(p)
+        got = self.merges.counts(p, s)
+        if got[-1] != len(self.library.model.tokenize(s)):
             got = self._by_library(p)
-        if len(self.pre) > 120_000:
+        if len(self.pre) > 250_000:
             self.pre.clear()
         self.pre[p] = got
         return got
