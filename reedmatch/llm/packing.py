@@ -44,10 +44,17 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def projections(ids: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """One hashed +-1 row for each id: the columns of the projection that its feature meets."""
-    h = mix(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    return np.stack([(h >> np.uint64(7 * k)) & np.uint64(1) for k in range(dimensions)], 1).astype(np.int8) * 2 - 1
+def projected(features: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the hashed +-1 rows of each document's features, a column for each dimension.
+
+    Two dimensions share one 64-bit sum of set bits, 32 bits each; a sum of bits b of n is 2b - n."""
+    h = mix(features + np.uint64(0x9E3779B97F4A7C15))
+    columns = []
+    for k in range(0, DIMENSIONS, 2):
+        low, high = h >> np.uint64(7 * k) & np.uint64(1), h << np.uint64(25 - 7 * k) & np.uint64(1 << 32)
+        bits = np.add.reduceat(low | high, begins)
+        columns += [bits & np.uint64(0xFFFFFFFF), bits >> np.uint64(32)]
+    return 2 * np.stack(columns, 1).astype(np.int64) - sizes[:, None]
 
 
 def curve_keys(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -57,8 +64,7 @@ def curve_keys(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     sums = np.zeros((len(counts), DIMENSIONS))
     filled = counts > 0
     if filled.any():
-        rows = projections(pairs)
-        sums[filled] = np.add.reduceat(rows, (np.cumsum(counts) - counts)[filled], axis=0, dtype=np.int64)
+        sums[filled] = projected(pairs, (np.cumsum(counts) - counts)[filled], counts[filled])
     z = sums / np.sqrt(np.maximum(counts, 1))[:, None]
     cells = np.clip((np.tanh(z / 2) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
     return hilbert_key(cells)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import bounded_batches, map_batches, pieces, ragged
-from .tokens import Fresh, Library, spelled
+from .tokens import Fresh, Library, spelled, zstd
 
 
 class Merges:
@@ -214,18 +214,14 @@ def prefix_counts(path: str) -> PrefixCounts:
 
 
 def stored(table: np.ndarray) -> bytes:
-    import zstandard
-
     steps = np.diff(table, prepend=np.int32(0))
     small = not len(steps) or (steps.min() >= -128 and steps.max() < 128)
-    return (b"\x01" if small else b"\x04") + zstandard.ZstdCompressor(level=1).compress(steps.astype("i1" if small else "<i4").tobytes())
+    return (b"\x01" if small else b"\x04") + zstd()[0].compress(steps.astype("i1" if small else "<i4").tobytes())
 
 
 def loaded(data: bytes) -> np.ndarray:
     """Entry k is the number of tokens of the text's first k characters."""
-    import zstandard
-
-    steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), "i1" if data[:1] == b"\x01" else "<i4")
+    steps = np.frombuffer(zstd()[1].decompress(data[1:]), "i1" if data[:1] == b"\x01" else "<i4")
     return np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
 
 

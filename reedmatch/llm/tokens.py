@@ -187,18 +187,22 @@ def units(path: str) -> Units:
     return Units(path)
 
 
-def packed(ids: np.ndarray) -> bytes:
-    """Ids as little-endian unsigned 16-bit numbers where they fit (one flag byte), compressed."""
+@lru_cache(maxsize=1)
+def zstd():
+    """(compressor, decompressor) of this worker process."""
     import zstandard
 
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def packed(ids: np.ndarray) -> bytes:
+    """Ids as little-endian unsigned 16-bit numbers where they fit (one flag byte), compressed."""
     narrow = not len(ids) or ids.max() < 65536
-    return (b"\x02" if narrow else b"\x04") + zstandard.ZstdCompressor(level=1).compress(ids.astype("<u2" if narrow else "<u4").tobytes())
+    return (b"\x02" if narrow else b"\x04") + zstd()[0].compress(ids.astype("<u2" if narrow else "<u4").tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(data[1:])
+    raw = zstd()[1].decompress(data[1:])
     return np.frombuffer(raw, "<u2" if data[:1] == b"\x02" else "<u4").astype(np.uint32)
 
 
