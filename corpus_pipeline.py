@@ -28,8 +28,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each near-duplicate group."""
-    verdict = minhash.near_components(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    """One document, that with the smallest doc_id, of each group linked at a similarity of 0.8 or more."""
+    verdict = minhash.near_components(docs, percent=80).where("kept").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(COLUMNS)
 
 

@@ -2,7 +2,7 @@
 
 Words are lower-cased (A-Z) and cut at ASCII white space; a document's set holds its distinct
 five-word shingles. One permutation places each shingle, a second one, circularly shifted by k,
-gives coordinate k of the signature: the least shifted value over the set. Eight coordinates make
+gives coordinate k of the signature: the least shifted value over the set. Some coordinates make
 a band; documents that agree in a band meet in a bucket.
 
 1. Documents with equal sets are one class (128-bit fingerprint), so copies never meet as pairs.
@@ -13,8 +13,9 @@ a band; documents that agree in a band meet in a bucket.
    the similarity, until it is known to be connected. Only links that join something are sent on,
    never pairs.
 
-Every link is confirmed on the full sets. With 8 rows and 40 bands a pair at similarity 0.85
-meets in no bucket with probability 3e-6, less above it.
+Every link is confirmed on the full sets. A band has as many coordinates as leave a pair at the
+least similarity without a common bucket with a probability of at most MISS, less above it: 8 for
+a similarity of 0.85 (40 bands, 3e-6), 6 for 0.8 (53 bands, 1e-7).
 """
 
 from __future__ import annotations
@@ -29,8 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import bounded_batches, components, map_batches, mix, partitions, small, staged
 
 U = np.uint64
-SHINGLE, ROWS, BANDS = 5, 8, 40
-COORDINATES = ROWS * BANDS
+SHINGLE, COORDINATES, MISS = 5, 320, 1e-5
 UNIVERSE = 1 << 21
 BLOCK = 512
 #: Five standard deviations of a signature's estimate, below the least similarity.
@@ -82,12 +82,25 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def buckets(sig: np.ndarray) -> np.ndarray:
-    rows = mix(sig.reshape(BANDS, ROWS).astype(np.uint64) + ODD[0] * np.arange(1, ROWS + 1, dtype=np.uint64)).sum(1)
-    return mix(rows + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+def band_rows(percent: int) -> int:
+    """Coordinates of a band: the most by which a pair at this similarity is missed with at most MISS."""
+    fit = (r for r in range(1, COORDINATES + 1) if (1 - (percent / 100) ** r) ** (COORDINATES // r) <= MISS)
+    return max(fit, default=1)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def banded(coordinates: np.ndarray, rows: int) -> np.ndarray:
+    """The last axis cut into (bands, rows); coordinates left over are in no band."""
+    bands = COORDINATES // rows
+    return coordinates[..., : bands * rows].reshape(*coordinates.shape[:-1], bands, rows)
+
+
+def buckets(sig: np.ndarray, rows: int) -> np.ndarray:
+    bands = banded(sig, rows).astype(np.uint64)
+    sums = mix(bands + ODD[0] * np.arange(1, rows + 1, dtype=np.uint64)).sum(1)
+    return mix(sums + np.arange(len(bands), dtype=np.uint64)).view(np.int64)
+
+
+def sketches(docs: DataFrame, band: int) -> DataFrame:
     """doc_id, n_shingles, a and b (fingerprint of the set) and bands (the bucket of each band; null for empty sets)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -97,7 +110,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             n.append(len(s))
             a.append(int(s.sum().view(np.int64)) if len(s) else 0)
             b.append(int(mix(s ^ U(0xA5A5A5A5)).sum().view(np.int64)) if len(s) else 0)
-            bands.append(buckets(signature(s)) if len(s) else None)
+            bands.append(buckets(signature(s), band) if len(s) else None)
         columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
         return pa.record_batch(columns, ["doc_id", "n_shingles", "a", "b", "bands"])
 
@@ -167,7 +180,7 @@ def _compare(band: int, nodes: list[int], groups: list[int], sigs: np.ndarray, i
         rest, same = rest[same.mean(1) >= least], same[same.mean(1) >= least]
         if not len(rest):
             continue
-        first = same.reshape(len(rest), BANDS, ROWS).all(2).argmax(1)  # every pair here shares `band`
+        first = banded(same, band_rows(percent)).all(2).argmax(1)  # every pair here shares `band`
         for j in rest[first == band]:
             if forest.root(i) != forest.root(int(j)) and linked(items[i], items[j], percent):
                 forest.join(i, int(j))
@@ -184,17 +197,17 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    all_rows = staged(sketches(docs), "sketches")
+    all_rows = staged(sketches(docs, band_rows(percent)), "sketches")
     usable = all_rows.where("n_shingles > 0 and doc_id is not null")
     classes = staged(usable.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
     nodes = usable.join(classes.select(F.col("node").alias("doc_id"), "a", "b"), ["doc_id", "a", "b"]).dropDuplicates(["doc_id", "a", "b"]).select(F.col("doc_id").alias("node"), "bands")
 
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    full = banded.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("node").alias("head"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("n > 1")
+    by_band = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    full = by_band.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("node").alias("head"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("n > 1")
     # equal sets of members need one look: the first band's
     full = full.groupBy("n", "members", "head").agg(F.min(F.struct("band", "bucket")).alias("x")).select("n", "head", "x.band", "x.bucket")
     full = staged(full, "buckets")
-    met = staged(banded.join(small(full), ["band", "bucket"]).select("node", "head", "band", "bucket", "n"), "members")
+    met = staged(by_band.join(small(full), ["band", "bucket"]).select("node", "head", "band", "bucket", "n"), "members")
 
     # the head met in most buckets first
     heads = met.where("node <> head").groupBy("node", "head").agg(F.count("*").alias("times")).groupBy("node").agg(F.max_by("head", F.struct("times", -F.col("head"))).alias("head"))

@@ -239,7 +239,13 @@ def test_embedding_components(spark):
     assert len(got) == len(rows) and embedding_dedup.near_components(df.where("false")).count() == 0
 
 
-def test_minhash_components(spark, monkeypatch):
+def test_band_rows():
+    for percent, rows in ((85, 8), (80, 6), (100, minhash.COORDINATES), (1, 1)):
+        assert minhash.band_rows(percent) == rows
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_minhash_components(spark, monkeypatch, percent):
     rng = np.random.default_rng(3)
     words = [f"w{k}" for k in range(500)]
     rows, n = [], 0
@@ -253,13 +259,13 @@ def test_minhash_components(spark, monkeypatch):
             n += 1
     rows += [(900, None), (901, " \n"), (902, "One two"), (903, "one  TWO "), (904, "Ünder"), (905, "ünder"), (906, rows[0][1]), (906, rows[0][1]), (None, rows[0][1])]
     monkeypatch.setattr(minhash, "BLOCK", 2)  # several blocks for each bucket
-    got = {r["doc_id"]: r for r in minhash.near_components(clashing(documents(spark, rows)), 85).collect()}
+    got = {r["doc_id"]: r for r in minhash.near_components(clashing(documents(spark, rows)), percent).collect()}
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     ids = sorted(i for i in sets if i is not None)
-    links = [(a, b) for a in range(len(ids)) for b in range(a) if sets[ids[a]] and sets[ids[b]] and 100 * len(sets[ids[a]] & sets[ids[b]]) >= 85 * len(sets[ids[a]] | sets[ids[b]])]
+    links = [(a, b) for a in range(len(ids)) for b in range(a) if sets[ids[a]] and sets[ids[b]] and 100 * len(sets[ids[a]] & sets[ids[b]]) >= percent * len(sets[ids[a]] | sets[ids[b]])]
     comp = roots(len(ids), links)
     for k, i in enumerate(ids):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[i]), ids[comp[k]], comp[k] == k)
