@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -76,15 +77,29 @@ def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one record batch."""
-    bounded_batches(df.sparkSession)
+def give_back() -> None:
+    """Return freed memory to the system: Spark uses a Python worker again for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, at_end: Callable[[], None] | None = None, megabytes: int = 16) -> DataFrame:
+    """mapInArrow with a function of one record batch; at_end is called when a task has read all.
+
+    Spark reads `megabytes` when the plan runs: the last value set in the session counts."""
+    bounded_batches(df.sparkSession, megabytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = function(batch)
             if out is not None and out.num_rows:
                 yield out
+        batch = out = None
+        if at_end is not None:
+            at_end()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -49,6 +49,11 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def forget() -> None:
+    """Empty the worker's cache of words when a task ends."""
+    _hashes.clear()
+
+
 def shingles(text: bytes | None) -> np.ndarray:
     """The sorted distinct 64-bit shingle hashes of a UTF-8 text; of fewer words, one hash of them all."""
     words = (text or b"").lower().split()  # bytes: lowers A-Z only, cuts at exactly \x20 and \x09-\x0D
@@ -115,7 +120,7 @@ def sketches(docs: DataFrame, band: int) -> DataFrame:
         return pa.record_batch(columns, ["doc_id", "n_shingles", "a", "b", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return map_batches(rows, run, "doc_id long, n_shingles long, a long, b long, bands array<long>")
+    return map_batches(rows, run, "doc_id long, n_shingles long, a long, b long, bands array<long>", at_end=forget)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -127,7 +132,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
         return pa.record_batch([batch.column("node"), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(sigs, pa.binary())], ["node", "items", "sig"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
-    return map_batches(texts.join(ids, "node").dropDuplicates(["node"]).select("node", "text"), run, "node long, items binary, sig binary")
+    return map_batches(texts.join(ids, "node").dropDuplicates(["node"]).select("node", "text"), run, "node long, items binary, sig binary", at_end=forget)
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:

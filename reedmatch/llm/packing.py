@@ -86,7 +86,7 @@ def placed_tokens(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
         key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         return pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(key, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "curve_key", "ids"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_tokens long, curve_key long, ids binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_tokens long, curve_key long, ids binary", megabytes=8)
 
 
 def pack(docs: DataFrame, path: str, end_id: int | None = 2, size: int = 4096) -> DataFrame:
@@ -116,4 +116,5 @@ def pack(docs: DataFrame, path: str, end_id: int | None = 2, size: int = 4096) -
         kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 4
         return pa.record_batch([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "curve_key"])
 
-    return map_batches(placed, cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, curve_key long")
+    # compressed ids grow several times when they are unpacked
+    return map_batches(placed, cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, curve_key long", megabytes=4)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import bounded_batches, map_batches, pieces, ragged
-from .tokens import Fresh, Library, spelled, zstd
+from .tokens import Fresh, Library, read_spec, spelled, zstd
 
 
 class Merges:
@@ -31,8 +31,8 @@ class Merges:
     def __init__(self, library: Library):
         from tokenizers import models
 
-        self.library, self.suffix = library, library.spec["model"].get("end_of_word_suffix") or ""
-        model = library.spec["model"]
+        model = read_spec(library.path)["model"]
+        self.library, self.suffix = library, model.get("end_of_word_suffix") or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.closed_model = library.model
         self.open_model = models.BPE(vocab=model["vocab"], merges=merges) if self.suffix else library.model

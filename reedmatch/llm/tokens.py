@@ -54,6 +54,12 @@ class Fresh(dict):
         return n
 
 
+def read_spec(path: str) -> dict:
+    """A tokenizer file as JSON: read where it is needed and not kept, as its lists of merges are large."""
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
 class Library:
     """The tokenizer file and what of its set-up decides how texts may be split."""
 
@@ -63,17 +69,17 @@ class Library:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as f:
-            self.spec = json.load(f)
+        self.path, spec = path, read_spec(path)
         self.model = self.tokenizer.model
-        self.specials = [t["content"] for t in self.spec["added_tokens"]]
-        self.vocab_size = max([*self.spec["model"]["vocab"].values(), *(t["id"] for t in self.spec["added_tokens"])]) + 1
-        self.kind = self._kind()
+        self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.vocab_size = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1
+        self.kind = self._kind(spec)
         self.pattern = {"byte": BYTE_LEVEL, "word": WORD_LEVEL}.get(self.kind)
 
-    def _kind(self) -> str:
-        pre, norm = self.spec["pre_tokenizer"] or {}, self.spec["normalizer"]
-        if self.spec["model"]["type"] != "BPE" or self.spec["model"].get("dropout") or self.spec["model"].get("ignore_merges"):
+    @staticmethod
+    def _kind(spec: dict) -> str:
+        pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"]
+        if spec["model"]["type"] != "BPE" or spec["model"].get("dropout") or spec["model"].get("ignore_merges"):
             return "other"
         if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             return "byte"
@@ -91,11 +97,11 @@ class Library:
 
     def token_bytes(self) -> list[bytes]:
         """By id, the bytes it stands for (byte-level files only)."""
-        back = {c: b for b, c in ALPHABET.items()}
+        back, spec = {c: b for b, c in ALPHABET.items()}, read_spec(self.path)
         out = [b""] * self.vocab_size
-        for token, i in self.spec["model"]["vocab"].items():
+        for token, i in spec["model"]["vocab"].items():
             out[i] = bytes(back[ord(c)] for c in token) if all(ord(c) in back for c in token) else token.encode()
-        for t in self.spec["added_tokens"]:
+        for t in spec["added_tokens"]:
             out[t["id"]] = t["content"].encode()
         return out
 
