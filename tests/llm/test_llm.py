@@ -273,6 +273,16 @@ def test_minhash_components(spark, monkeypatch, percent):
     assert minhash.near_components(documents(spark, [])).count() == 0
 
 
+def test_minhash_of_repeated_words(spark):
+    rng = np.random.default_rng(11)
+    texts = ["no yes yes no", "yes no no yes", "x y y x c y x x y c", "a b b b a", "b a b a b", " ".join(map("xy".__getitem__, rng.integers(0, 2, 600))), " ".join(map("xyz".__getitem__, rng.integers(0, 3, 3000)))]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    assert [len(minhash.shingles(t.encode())) for t in texts] == [*map(len, sets)]
+    assert minhash.common(*(minhash.shingles(t.encode()) for t in texts[:2])) == 0
+    got = {r["doc_id"]: r for r in minhash.near_components(documents(spark, [*enumerate(texts)])).collect()}
+    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(s), i, True) for i, s in enumerate(sets)}
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (7, 7)], "u long, v long")
     got = dict(map(tuple, common.components(edges, "t").collect()))
