@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Words too common to tell documents apart.
@@ -86,20 +89,34 @@ def packed(found: Column, ceiling: int = CEILING, overlap: int = OVERLAP) -> Col
     return F.aggregate(found, state, step, flushed)
 
 
-# The entities that pages here use, in the order of their replacement.
+# The common entities, in the order of their replacement; a page with any other is unescaped by Python.
 ENTITIES = {"&quot;": '"', "&copy;": "©", "&middot;": "·", "&lt;": "<", "&gt;": ">", "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 
+# What may be another reference than the common ones, also without its semicolon.
+RARE = r"&(?!(?:quot|copy|middot|lt|gt|#39|nbsp|amp);)(?:#[0-9xX]|[A-Za-z])"
+
+
+def unescaped(c: Column, rare: Column) -> Column:
+    """All named, decimal and hex references of HTML 5 replaced, in one pass; only the texts marked as rare go to Python."""
+
+    def whole(texts: pd.Series) -> pd.Series:  # local, so that it travels whole: executors may lack this package
+        return texts.map(html.unescape, na_action="ignore")
+
+    out = c
+    for entity, char in ENTITIES.items():
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return F.when(rare, F.pandas_udf(whole, "string")(F.when(rare, c))).otherwise(out)
+
 
 def html_to_text(c: Column) -> Column:
     """Readable text of a page: scripts and styles go, headings become ``#`` lines, block ends new lines."""
+    rare = F.coalesce(c, F.lit("")).rlike(RARE)  # of the raw page: cutting tags leaves white space, so makes no new reference
     out = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<script.*?</script>|<style.*?</style>", " ")
     for n in range(1, 7):
         out = F.regexp_replace(out, rf"(?i)<h{n}[^>]*>", "\n\n" + "#" * n + " ")
     out = F.regexp_replace(out, r"(?i)<br[^>]*>|</(p|div|li|tr)[^>]*>", "\n")
     out = F.regexp_replace(out, r"<[^>]+>", " ")
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    out = F.regexp_replace(out, r"[ \t]{2,}", " ")
+    out = F.regexp_replace(unescaped(out, rare), r"[ \t]{2,}", " ")
     return stripped(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 
