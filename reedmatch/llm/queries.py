@@ -50,7 +50,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
     nothing = spark.range(0).select(F.lit("").alias("blob"), F.lit("").alias("kind"), F.lit(0).alias("version"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
-    paths, _, findings = secrets.update(versions, nothing.drop("start", "end"), nothing)
+    paths, _, findings = secrets.advanced(versions, nothing.drop("start", "end"), nothing)
     spans = secrets.written(F.col("spans"))
     counts = [f"n_{r.kind}" for r in secrets.RULES]
     return secrets.spans_by_path(paths, findings).select(F.col("path").alias("doc_id"), *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))

@@ -67,7 +67,7 @@ def update(versions: DataFrame, ledger: DataFrame, findings: DataFrame, rules: t
 
     Returns (paths: path and blob for each row of versions, new ledger rows, new findings), all
     staged. Null text is empty; repeated rows and copies share one blob and are scanned once; a
-    null path is kept in `paths`; extra columns are ignored.
+    null path is kept in `paths`; extra columns are ignored. `advanced` adds the earlier findings.
     """
     paths = staged(versions.select("path", blob_id(F.col("text")).alias("blob")), "paths")
     # copies are combined before the shuffle, so a blob with very many paths is no hot key
@@ -85,11 +85,29 @@ def update(versions: DataFrame, ledger: DataFrame, findings: DataFrame, rules: t
     return paths, new, staged(scan_blobs(scanned, rules), "findings")
 
 
+def advanced(versions: DataFrame, ledger: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One whole step: (paths as from `update`, the ledger with its new rows, the findings of the
+    rules' current versions, earlier and new). Earlier findings count if the ledger holds their pair."""
+    paths, new, found = update(versions, ledger, findings, rules)
+    pairs = ledger.select("blob", "kind", "version").distinct()
+    earlier = current(findings, rules).join(pairs, ["blob", "kind", "version"], "left_semi").select("blob", "kind", "version", "start", "end")
+    return paths, pairs.union(new.select("blob", "kind", "version")), earlier.union(found.select("blob", "kind", "version", "start", "end"))
+
+
+def current(findings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Findings of the versions that the rules have now."""
+    now = F.lit(False)
+    for r in rules:
+        now = now | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
+    return findings.where(now)
+
+
 def spans_by_path(paths: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """For each row of paths: its number of findings by kind (n_<kind>) and `spans`, an array of
-    (start, rank of the kind in the rules, kind, end) in that order; empty without findings."""
+    (start, rank of the kind in the rules, kind, end) in that order; empty without findings.
+    Findings of other versions than the rules' are left out."""
     rank = F.coalesce(*(F.when(F.col("kind") == r.kind, F.lit(k)) for k, r in enumerate(rules)))
-    by_blob = findings.groupBy("blob").agg(*(F.count_if(F.col("kind") == r.kind).alias(f"n_{r.kind}") for r in rules), F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("spans"))
+    by_blob = current(findings, rules).groupBy("blob").agg(*(F.count_if(F.col("kind") == r.kind).alias(f"n_{r.kind}") for r in rules), F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("spans"))
     out = paths.join(small(staged(by_blob, "spans"), MOST_BROADCAST), "blob", "left")  # written, so that a blob with very many paths can be split
     return out.select("path", "blob", *(F.coalesce(f"n_{r.kind}", F.lit(0).cast("long")).alias(f"n_{r.kind}") for r in rules), "spans")
 

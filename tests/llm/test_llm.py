@@ -175,6 +175,22 @@ def test_secrets_and_ledger(spark):
     assert {r["kind"] for r in third.collect()} == {"hex"} and {r["version"] for r in rescanned.collect()} == {2}
 
 
+def test_second_scan_keeps_earlier_findings(spark):
+    text, other = "x token=abcdefghijklm 0123456789abcdef0", "AKIA" + "B" * 14
+    spans = lambda rows, found, rules: {r["path"]: ([r["n_assign"], r["n_access"], r["n_hex"]], r["s"]) for r in secrets.spans_by_path(rows, found, rules).withColumn("s", secrets.written(F.col("spans"))).collect()}
+    step = lambda rows, ledger, found, rules=secrets.RULES: secrets.advanced(spark.createDataFrame(rows, "path long, text string"), ledger, found, rules)
+    paths, ledger, found = step([(1, text)], spark.createDataFrame([], secrets.LEDGER), spark.createDataFrame([], secrets.FINDINGS))
+    first = spans(paths, found, secrets.RULES)
+    assert first == {1: ([1, 0, 1], "assign:2:21,hex:22:39")}
+    paths, ledger, found = step([(1, text), (2, text), (3, other)], ledger, found)
+    assert spans(paths, found, secrets.RULES) == {1: first[1], 2: first[1], 3: ([0, 1, 0], "access:0:18")}
+    old = found
+    newer = (*secrets.RULES[:2], secrets.Rule("hex", secrets.RULES[2].pattern, secrets.RULES[2].keep, secrets.RULES[2].gate, version=2))
+    paths, ledger, found = step([(1, text), (2, text)], ledger, found, newer)
+    assert spans(paths, found, newer) == spans(paths, old.union(found.where("version = 2")), newer) == {1: first[1], 2: first[1]}
+    assert ledger.count() == 7 and {(r["kind"], r["version"]) for r in found.collect()} == {("assign", 1), ("access", 1), ("hex", 2)}
+
+
 def brute_statistics(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
