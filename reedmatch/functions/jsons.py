@@ -13,51 +13,54 @@ from pyspark.sql import Column, functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def balanced(text: str, opener: str) -> str | None:
-    """The span from the first opener to its closing partner, strings and escapes observed."""
-    start = text.find(opener)
-    if start < 0:
-        return None
-    closer, depth, quoted, skip = {"{": "}", "[": "]"}[opener], 0, False, False
-    for k in range(start, len(text)):
-        c = text[k]
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        elif c == opener:
-            depth += 1
-        elif c == closer:
-            depth -= 1
-            if not depth:
-                return text[start : k + 1]
-    return None
-
-
-def span(text: str | None) -> str | None:
-    try:
-        json.loads(text or "")
-        return text
-    except ValueError:
-        pass
+def embedded(text: str | None) -> str | None:
+    """The first JSON object inside a text, or else its first array; null if neither can be read."""
+    reader = json.JSONDecoder()
     for opener in "{[":
-        found = balanced(text or "", opener)
-        if found is not None:
+        start = (text or "").find(opener)
+        if start >= 0:
             try:
-                json.loads(found)
-                return found
+                return text[start : reader.raw_decode(text, start)[1]]
             except ValueError:
-                pass
+                continue
     return None
 
 
 def lenient(c: Column) -> Column:
-    """The JSON text inside a reply: itself without code fences, or else its first balanced object or
-    array; null if there is none. Balanced spans are no regular language, so an Arrow function finds them."""
+    """The JSON text inside a reply, code fences aside: its first whole object or array; null if there is
+    none. Only replies that don't begin with a whole object go to Python."""
     bare = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)^\s*```(?:json)?\s*|\s*```\s*$", "")
-    return F.pandas_udf(lambda s: pd.Series([span(t) for t in s], dtype=object), "string")(bare)
+    whole = F.try_parse_json(F.when(bare.startswith("{"), bare))  # reads one value, whatever follows it
+    fine = whole.isNotNull()
+    inside = F.pandas_udf(lambda s: pd.Series([embedded(t) for t in s], dtype=object), "string")
+    return F.when(fine, F.to_json(whole)).otherwise(inside(F.when(~fine, bare)))
+
+
+def entries_of(c: Column, key: str) -> Column:
+    """array<string> of a key of a JSON object, whatever it holds: empty entries go, anything else that
+    isn't a list becomes one entry; objects stay JSON text."""
+    raw = F.get_json_object(c, f"$.{key}")
+    many = F.filter(F.from_json(raw, "array<string>"), lambda x: x.isNotNull() & ~x.isin("", "null", "{}", "[]"))
+    one = F.when(raw.isNull() | raw.isin("", "null", "{}", "[]", "0", "0.0", "false"), F.array().cast("array<string>")).otherwise(F.array(raw))
+    return F.coalesce(F.when(raw.startswith("["), many), one)
+
+
+def reply_text(body: Column) -> Column:
+    """struct<text, error> of a call's response, in either of two known forms: choices with a message,
+    or candidates with parts. Without text, `error` says why."""
+    chosen = F.get_json_object(body, "$.choices[0].message.content")
+    parts = F.from_json(F.get_json_object(body, "$.candidates[0].content.parts"), "array<struct<text:string>>")
+    text = F.btrim(F.coalesce(chosen, F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), ""), F.lit("")), F.lit(" \t\r\n"))
+    blocked, reason = F.get_json_object(body, "$.promptFeedback.blockReason"), F.get_json_object(body, "$.candidates[0].finishReason")
+    none = F.get_json_object(body, "$.candidates[0]").isNull() & chosen.isNull()
+    why = (
+        F.when(text != "", F.lit(None).cast("string"))
+        .when(blocked.isNotNull(), F.concat(F.lit("blocked: "), blocked))
+        .when(none, F.lit("no candidates"))
+        .when(reason == "MAX_TOKENS", F.lit("the whole budget went into tokens before the text"))
+        .otherwise(F.concat(F.lit("empty response"), F.coalesce(F.concat(F.lit(" ("), reason, F.lit(")")), F.lit(""))))
+    )
+    return F.struct(F.nullif(text, F.lit("")).alias("text"), why.alias("error"))
 
 
 def clamped(c: Column) -> Column:
@@ -76,8 +79,9 @@ def strings(c: Column) -> Column:
 
 def retry_delay(header: Column, body: Column) -> Column:
     """Seconds to wait: the header, else the first retryDelay in the body's details, else what the message says, else 0."""
-    detail = F.regexp_extract(body, r'"retryDelay"\s*:\s*"([0-9.]+)s?"', 1)
-    said = F.regexp_extract(body, r"(?i)retry in ([0-9.]+)", 1)
+    details = F.coalesce(F.get_json_object(body, "$.error.details"), F.get_json_object(body, "$.details"), F.lit(""))
+    detail = F.regexp_extract(details, r'"retryDelay"\s*:\s*"([0-9.]+)s?"', 1)
+    said = F.regexp_extract(F.coalesce(F.get_json_object(body, "$.error.message"), body), r"(?i)retry in ([0-9.]+)", 1)
     return F.coalesce(header.try_cast("double"), detail.try_cast("double"), said.try_cast("double"), F.lit(0.0))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -23,6 +24,11 @@ CEILING, OVERLAP = 12_000, 800
 MARK = chr(1)
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once for each row, however often `then` mentions it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def stripped(c: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -49,14 +55,16 @@ def sections(c: Column) -> Column:
     """array<struct<crumb, body>>: one for each heading with its body, a preamble only if it isn't
     blank; without headings the whole text, as it is, with an empty crumb."""
     clean = F.regexp_replace(F.coalesce(c, F.lit("")), MARK, "")
-    parts = F.split(F.regexp_replace(clean, HEADING, MARK + "$0"), MARK, -1)
 
     def section(part: Column, k: Column) -> Column:
         crumb = F.when(k > 0, stripped(F.regexp_extract(part, HEADING, 2))).otherwise("")
         return F.struct(crumb.alias("crumb"), stripped(part).alias("body"))
 
-    many = F.filter(F.transform(parts, section), lambda s: s["body"] != "")
-    return F.when(F.size(parts) == 1, F.array(F.struct(F.lit("").alias("crumb"), clean.alias("body")))).otherwise(many)
+    def found(parts: Column) -> Column:  # without a heading the one part is the whole text
+        many = F.filter(F.transform(parts, section), lambda s: s["body"] != "")
+        return F.when(F.size(parts) == 1, F.array(F.struct(F.lit("").alias("crumb"), F.get(parts, F.lit(0)).alias("body")))).otherwise(many)
+
+    return bound(F.split(F.regexp_replace(clean, HEADING, MARK + "$0"), MARK, -1), found)
 
 
 def slices(body: Column, ceiling: int = CEILING, overlap: int = OVERLAP) -> Column:
@@ -108,6 +116,7 @@ def unescaped(c: Column, rare: Column) -> Column:
     return F.when(rare, F.pandas_udf(whole, "string")(F.when(rare, c))).otherwise(out)
 
 
+# The order of the steps below and what each of them matches.
 def html_to_text(c: Column) -> Column:
     """Readable text of a page: scripts and styles go, headings become ``#`` lines, block ends new lines."""
     rare = F.coalesce(c, F.lit("")).rlike(RARE)  # of the raw page: cutting tags leaves white space, so makes no new reference

@@ -1,19 +1,46 @@
-"""BM25 over a corpus of items (columns: idx, title, text), statistics always after the filter."""
+"""BM25 over a corpus of items (columns: idx, title, text), statistics always after the filter.
+
+`entries` is the index: one row for each item and term, and one with a null term for each item. It
+can be made on the fly, or written once by `write_index` and read by every later ranking.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.text import tokens
+from ..sources.staging import broadcast_if_small, staged
 
 K1, B, TITLE_BOOST = 1.5, 0.75, 1.6
 
 
+def entries(items: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """idx, dl (number of terms, 1 for an item without any), term, tf, in_title, from one pass over the
+    items. Each item has a row with a null term. With `terms` (term), other terms are left out."""
+    cut = items.select("idx", tokens("text").alias("words"), F.array_distinct(tokens("title")).alias("heads"))
+    row = lambda term, n, head: F.struct(term.alias("term"), F.lit(n).alias("n"), F.lit(head).alias("head"))
+    every = F.concat(F.array(row(F.lit(None).cast("string"), 0, False)), F.transform("words", lambda t: row(t, 1, False)), F.transform("heads", lambda t: row(t, 0, True)))
+    rows = cut.select("idx", F.greatest(F.size("words"), F.lit(1)).cast("long").alias("dl"), F.explode(every).alias("e")).select("idx", "dl", "e.*")
+    if terms is not None:
+        wanted = terms.select("term").distinct().withColumn("wanted", F.lit(True))
+        rows = rows.join(broadcast_if_small(wanted), "term", "left").where("term is null or wanted")
+    # terms of an item lie together, so they are counted before the shuffle
+    counted = rows.groupBy("idx", "dl", "term").agg(F.sum("n").cast("long").alias("tf"), F.max("head").alias("in_title"))
+    return counted.where("term is null or tf > 0")
+
+
+def write_index(items: DataFrame, folder: str) -> None:
+    """The index as Parquet, ordered by term, so that a ranking reads the row groups of its terms."""
+    entries(items).repartitionByRange("term").sortWithinPartitions("term", "idx").write.parquet(folder)
+
+
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder)
+
+
 def postings(items: DataFrame) -> DataFrame:
     """idx, term, tf, in_title."""
-    words = items.select("idx", F.explode(tokens("text")).alias("term"), F.lit(1).alias("tf"), F.lit(False).alias("in_title"))
-    titles = items.select("idx", F.explode(F.array_distinct(tokens("title"))).alias("term"), F.lit(0).alias("tf"), F.lit(True).alias("in_title"))
-    return words.union(titles).groupBy("idx", "term").agg(F.sum("tf").alias("tf"), F.max("in_title").alias("in_title")).where("tf > 0")
+    return entries(items).where("term is not null").select("idx", "term", "tf", "in_title")
 
 
 def lengths(items: DataFrame) -> DataFrame:
@@ -21,47 +48,73 @@ def lengths(items: DataFrame) -> DataFrame:
     return items.select("idx", F.greatest(F.size(tokens("text")), F.lit(1)).cast("long").alias("dl"))
 
 
+def statistics(index: DataFrame) -> DataFrame:
+    """One row: n and avg_len, over all items of an index."""
+    return index.where("term is null").agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avg_len"))
+
+
 def corpus(items: DataFrame) -> DataFrame:
     """One row: n and avg_len, over all items."""
     return lengths(items).agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avg_len"))
 
 
-def idf(df, n):
+def idf(df: Column, n: Column) -> Column:
     return F.log(1 + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
 
 def term_idf(items: DataFrame) -> DataFrame:
-    terms = postings(items).groupBy("term").agg(F.count("*").alias("df"))
-    return terms.crossJoin(F.broadcast(corpus(items))).select("term", "df", idf(F.col("df"), F.col("n")).alias("idf"))  # one row
+    """term, df, idf: a term counts once for each item, so nothing but terms is shuffled."""
+    df = items.select(F.explode(F.array_distinct(tokens("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n = items.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))  # one row
+    return df.crossJoin(F.broadcast(n)).select("term", "df", idf(F.col("df"), F.col("n")).alias("idf"))
 
 
-def scores(items: DataFrame, bags: DataFrame) -> DataFrame:
-    """profile, idx, score for items with a term of the bag (profile, term, qw).
+def scores(index: DataFrame, bags: DataFrame) -> DataFrame:
+    """profile, idx, score for the items of an index with a term of a bag (profile, term, qw).
 
-    Only postings of some bag's terms are shuffled by item; document frequencies are counted from the same rows."""
-    wanted = bags.select("term").distinct()
-    hits = postings(items).join(wanted, "term", "left_semi")
+    The index is read several times: it should be staged, or limited to the bags' terms and staged."""
+    hits = index.where("term is not null")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weights = bags.join(df, "term").crossJoin(F.broadcast(corpus(items))).select("profile", "term", "qw", "avg_len", idf(F.col("df"), F.col("n")).alias("w"))
-    rows = hits.join(weights, "term").join(lengths(items), "idx")
+    weights = bags.join(df, "term").crossJoin(F.broadcast(statistics(index)))  # one row
+    weights = weights.select("profile", "term", "qw", "avg_len", idf(F.col("df"), F.col("n")).alias("w"))
     tf = F.col("tf")
     hit = F.col("qw") * F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_len")))
+    rows = hits.join(weights, "term")
     return rows.groupBy("profile", "idx").agg(F.sum(hit * F.when(F.col("in_title"), TITLE_BOOST).otherwise(1.0)).alias("score"))
 
 
-def top(items: DataFrame, bag: DataFrame, width: int) -> DataFrame:
-    """idx, score, rank_no of the best `width` items for one bag (term, qw); ties keep corpus order.
-    width <= 0: all items with score 0; an empty bag: the first `width` items with score 0."""
+def hits_of(items: DataFrame, bags: DataFrame) -> DataFrame:
+    """A staged index of the bags' terms alone: the one pass over the items' texts."""
+    return staged(entries(items, bags), "hits")
+
+
+def hits_in(index: DataFrame, bags: DataFrame) -> DataFrame:
+    """The same from a written index."""
+    wanted = bags.select("term").distinct().withColumn("wanted", F.lit(True))
+    rows = index.join(broadcast_if_small(wanted), "term", "left").where("term is null or wanted")
+    return staged(rows.select("idx", "dl", "term", "tf", "in_title"), "hits")
+
+
+def top(items: DataFrame, bag: DataFrame, width: int, index: DataFrame | None = None) -> DataFrame:
+    """idx and score of the best `width` items for one bag (term, qw); ties keep corpus order.
+    width <= 0: all items with score 0; an empty bag: the first `width` items with score 0.
+
+    The items' texts are read once, when this is called (from `index` if there is one), and only what
+    the bag's terms match is staged."""
     zero = items.select("idx", F.lit(0.0).alias("score"))
     if width <= 0:
         return zero
-    if bag.isEmpty():
-        return zero.orderBy("idx").limit(width)
-    ranked = scores(items, bag.select(F.lit(0).alias("profile"), "term", "qw")).select("idx", F.round("score", 9).alias("score"))
-    return ranked.orderBy(F.desc("score"), "idx").limit(width)
+    bag = bag.select(F.lit(0).alias("profile"), "term", "qw")
+    hits = hits_of(items, bag) if index is None else hits_in(index, bag)
+    ranked = scores(hits, bag).select("idx", F.round("score", 9).alias("score"))
+    empty = bag.agg(F.count("*").alias("n")).where("n = 0").select()  # one row or none
+    first = zero.orderBy("idx").limit(width).crossJoin(F.broadcast(empty))
+    return ranked.union(first).orderBy(F.desc("score"), "idx").limit(width)
 
 
-def top_of_many(items: DataFrame, bags: DataFrame, width: int) -> DataFrame:
+def top_of_many(items: DataFrame, bags: DataFrame, width: int, index: DataFrame | None = None) -> DataFrame:
+    """profile, idx, score, rank_no of the best `width` items for each bag."""
+    hits = hits_of(items, bags) if index is None else hits_in(index, bags)
     order = W.partitionBy("profile").orderBy(F.desc("score"), "idx")
-    ranked = scores(items, bags).withColumn("score", F.round("score", 9)).withColumn("rank_no", F.row_number().over(order))
+    ranked = scores(hits, bags).withColumn("score", F.round("score", 9)).withColumn("rank_no", F.row_number().over(order))
     return ranked.where(F.col("rank_no") <= width)

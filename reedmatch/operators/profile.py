@@ -7,7 +7,9 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.jsons import entries_of
 from ..functions.text import content_key, tokens
+from ..sources.staging import staged
 
 KEYS = ("skills", "domains", "projects", "experience", "interests", "achievements", "constraints")
 FAN_IN = 6
@@ -64,20 +66,52 @@ def fingerprint(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
 
 
+def shaped(c: Column) -> Column:
+    """An extract (JSON text) as struct of KEYS, each array<string>: anything but an object has none,
+    empty entries go, a lone value is one entry, unknown keys are dropped; objects stay JSON text."""
+    return F.struct(*(entries_of(c, k).alias(k) for k in KEYS))
+
+
+def has_content(shape: Column) -> Column:
+    """Whether a shaped extract has an entry under any key."""
+    return F.greatest(*(F.size(shape[k]) for k in KEYS)) > 0
+
+
+def item_fingerprint(item: Column) -> Column:
+    """An entry's name, else its role, else the whole of it, lower-cased and stripped."""
+    named = F.coalesce(*(F.nullif(F.get_json_object(item, f"$.{k}"), F.lit("")) for k in ("name", "role")), item)
+    return fingerprint(F.when(item.startswith("{"), named).otherwise(item))
+
+
 def first_wins(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
     """Of rows with one fingerprint in a group, the first in order; blank ones go."""
-    rows = rows.withColumn("fingerprint", fingerprint(F.col(value))).where("fingerprint <> ''")
+    rows = rows.withColumn("fingerprint", item_fingerprint(F.col(value))).where("fingerprint <> ''")
     return rows.withColumn("nth", F.row_number().over(W.partitionBy(group, "fingerprint").orderBy(*order))).where("nth = 1").drop("nth")
 
 
+def merged(extracts: DataFrame) -> DataFrame:
+    """profile, key, pos, item: the union of extracts (profile, idx, extract as JSON) key by key, in
+    order of idx and place; of entries with one fingerprint the first stays."""
+    shape = extracts.select("profile", "idx", shaped(F.col("extract")).alias("shape")).where(has_content(F.col("shape")))
+    keyed = F.array(*(F.struct(F.lit(k).alias("key"), F.col("shape")[k].alias("items")) for k in KEYS))
+    rows = shape.select("profile", "idx", F.explode(keyed).alias("e")).select("profile", "idx", "e.key", F.posexplode("e.items").alias("at", "item"))
+    rows = rows.withColumn("fingerprint", item_fingerprint(F.col("item"))).where("fingerprint <> ''")
+    # the first of each fingerprint is combined before the shuffle, so a very common one is no hot key
+    kept = rows.groupBy("profile", "key", "fingerprint").agg(F.min(F.struct("idx", "at", "item")).alias("x"))
+    order = W.partitionBy("profile", "key").orderBy("x.idx", "x.at")
+    return kept.select("profile", "key", (F.row_number().over(order) - 1).cast("long").alias("pos"), "x.item")
+
+
 def reduce_layers(n: Column, fan_in: int = FAN_IN) -> Column:
     """Layers of a tree reduction of n pieces; 0 for none or one."""
     return F.when(n <= 1, 0).otherwise(F.size(F.filter(F.sequence(F.lit(0), F.lit(40)), lambda k: F.pow(F.lit(float(fan_in)), k) < n))).cast("long")
 
 
 def tree_reduced(pieces: DataFrame, combine: Callable[[list[str]], str], fallback: Callable[[list[str]], str], fan_in: int = FAN_IN) -> tuple[DataFrame, int]:
-    """One piece from pieces (idx from 0, piece), fan_in of them in each call, in order; a failed call
-    falls back, so no branch is lost. Returns the rows and the number of layers."""
+    """One piece from pieces (idx, piece), fan_in of them in each call, in order; blank pieces go first,
+    and a failed call falls back, so no branch is lost. Returns the rows and the number of layers.
+
+    The pieces of one profile are numbered by one task; each layer is written to the shared folder."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         items = pdf.sort_values("idx")["piece"].tolist()
@@ -87,10 +121,12 @@ def tree_reduced(pieces: DataFrame, combine: Callable[[list[str]], str], fallbac
             out = fallback(items)
         return pd.DataFrame({"idx": [int(pdf["slot"].iloc[0])], "piece": [out]})
 
+    filled = pieces.where(F.coalesce("piece", F.lit("")).rlike(r"(?U)\S"))
+    pieces = staged(filled.select((F.row_number().over(W.orderBy("idx")) - 1).cast("long").alias("idx"), "piece"), "pieces")
     layers, n = 0, pieces.count()
     while n > 1:
         slots = pieces.withColumn("slot", F.floor(F.col("idx") / fan_in).cast("long"))
-        pieces = slots.groupBy("slot").applyInPandas(merge, "idx long, piece string").checkpoint()
+        pieces = staged(slots.groupBy("slot").applyInPandas(merge, "idx long, piece string"), "pieces")
         layers, n = layers + 1, -(-n // fan_in)
     return pieces, layers
 
@@ -109,17 +145,25 @@ def warning(n_units: int, n_failed: int, n_hits: int, first_error: str | None) -
     return None if n_hits else "nothing usable was found in the documents"
 
 
-def rendered(profile: dict, most: int = 6000) -> str:
-    """A profile as labelled lines in a fixed order, cut at `most` characters."""
-    show = {
-        "skills": lambda s: f"{s.get('name')} ({s.get('strength')})",
-        "projects": lambda p: f"{p.get('name')}: {p.get('what')}",
-        "experience": lambda e: f"{e.get('role')} at {e.get('org')}: {e.get('what')}",
-    }
-    lines = []
-    for key in ("skills", "domains", "interests", "projects", "experience", "achievements", "constraints"):
-        values = [show[key](v) if isinstance(v, dict) and key in show else str(v) for v in profile.get(key) or []]
-        if values:
-            lines.append(f"{key.capitalize()}: " + "; ".join(values))
-    text = "\n".join(lines)
-    return text if len(text) <= most else text[:most] + "\n[cut]"
+# The labels and their order.
+LABELS = {"skills": "SKILLS", "domains": "DOMAINS", "interests": "RESEARCH INTERESTS", "projects": "PROJECTS", "experience": "EXPERIENCE", "achievements": "ACHIEVEMENTS", "constraints": "CONSTRAINTS"}
+
+
+def rendered(shape: Column, most: int = 6000) -> Column:
+    """A shaped profile as labelled lines in a fixed order, blank entries left out, cut at `most` characters."""
+
+    def shown(key: str, item: Column) -> Column:
+        part = lambda k: F.coalesce(F.get_json_object(item, f"$.{k}"), F.lit("None"))
+        form = {
+            "skills": lambda: F.concat(part("name"), F.lit(" ("), part("strength"), F.lit(")")),
+            "projects": lambda: F.concat(part("name"), F.lit(" — "), part("what")),
+            "experience": lambda: F.concat(part("role"), F.lit(" at "), part("org"), F.lit(" — "), part("what")),
+        }.get(key)
+        return F.when(item.startswith("{"), form()).otherwise(item) if form else item
+
+    def line(key: str, label: str) -> Column:
+        items = F.filter(F.transform(shape[key], lambda x: shown(key, x)), lambda t: t.rlike(r"(?U)\S"))
+        return F.when(F.size(items) > 0, F.concat(F.lit(f"{label}: "), F.array_join(items, "; ")))
+
+    text = F.concat_ws("\n", *(line(k, label) for k, label in LABELS.items()))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most), F.lit(" …[truncated]")))

@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
-from ..functions.text import ENTITIES, ERROR_CLASSES, STOPWORDS, TOKEN
-
+# Fixed values, written out again, so that a wrong list in the code under test shows.
+TOKEN = r"[a-z][a-z0-9+#.\-]{1,}"
+STOPWORDS = (
+    "aim aims all also and any approach are area areas based between both but can canada canadian data develop "
+    "developing development during each faculty field for from goal goals has have high how including intern "
+    "internship into its large may method methods model models more most new not novel one other our over project "
+    "projects provide research results some student students studies study such supervisor support system systems "
+    "team than that the their them then these they this those two under university use used using was well what "
+    "when where which who why will with within work working"
+).split()
+ENTITIES = {"&quot;": '"', "&copy;": "©", "&middot;": "·", "&lt;": "<", "&gt;": ">", "&#39;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+ERROR_CLASSES = {
+    "rate_limit": r"429|rate.?limit|quota|too many requests",
+    "auth": r"401|403|api key|unauthor|forbidden",
+    "credits": r"402|credit|billing|payment",
+    "bad_model": r"404|model not found|no such model",
+    "bad_output": r"json|parse|unparseable|empty response",
+    "network": r"timeout|timed out|network|connect",
+}
 STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
 
@@ -35,6 +52,11 @@ j as (select idx, pos, (pos // 6)::bigint as batch_no, case when pos // 6 = 7 th
   from cands left join labels l on l.doc_id = idx),
 m as (select row_number() over (order by match_score desc, pos) as rank_no, idx, match_score, batch_no from j where state = 'judged' order by match_score desc, pos limit 20)"""
 
+CALLS = """,
+c as (select idx, score, (row_number() over (order by score desc, idx) - 1)::bigint as pos from best),
+b as (select *, (pos // 6)::bigint as batch_no, first_value(idx) over (partition by pos // 6 order by pos) % 3 = 0 as failed from c),
+j as (select idx, pos, batch_no, case when failed then 'failed' when idx % 5 = 0 then 'omitted' else 'judged' end as state from b)"""
+
 HTML = "regexp_replace(coalesce(html, ''), '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g')"
 for _n in range(1, 7):
     HTML = f"regexp_replace({HTML}, '(?i)<h{_n}[^>]*>', chr(10) || chr(10) || '{'#' * _n} ', 'g')"
@@ -49,6 +71,9 @@ ORACLES = {
     "corpus_stats": f"with {index()} select n, round(avg_len, 6) as avg_len from st",
     "term_idf": f"with {index()} select term, df, round(w, 6) as idf from idf",
     "bm25_topk": f"with {top()} select idx, round(score, 6) as score from best",
+    "bm25_from_index": f"with {top()} select idx, round(score, 6) as score from best",
+    "index_texts": "select doc_id, md5(coalesce(source, '') || ' ' || coalesce(lang, '') || ' ' || coalesce(text, '')) as text_md5 from documents",
+    "redacted_texts": "select doc_id, md5(case when regexp_matches(text, 'sk-[A-Za-z0-9_-]{8,}|AIza[A-Za-z0-9_-]{10,}') then '[redacted]' else text end) as text_md5 from documents",
     "bm25_filtered": f"""with {top("source in ('src0', 'src1', 'src2', 'src3') and lower(coalesce(lang, '')) = 'en'")} select idx, round(score, 6) as score from best""",
     "bm25_title_boost": f"with {index()} select idx, count(*)::bigint as n_title_terms, sum(qw) as title_weight from post join bags using (term) where in_title and profile = 0 group by idx",
     "bm25_multi_profile": f"with {index()}, r as (select profile, idx, score, row_number() over (partition by profile order by score desc, idx) as rank_no from sc) select profile, idx, rank_no, round(score, 6) as score from r where rank_no <= 5",
@@ -67,16 +92,33 @@ select page_id, k::bigint as k, s[k + 1].crumb as crumb, md5(s[k + 1].body) as b
     "cache_antijoin": "with k as (select doc_id, substr(sha1(text), 1, 16) as unit_key from documents) select doc_id, unit_key from k where unit_key not in (select unit_key from k where doc_id % 3 = 0)",
     "usable_documents": r"select doc_id, length(text)::bigint as chars from documents where regexp_matches(text, '\S')",
     "merge_first_wins": "with r as (select conv_id, turn, split_part(text, ' ', 1) as name from conversations) select conv_id, turn, name from r where trim(name) <> '' qualify row_number() over (partition by conv_id, lower(trim(name)) order by turn) = 1",
+    "merged_profiles": """
+with k as (select source as profile, doc_id, ' ' || upper(lang) || '-' || doc_id % 7 as name, lang from documents),
+e as (select profile, 'skills' as key, name as item, doc_id as idx, doc_id as from_idx from k union all select profile, 'domains', lang, doc_id, null from k where lang <> '' union all select profile, 'interests', profile, doc_id, null from k where profile <> ''),
+f as (select profile, key, item, idx, from_idx from e where trim(item) <> '' qualify row_number() over (partition by profile, key, lower(trim(item)) order by idx) = 1)
+select profile, key, (row_number() over (partition by profile, key order by idx) - 1)::bigint as pos, item, from_idx from f""",
     "reduce_layers": "with c as (select conv_id, count(*)::bigint as n from conversations group by 1) select conv_id, n, len(list_filter(generate_series(0, 40), lambda k: n > 1 and pow(6.0, k) < n))::bigint as layers from c",
     "profile_counters": "with r as (select quality, toxic from documents left join labels using (doc_id)), c as (select count(*)::bigint as n_units, count_if(quality = 0)::bigint as n_failed, count_if(quality = 1 and toxic = 0)::bigint as n_hits from r) select *, round_even(100.0 * n_failed / greatest(n_units, 1), 0)::bigint as failed_percent from c",
     "failure_pct": "with c as (select source, count(*)::bigint as n, count_if(quality = 0)::bigint as n_failed from documents join labels using (doc_id) group by 1) select *, round_even(100.0 * n_failed / greatest(n, 1), 0)::bigint as failed_percent from c",
     "judge_batches": f"with {top()} {CANDS} select idx, pos, batch_no, least(length(text), 2200)::bigint as shown_chars from j join items using (idx)",
     "verdict_join": f"with {top()} {CANDS} select idx, batch_no, state, match_score from j",
-    "run_counters": f"with {top()} {CANDS} select count(*)::bigint as n_screened, count_if(state = 'judged')::bigint as n_judged, count(distinct batch_no)::bigint as judge_calls, count_if(state = 'omitted')::bigint as n_dropped from j",
+    "run_counters": f"with {top()} {CANDS} select count(*)::bigint as n_screened, count_if(state = 'judged')::bigint as n_judged, count(distinct batch_no)::bigint as judge_calls, count(distinct case when state = 'failed' then batch_no end)::bigint as n_failed, count_if(state = 'omitted')::bigint as n_dropped, max(case when state = 'failed' then 'call failed' end) as first_error from j",
+    "call_verdicts": f"with {top()} {CALLS} select idx, batch_no, state, case when state = 'judged' then idx * 7 % 101 else 0 end::int as match_score, case when state = 'judged' then 'item ' || idx else '' end as evidence, case when state = 'failed' then 'no answer' else '' end as error from j",
+    "call_counters": f"""with {top()} {CALLS}, n as (select count(*)::bigint as n_screened, count_if(state = 'judged')::bigint as n_judged, count(distinct batch_no)::bigint as judge_calls,
+  count(distinct case when state = 'failed' then batch_no end)::bigint as n_failed, count_if(state = 'omitted')::bigint as n_dropped, max(case when state = 'failed' then 'no answer' end) as first_error from j)
+select *, case when n_failed > 0 then n_failed || ' of ' || judge_calls || ' calls (' || round_even(100.0 * n_failed / judge_calls, 0)::bigint || '%) failed: ' || first_error
+  when n_screened = 0 then 'there is nothing to judge' when n_judged = 0 then 'no item could be judged' end as warning from n""",
     "score_clamp": "select event_id, case when event_id % 5 = 0 then 0 when event_id % 7 = 0 then 100 else trunc(greatest(0.0, least(100.0, round(value - 50, 2))))::int end::int as score from events",
     "json_fields": "select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k from events",
     "match_pipeline": f"with {top()} {CANDS} select rank_no, idx, match_score, batch_no from m",
     "export_markdown": f"with {top()} {CANDS} select rank_no, '## ' || rank_no || '. [' || match_score || '] ' || title || chr(10) || chr(10) || source || chr(10) || chr(10) || '**Evidence**' || chr(10) || '- by label' || chr(10) as markdown from m join (select doc_id as idx, split_part(text, chr(10), 1) as title, source from documents) using (idx)",
+    "match_views": f"with {top()} {CANDS} select rank_no, match_score as score, idx::varchar as id, title, (select count(*) from j where state = 'judged')::bigint as judged, (select count(distinct batch_no) from j where state = 'failed')::bigint as failed from m join items using (idx)",
+    "export_report": f"""with {top()} {CANDS}, n as (select count(*) as n_screened, count(distinct batch_no) as calls, count(distinct case when state = 'failed' then batch_no end) as n_failed from j),
+t as (select string_agg(chr(10) || '## ' || rank_no || '. [' || match_score || '] ' || title || chr(10) || chr(10) || source || ' · starts 2024' || chr(10) || chr(10) || '**Gaps**' || chr(10) || '- by label' || chr(10), '' order by rank_no) as body, count(*) as n
+  from m join (select doc_id as idx, split_part(text, chr(10), 1) as title, source from documents) using (idx))
+select '# Matches' || chr(10) || chr(10) || '*' || n || ' items, ranked. Read ' || n_screened || ' of 1000 · by label.*' || chr(10)
+  || case when n_failed > 0 then chr(10) || '> ' || n_failed || ' of ' || calls || ' calls (' || round_even(100.0 * n_failed / calls, 0)::bigint || '%) failed: call failed' || chr(10) else '' end
+  || chr(10) || '> Search the title.' || chr(10) || body as markdown from t, n where n > 0""",
     "facets": "select distinct source from documents where source <> ''",
     "source_counts": "select source, count(*)::bigint as n, sum(length(text))::bigint as total_chars from documents group by 1",
     "error_classes": "with m as (select (['429 Too Many Requests', 'invalid API key', 'billing required', 'model not found', 'could not parse JSON', 'connect timeout', 'oops', 'quota exceeded'])[event_id % 8 + 1] as msg from events) select case "

@@ -6,10 +6,20 @@ profiles (each a bag of its terms), labels the verdicts of a deterministic judge
 
 from __future__ import annotations
 
+import json
+import re
+import sys
+import uuid
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import jsons, text as tx
 from ..operators import bm25, judge, profile
+from ..sources.staging import shared_folder, staged
+
+#: Executors may lack this package: its functions travel whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WIDTH, TOP = 60, 20
 
@@ -55,13 +65,27 @@ def bm25_topk(s, d):
     return ranked(bm25.top(items(s, d), bag(s, d), WIDTH))
 
 
+def bm25_from_index(s, d):
+    folder = f"{shared_folder(s)}/index-{uuid.uuid4().hex}"
+    bm25.write_index(items(s, d), folder)
+    return ranked(bm25.top(items(s, d), bag(s, d), WIDTH, bm25.read_index(s, folder)))
+
+
+def index_texts(s, d):
+    return load(s, d, "documents").select("doc_id", F.md5(tx.index_text("source", "lang", "text")).alias("text_md5"))
+
+
+def redacted_texts(s, d):
+    return load(s, d, "documents").select("doc_id", F.md5(tx.redacted(F.col("text"))).alias("text_md5"))
+
+
 def bm25_filtered(s, d):
     pool = items(s, d).where(F.col("source").isin("src0", "src1", "src2", "src3") & (F.lower(F.coalesce("lang", F.lit(""))) == "en"))
     return ranked(bm25.top(pool, bag(s, d), WIDTH))
 
 
 def bm25_title_boost(s, d):
-    both = bm25.postings(items(s, d)).where("in_title").join(bag(s, d), "term")
+    both = bm25.entries(items(s, d), bag(s, d)).where("in_title").join(bag(s, d), "term")
     return both.groupBy("idx").agg(F.count("*").alias("n_title_terms"), F.sum("qw").alias("title_weight"))
 
 
@@ -88,7 +112,8 @@ def html_to_text(s, d):
 
 
 def html_sections(s, d):
-    rows = load(s, d, "pages").select("page_id", F.posexplode(tx.sections(tx.html_to_text(F.col("html")))).alias("k", "x"))
+    texts = load(s, d, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
+    rows = texts.select("page_id", F.posexplode(tx.sections(F.col("text"))).alias("k", "x"))
     return rows.select("page_id", F.col("k").cast("long").alias("k"), "x.crumb", F.md5("x.body").alias("body_md5"))
 
 
@@ -98,7 +123,8 @@ def passages_hard_split(s, d):
 
 
 def passages_packed(s, d):
-    pages = load(s, d, "pages").select("page_id", "url", tx.packed(tx.sections(tx.html_to_text(F.col("html"))), 1500, 200).alias("parts"))
+    texts = load(s, d, "pages").select("page_id", "url", tx.html_to_text(F.col("html")).alias("text"))
+    pages = texts.select("page_id", "url", tx.packed(tx.sections(F.col("text")), 1500, 200).alias("parts"))
     rows = pages.select("page_id", "url", F.size("parts").alias("total"), F.posexplode("parts").alias("k", "p"))
     anchor = F.when(F.col("total") == 1, F.col("url")).otherwise(F.concat("url", F.lit(" — part "), F.col("k") + 1, F.lit("/"), "total"))
     return rows.select(F.concat(F.lit("doc:"), "page_id", F.lit("#"), "k").alias("id"), F.col("page_id").alias("source_id"), anchor.alias("source_anchor"), F.coalesce(F.nullif("p.crumb", F.lit("")), "url").alias("breadcrumb"), "p.text")
@@ -123,6 +149,14 @@ def merge_first_wins(s, d):
     return profile.first_wins(rows, "conv_id", ["turn"], "name").select("conv_id", "turn", "name")
 
 
+def merged_profiles(s, d):
+    """The union of each source's extracts: one for each document, with a skill, a domain and a lone interest."""
+    name = F.concat(F.lit(" "), F.upper("lang"), F.lit("-"), (F.col("doc_id") % 7).cast("string"))
+    made = F.to_json(F.struct(F.array(F.struct(name.alias("name"), F.col("doc_id").alias("strength"))).alias("skills"), F.array(F.col("lang"), F.lit("")).alias("domains"), F.col("source").alias("interests")))
+    rows = load(s, d, "documents").select(F.col("source").alias("profile"), F.col("doc_id").alias("idx"), made.alias("extract"))
+    return profile.merged(rows).select("profile", "key", "pos", F.coalesce(F.get_json_object("item", "$.name"), "item").alias("item"), F.get_json_object("item", "$.strength").try_cast("long").alias("from_idx"))
+
+
 def reduce_layers(s, d):
     n = load(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
     return n.select("conv_id", "n", profile.reduce_layers(F.col("n")).alias("layers"))
@@ -141,8 +175,9 @@ def failure_pct(s, d):
 
 
 def candidates(s, d):
+    """The best items in batches, staged: every later step reads these few rows."""
     best = bm25.top(items(s, d), bag(s, d), WIDTH)
-    return judge.batched(best, [F.desc("score"), F.col("idx")]).withColumn("id", F.col("idx").cast("string"))
+    return staged(judge.batched(best, [F.desc("score"), F.col("idx")]).withColumn("id", F.col("idx").cast("string")), "candidates")
 
 
 def judge_batches(s, d):
@@ -175,6 +210,29 @@ def run_counters(s, d):
     return judge.counters(judged(s, d))
 
 
+def scored_by_id(request: str) -> str:
+    """A judge without a model: scores ids, leaves out every fifth, and fails for a batch whose first id is a multiple of 3."""
+    ids = [int(x) for x in re.findall(r'"id":"(\d+)"', request)]
+    if ids[0] % 3 == 0:
+        raise RuntimeError("no answer")
+    return "Here you are: " + json.dumps({"verdicts": [{"projectId": str(i), "score": i * 7 % 101, "evidence": [f"item {i}"]} for i in ids if i % 5]})
+
+
+def judged_by_call(s, d):
+    cands = candidates(s, d)
+    shown = judge.item_json(F.col("title"), F.col("text"), F.col("source"), F.col("lang"), F.col("id"))
+    rows = cands.join(items(s, d).select("idx", "title", "text", "source", "lang"), "idx").select("batch_no", "pos", shown.alias("item"))
+    return judge.joined(cands, staged(judge.called(judge.requests(rows, "a profile"), scored_by_id), "replies"))
+
+
+def call_verdicts(s, d):
+    return judged_by_call(s, d).select("idx", "batch_no", "state", "match_score", F.array_join("evidence", ",").alias("evidence"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+def call_counters(s, d):
+    return judge.warned(judge.counters(judged_by_call(s, d)))
+
+
 def score_clamp(s, d):
     e = load(s, d, "events")
     raw = F.when(F.col("event_id") % 5 == 0, F.lit("n/a")).when(F.col("event_id") % 7 == 0, "1e12").otherwise(F.round(F.col("value") - 50, 2).cast("string"))
@@ -195,6 +253,21 @@ def export_markdown(s, d):
     return best.select(F.col("rank_no").cast("long").alias("rank_no"), judge.markdown(F.col("rank_no"), F.col("match_score"), F.col("title"), F.col("source"), F.array(F.col("rationale")), F.array().cast("array<string>")).alias("markdown"))
 
 
+def match_views(s, d):
+    rows = staged(judged(s, d), "judged")
+    best = judge.ranked(rows, TOP).join(items(s, d).select("idx", "title"), "idx")
+    views = judge.match_view(best, judge.counters(rows), F.struct(F.col("id"), F.col("title")), 1000)
+    part = lambda path: F.get_json_object("view", path)
+    return views.select(F.col("rank_no").cast("long").alias("rank_no"), part("$.score").cast("int").alias("score"), part("$.project.id").alias("id"), part("$.project.title").alias("title"), part("$.stats.judged").cast("long").alias("judged"), part("$.stats.failedJudge").cast("long").alias("failed"))
+
+
+def export_report(s, d):
+    rows = staged(judged(s, d), "judged")
+    best = judge.ranked(rows, TOP).join(items(s, d).select("idx", "title", "source"), "idx")
+    parts = best.select("rank_no", judge.markdown(F.col("rank_no"), F.col("match_score"), F.col("title"), F.col("source"), "evidence", F.array(F.col("rationale")), F.lit("2024")).alias("markdown"))
+    return judge.export(parts, judge.counters(rows), 1000, "by label", "Search the title.")
+
+
 def facets(s, d):
     return load(s, d, "documents").where("source <> ''").select("source").distinct()
 
@@ -214,9 +287,10 @@ def error_classes(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_tf, doc_lengths, corpus_stats, term_idf, bm25_topk, bm25_filtered, bm25_title_boost, bm25_multi_profile, bm25_width_zero, bm25_empty_bag,
-        query_bag_weighted, html_to_text, html_sections, passages_hard_split, passages_packed, content_keys, cache_antijoin, usable_documents, merge_first_wins,
-        reduce_layers, profile_counters, failure_pct, judge_batches, verdict_join, run_counters, score_clamp, json_fields, match_pipeline, export_markdown,
+        tokenize_tf, doc_lengths, corpus_stats, term_idf, bm25_topk, bm25_from_index, index_texts, redacted_texts, bm25_filtered, bm25_title_boost, bm25_multi_profile, bm25_width_zero, bm25_empty_bag,
+        query_bag_weighted, html_to_text, html_sections, passages_hard_split, passages_packed, content_keys, cache_antijoin, usable_documents, merge_first_wins, merged_profiles,
+        reduce_layers, profile_counters, failure_pct, judge_batches, verdict_join, run_counters, call_verdicts, call_counters, score_clamp, json_fields,
+        match_pipeline, export_markdown, match_views, export_report,
         facets, source_counts, error_classes,
     )
 }

@@ -1,6 +1,9 @@
+import gzip
+import html
 import json
 import math
 import re
+import zipfile
 from collections import Counter
 
 import pytest
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from reedmatch.functions import jsons, text as tx
 from reedmatch.operators import bm25, judge, profile
+from reedmatch.plans import queries
 from reedmatch.sources import ingest
 
 
@@ -101,32 +105,61 @@ def test_slices_refuse_a_ceiling_below_the_overlap():
 
 def test_html(spark):
     page = "<html><style>p{}</style><h2 class=a>A &amp; B</h2><p>one<br>two</p><script>x<1</script><ul><li>three</li></ul></html>"
-    assert one(spark, tx.html_to_text, page) == [ingest.page(page.encode(), "t")]
+    assert one(spark, tx.html_to_text, page) == ["## A & B one\ntwo\n three"]
 
 
-ENTITY_PAGES = [
-    "<h1>Caf&eacute; &mdash; na&#239;ve</h1><p>it&#8217;s &#x27;so&#X27; &hellip;</p>",
-    "<p>&amp;eacute; &amp;amp;lt; &amp;#8217;</p>",  # one pass
-    "<p>AT&T &copy2024 &notit; &nosuch; &#0; &#xD800; &#99999999; R&D &nbsp;x&NBSP;</p>",
-    "<p>&quot;&lt;b&gt;&amp;&copy;&middot;&#39;&quot;</p>",
-    "<p>a&nbsp;b &Auml;&NotEqualTilde;</p><a href='?x=1&y=2'>&am<b>p;</b></a>",
-    "<h2>&Uuml;ber</h2><p>one &euro;5</p>\n<h2>Zwei &ndash;</h2><p>two &#10;&#10;&#10;&#10; x</p>",
-]
+#: Pages, and what is left of them before references are replaced.
+ENTITY_PAGES = {
+    "<h1>Caf&eacute; &mdash; na&#239;ve</h1><p>it&#8217;s &#x27;so&#X27; &hellip;</p>": "# Caf&eacute; &mdash; na&#239;ve it&#8217;s &#x27;so&#X27; &hellip;",
+    "<p>&amp;eacute; &amp;amp;lt; &amp;#8217;</p>": "&amp;eacute; &amp;amp;lt; &amp;#8217;",  # one pass
+    "<p>AT&T &copy2024 &notit; &nosuch; &#0; &#xD800; &#99999999; R&D &nbsp;x&NBSP;</p>": "AT&T &copy2024 &notit; &nosuch; &#0; &#xD800; &#99999999; R&D &nbsp;x&NBSP;",
+    "<p>&quot;&lt;b&gt;&amp;&copy;&middot;&#39;&quot;</p>": "&quot;&lt;b&gt;&amp;&copy;&middot;&#39;&quot;",
+    "<p>a&nbsp;b &Auml;&NotEqualTilde;</p><a href='?x=1&y=2'>&am<b>p;</b></a>": "a&nbsp;b &Auml;&NotEqualTilde;\n &am p;",
+    "<h2>&Uuml;ber</h2><p>one &euro;5</p>\n<h2>Zwei &ndash;</h2><p>two &#10;&#10; x</p>": "## &Uuml;ber one &euro;5\n\n## Zwei &ndash; two &#10;&#10; x",
+}
 
 
 def test_every_entity(spark):
-    want = [ingest.page(p.encode(), "t") for p in ENTITY_PAGES]
+    want = [html.unescape(t) for t in ENTITY_PAGES.values()]
     assert one(spark, tx.html_to_text, *ENTITY_PAGES, None, "") == [*want, "", ""]
     got = one(spark, lambda c: tx.packed(tx.sections(tx.html_to_text(c)), 20, 5), *ENTITY_PAGES)
     assert [[tuple(p) for p in g] for g in got] == [model_packed(t, 20, 5) for t in want]
 
 
+def test_registered_passages(spark):
+    rows = [("p1", "<h1>One</h1><p>" + "alpha " * 300 + "</p><h2>Two</h2><p>beta</p>"), ("p2", "<p>plain &amp; short</p>"), ("p3", "<script>x</script>"), ("p4", "<h1>A</h1><p>" + "word " * 120 + "</p><h1>B</h1>" + "x " * 500)]
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(rows)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    got = {r["id"]: tuple(r)[1:] for r in queries.passages_packed(spark, folder).collect()}
+    texts = one(spark, tx.html_to_text, *(h for _, h in rows))
+    want = {}
+    for k, ((url, _), text) in enumerate(zip(rows, texts)):
+        parts = model_packed(text, 1500, 200)
+        for i, (crumb, body) in enumerate(parts):
+            want[f"doc:{k}#{i}"] = (k, url if len(parts) == 1 else f"{url} — part {i + 1}/{len(parts)}", crumb or url, body)
+    assert got == want and len(want) > 5
+
+
 def test_lenient_json(spark):
     values = ['{"a": 1}', '```json\n{"a": 1}\n```', 'Sure: {"a": "}"} done', "[1, 2] tail", "nothing", None]
     got = one(spark, jsons.lenient, *values)
     assert [json.loads(g) if g else None for g in got] == [{"a": 1}, {"a": 1}, {"a": "}"}, [1, 2], None, None]
 
 
+def test_lenient_json_leaves_whole_replies_to_spark(spark):
+    values = ['{"a": {"b": [1]}} {"c": 2}', 'x [1 {"a": 1}', '{"a": "\\"}"} tail', "{broken [3]", "", '```\n[1]\n```']
+    got = one(spark, jsons.lenient, *values)
+    assert [json.loads(g) if g else None for g in got] == [{"a": {"b": [1]}}, {"a": 1}, {"a": '"}'}, [3], None, [1]]
+
+
+def test_reply_text(spark):
+    bodies = ['{"choices": [{"message": {"content": " hi \\n"}}]}', '{"candidates": [{"content": {"parts": [{"text": "a"}, {"x": 1}, {"text": "b"}]}}]}', '{"promptFeedback": {"blockReason": "SAFETY"}}', "{}", '{"candidates": [{"finishReason": "MAX_TOKENS"}]}', '{"candidates": [{"finishReason": "OTHER"}]}']
+    got = [tuple(r) for r in one(spark, jsons.reply_text, *bodies)]
+    assert got == [("hi", None), ("ab", None), (None, "blocked: SAFETY"), (None, "no candidates"), (None, "the whole budget went into tokens before the text"), (None, "empty response (OTHER)")]
+
+
 def test_clamp(spark):
     assert one(spark, jsons.clamped, "87.9", "-3", "1e12", "inf", "nan", "x", None, "true") == [87, 0, 100, 100, 0, 0, 0, 1]
 
@@ -151,6 +184,72 @@ def test_verdicts_are_joined_and_counted(spark):
     assert [(r["id"], r["rank_no"]) for r in judge.ranked(rows).collect()] == [("a", 1)]
 
 
+def test_calls_are_made_by_batch_and_counted(spark):
+    cands = spark.createDataFrame([(i // 6, str(i), i) for i in range(20)], "batch_no long, id string, pos long")
+    item = judge.item_json(F.concat(F.lit("t"), F.col("id")), F.lit("d"), F.lit(None).cast("string"), F.lit(""), F.col("id"), F.lit("area"))
+    asked = judge.requests(cands.withColumn("item", item), "PROFILE TEXT")
+    first = asked.where("batch_no = 0").first()["request"]
+    assert "PROFILE TEXT" in first and [m for m in re.findall(r'"id":"(\d+)"', first)] == list("012345") and '"description":"d area"' in first and "skills" not in first
+
+    def call(text):
+        ids = re.findall(r'"id":"(\d+)"', text)
+        if "7" in ids:
+            raise RuntimeError("busy")
+        return json.dumps({"verdicts": [{"projectId": i, "score": 50} for i in ids[:-1]] + [{"projectId": "ghost", "score": 1}]})
+
+    rows = judge.joined(cands, judge.called(asked, call, 2))
+    counts = judge.warned(judge.counters(rows)).first()
+    assert tuple(counts) == (20, 11, 4, 1, 3, "busy", "1 of 4 calls (25%) failed: busy")
+    nothing = judge.warned(judge.counters(rows.where("false"))).first()
+    assert nothing["warning"] == "there is nothing to judge"
+    assert judge.export(rows.where("false").select(F.lit(1).alias("rank_no"), F.lit("").alias("markdown")), judge.counters(rows), 20, "x").count() == 0
+
+
+def test_extracts_are_shaped_and_merged(spark):
+    values = ['{"skills": [{"name": "Rust"}, "go", null, "", {}], "domains": "one", "interests": 0, "other": [1]}', "[1]", "nonsense", "{}"]
+    got = one(spark, profile.shaped, *values)
+    assert [json.loads(x) if x[:1] == "{" else x for x in got[0]["skills"]] == [{"name": "Rust"}, "go"] and got[0]["domains"] == ["one"] and got[0]["interests"] == []
+    assert one(spark, lambda c: profile.has_content(profile.shaped(c)), *values) == [True, False, False, False]
+    rows = [("p", 1, '{"skills": ["RUST ", {"name": "go", "strength": "used"}], "experience": [{"role": "dev"}]}'), ("p", 0, '{"skills": [{"name": "rust"}, " "], "domains": ["x"]}'), ("q", 5, '{"skills": ["rust"]}')]
+    out = profile.merged(spark.createDataFrame(rows, "profile string, idx long, extract string"))
+    assert sorted((r["profile"], r["key"], r["pos"], r["item"]) for r in out.collect()) == [("p", "domains", 0, "x"), ("p", "experience", 0, '{"role":"dev"}'), ("p", "skills", 0, '{"name":"rust"}'), ("p", "skills", 1, '{"name":"go","strength":"used"}'), ("q", "skills", 0, "rust")]
+
+
+def test_rendered_profile(spark):
+    text = '{"skills": [{"name": "rust", "strength": "used"}, "go"], "projects": [{"name": "x", "what": "y"}], "experience": [{"role": "dev", "org": "o"}], "interests": [" ", "i"], "constraints": "c"}'
+    got = one(spark, lambda c: profile.rendered(profile.shaped(c)), text, "{}")
+    assert got == ["SKILLS: rust (used); go\nRESEARCH INTERESTS: i\nPROJECTS: x — y\nEXPERIENCE: dev at o — None\nCONSTRAINTS: c", ""]
+    assert one(spark, lambda c: profile.rendered(profile.shaped(c), 10), text) == ["SKILLS: ru …[truncated]"]
+
+
+def test_written_index_ranks_alike(spark, tmp_path):
+    bags = spark.createDataFrame([("grammar", 2.0), ("rust", 1.0), ("absent", 5.0)], "term string, qw double")
+    bm25.write_index(items(spark, CORPUS), str(tmp_path / "index"))
+    index = bm25.read_index(spark, str(tmp_path / "index"))
+    assert bm25.top(items(spark, CORPUS), bags, 10, index).collect() == bm25.top(items(spark, CORPUS), bags, 10).collect() != []
+    assert tuple(bm25.statistics(index).first()) == tuple(bm25.corpus(items(spark, CORPUS)).first())
+
+
+def test_one_read_of_the_corpus(spark, tmp_path):
+    items(spark, CORPUS).write.parquet(str(tmp_path / "items"))
+    rows = spark.read.parquet(str(tmp_path / "items"))
+    bags = spark.createDataFrame([("grammar", 1.0)], "term string, qw double")
+    plan = bm25.top(rows, bags, 3)._jdf.queryExecution().executedPlan().toString()
+    assert all("text" not in line for line in plan.splitlines() if "FileScan" in line and str(tmp_path / "items") in line)
+
+
+def test_redaction(spark):
+    assert one(spark, tx.redacted, "key sk-abcdefgh1", "AIza0123456789", "sk-short", None) == ["[redacted]", "[redacted]", "sk-short", None]
+
+
+def test_blank_pieces_go_before_a_reduction(spark):
+    rows = spark.createDataFrame([(0, "a"), (1, " "), (2, None), (3, "b")], "idx long, piece string")
+    out, layers = profile.tree_reduced(rows, "+".join, "|".join)
+    assert layers == 1 and out.first()["piece"] == "a+b"
+    none, layers = profile.tree_reduced(rows.where("idx in (1, 2)"), "+".join, "|".join)
+    assert layers == 0 and none.count() == 0
+
+
 def test_tree_reduction_keeps_failed_branches(spark):
     rows = spark.createDataFrame([(i, str(i)) for i in range(14)], "idx long, piece string")
 
@@ -190,6 +289,43 @@ def test_files(spark, tmp_path):
     assert ingest.usable(ingest.read_files(spark, str(tmp_path))).count() == 2
 
 
+def test_delimited_text(spark):
+    texts = ['a;b\n1;"x;""y"""\n\n;;\n ; z ', "name,city\n", "", "h\tk\n1\t2\t3\n,\t5", ",x\n1,2"]
+    docs = spark.createDataFrame([(str(k), "t", x, "csv", "") for k, x in enumerate(texts)], ingest.SCHEMA)
+    got = {r["id"]: (r["text"], bool(r["error"])) for r in ingest.labelled_rows(docs, F.lit(True)).collect()}
+    assert got == {
+        "0": ('# t\n\n## Row 1\na: 1\nb: x;"y"\n\n## Row 2\nb: z', False),
+        "1": ("# t", False),
+        "2": ("", True),
+        "3": ("# t\n\n## Row 1\nh: 1\nk: 2\n\n## Row 2\nh: ,\nk: 5", False),
+        "4": ("# t\n\n## Row 1\n: 1\nx: 2", False),
+    }
+
+
+def test_word_files_and_corpora(spark, tmp_path):
+    w = ingest.WORDS
+    para = lambda t, style="": f'<p xmlns="{w[1:-1]}"><pPr><pStyle xmlns:w="{w[1:-1]}" w:val="{style}"/></pPr><r><t>{t}</t></r></p>'
+    cell = lambda t: f'<tc xmlns="{w[1:-1]}"><p><r><t>{t}</t></r></p></tc>'
+    body = f'<document xmlns="{w[1:-1]}"><body>{para("Top", "Heading2")}{para(" ")}{para("Lone", "Heading")}{para("text")}<tbl><tr>{cell("a")}{cell(" ")}{cell("b")}</tr><tr>{cell("")}</tr></tbl></body></document>'
+    (tmp_path / "in").mkdir()
+    with zipfile.ZipFile(tmp_path / "in" / "a.docx", "w") as z:
+        z.writestr("word/document.xml", body)
+    (tmp_path / "in" / "b.html").write_text("<h1>T</h1><p>x &eacute;</p>")
+    (tmp_path / "in" / "c.html").write_text("<script>1</script>")
+    got = {r["title"]: r for r in ingest.read_files(spark, str(tmp_path / "in")).collect()}
+    assert got["a.docx"]["text"] == "## Top\n\n# Lone\n\ntext\n\na | b" and got["b.html"]["text"] == "# T x é" and got["c.html"]["error"]
+    assert ingest.read_corpus(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "corpus.json").write_text('[{"id": "1"}, {"id": "2"}]')
+    with gzip.open(tmp_path / "corpus.json.gz", "wt") as f:
+        f.write('[{"id": "3"}]')
+    assert ingest.read_corpus(spark, str(tmp_path)).count() == 2
+    (tmp_path / "corpus.json").unlink()
+    assert ingest.read_corpus(spark, str(tmp_path)).count() == 1
+    assert ingest.pasted(spark, "note").first()["title"] == "Pasted note"
+    sent = spark.createDataFrame([(None, None, "x", None, None), ("1", "t", " ", "md", "")], ingest.SCHEMA)
+    assert [(r["title"], r["kind"], r["error"]) for r in ingest.carried(sent).collect()] == [("untitled", "text", "")]
+
+
 def test_bag_weights():
     p = {"skills": [{"name": "rust", "strength": "used"}, "go"], "projects": [{"name": "x", "what": "y"}, "z"], "interests": ["i"]}
     assert profile.parts_of(p) == [("rust", 2.0), ("go", 1.5), ("i", 3.0), ("x", 2.0), ("y", 1.0), ("z", 1.0)]
