@@ -26,8 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bounded_batches, drop_staged, map_batches, partitions, scratch, staged
-from .tokens import Library, encoded_texts, packed, unpacked
+from .common import drop_staged, map_stream, partitions, scratch, staged
+from .tokens import Library, packed, units, unpacked
 
 BLOCK, LANES, EVERY, PRECISION = 1 << 19, 2048, 128, 18
 LOW = np.uint64(1 << 31)
@@ -126,20 +126,26 @@ def decode_block(data: bytes, t: Tables) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
-    """doc_id, n_tokens and packed ids of every whole text (null is empty), end_id appended."""
+    """doc_id, n_tokens and packed ids of every whole text (null is empty), end_id appended. Each task
+    adds a row with n_tokens -1, whose `ids` holds the number of times it met each id (`<u8`)."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, out = [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, total = units(path), np.zeros(0, np.int64)
         tail = np.zeros(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
-        for _, _, ids, sizes in encoded_texts(batch.column("text"), path):
-            at = 0
-            for n in sizes.tolist():
-                out.append(packed(np.concatenate([ids[at : at + n], tail])))
-                counts.append(n + len(tail))
-                at += n
-        return pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        names = ["doc_id", "n_tokens", "ids"]
+        for batch in batches:
+            ids, sizes = encoder.encode(batch.column("text"))
+            met = np.bincount(ids, minlength=len(total))
+            met[: len(total)] += total
+            total = met
+            out = [packed(np.concatenate([x, tail])) for x in np.split(ids, np.cumsum(sizes)[:-1])] if len(sizes) else []
+            yield pa.record_batch([batch.column("doc_id"), pa.array(sizes + len(tail)), pa.array(out, pa.binary())], names)
+            if len(tail):
+                total = np.concatenate([total, np.zeros(max(0, end_id + 1 - len(total)), np.int64)])
+                total[end_id] += len(sizes)
+        yield pa.record_batch([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([total.astype("<u8").tobytes()], pa.binary())], names)
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_tokens long, ids binary")
+    return map_stream(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_tokens long, ids binary")
 
 
 def frequencies(tokens: DataFrame, size: int) -> np.ndarray:
@@ -149,13 +155,13 @@ def frequencies(tokens: DataFrame, size: int) -> np.ndarray:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for data in batch.column(0):
-                total += np.bincount(unpacked(data.as_py()), minlength=size)
+                counts = np.frombuffer(data.as_py(), "<u8").astype(np.int64)
+                total[: len(counts)] += counts
         found = np.flatnonzero(total)
         yield pa.record_batch([pa.array(found), pa.array(total[found])], ["id", "n"])
 
-    bounded_batches(tokens.sparkSession)
     out = np.zeros(size, np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in map_stream(tokens.where("n_tokens < 0").select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r["id"]] = r["n"]
     return out
 
@@ -204,8 +210,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int | None) -> str:
         if docs_here:
             yield flush()
 
-    ranged = tokens.select("doc_id", "ids").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    ranged.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    ranged = tokens.where("n_tokens >= 0").select("doc_id", "ids").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    map_stream(ranged, run, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
     drop_staged(tokens)
     base, rows = 0, []
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
@@ -244,9 +250,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     ["shard", "ordinal", "doc_id", "in_shard", "n_tokens", "piece_first", "ids"],
                 )
 
-    bounded_batches(spark)
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
-    out = blocks.mapInArrow(run, "shard int, ordinal long, doc_id long, in_shard long, n_tokens long, piece_first long, ids binary")
+    out = map_stream(blocks, run, "shard int, ordinal long, doc_id long, in_shard long, n_tokens long, piece_first long, ids binary")
     shards = F.broadcast(spark.read.schema("shard int, base long").parquet(f"{folder}/shards"))  # one row for each shard
     return out.join(shards, "shard").withColumn("start", F.col("base") + F.col("in_shard")).drop("base", "in_shard")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -21,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a new temporary one only where that is unset."""
+    """The shared folder named in spark.checkpoint.dir; a new temporary one only in local mode, where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
         if not root:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
@@ -71,39 +74,91 @@ def small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
-def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
-    """Arrow batches by size, so that a batch of very long texts still fits a Python worker."""
+#: Copies of each row of the smaller side when a join on few keys is shuffled: a key that holds a third
+#: of all rows is dealt over as many tasks.
+SPREAD = 16
+
+
+def join_few(rows: DataFrame, few: DataFrame, keys: list[str], spread_by: str, most_rows: int = 1_000_000) -> DataFrame:
+    """rows joined with a staged table of at most one row for each key: broadcast where it is small, else
+    shuffled with the rows of a key spread by another column."""
+    if few.count() <= most_rows:
+        return rows.join(F.broadcast(few), keys)
+    copies = few.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return rows.withColumn("__part", F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int")).join(copies, [*keys, "__part"]).drop("__part")
+
+
+#: Arrow batches are cut by size, so that a batch of very long texts still fits a Python worker; one
+#: value for all plans of a session, as Spark reads it when a plan runs.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+_forget: list[Callable[[], None]] = []
+_task = ""
+
+
+def on_change(forget: Callable[[], None]) -> None:
+    """Register what empties a cache that a worker process keeps between tasks."""
+    _forget.append(forget)
+
+
+def enter(task: str) -> None:
+    """Called by each task in a Python worker: Spark uses workers again for other stages, so caches
+    that tasks of another kind left are emptied first."""
+    global _task
+    if task != _task:
+        pa.set_memory_pool(pa.system_memory_pool())
+        for forget in _forget:
+            forget()
+        gc.collect()
+        give_back()
+        _task = task
 
 
 def give_back() -> None:
-    """Return freed memory to the system: Spark uses a Python worker again for tasks of other stages."""
+    """Return freed memory to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, at_end: Callable[[], None] | None = None, megabytes: int = 16) -> DataFrame:
-    """mapInArrow with a function of one record batch; at_end is called when a task has read all.
-
-    Spark reads `megabytes` when the plan runs: the last value set in the session counts."""
-    bounded_batches(df.sparkSession, megabytes)
+def map_stream(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with a function of all record batches of a task."""
+    bounded_batches(df.sparkSession)
+    task = f"{function.__module__}.{function.__qualname__}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = function(batch)
+        enter(task)
+        for out in function(batches):
             if out is not None and out.num_rows:
+                large = out.nbytes > 1 << 18
                 yield out
-        batch = out = None
-        if at_end is not None:
-            at_end()
+                out = None
+                if large:  # else a worker grows by what each batch leaves between small objects that stay
+                    give_back()
+        out = None
         give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """mapInArrow with a function of one record batch."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield function(batch)
+
+    each.__module__, each.__qualname__ = function.__module__, function.__qualname__
+    return map_stream(df, each, schema)
+
+
 def pieces(sizes: Iterable[int], most: int) -> Iterator[slice]:
     """Slices of consecutive items of at most `most` in sum, or of one item."""
     begin, total, k = 0, 0, -1
@@ -136,34 +191,39 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running_sum(df: DataFrame, order: list[str], value: str, label: str) -> DataFrame:
-    """df with column `start`: the sum of `value` over all rows before this one in the global order.
+def running_sum(df: DataFrame, order: list[str], sums: dict[str, str], label: str) -> DataFrame:
+    """df with a column for each pair (value, name) of `sums`: the sum of the value over all rows before
+    this one in the global order.
 
     Rows are range-sorted; each task sums its own range, and only one total for each
-    range comes to the driver, to be added as that range's base. df should be narrow and staged.
+    range comes to the driver, to be added as that range's base. df should be staged.
     """
     spark = df.sparkSession
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", start long, range_no int"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + "".join(f", `{c}` long" for c in sums.values()) + ", range_no int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        at, total = TaskContext.get().partitionId(), 0
+        at, totals = TaskContext.get().partitionId(), dict.fromkeys(sums, 0)
         for batch in batches:
-            values = batch.column(value).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.cumsum(values) + total
-            columns = [*batch.columns, pa.array(ends - values), pa.array(np.full(len(values), at, np.int32))]
-            total = int(ends[-1]) if len(ends) else total
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "start", "range_no"])
+            columns = list(batch.columns)
+            for value, total in totals.items():
+                values = batch.column(value).to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = np.cumsum(values) + total
+                columns.append(pa.array(ends - values))
+                totals[value] = int(ends[-1]) if len(ends) else total
+            columns.append(pa.array(np.full(batch.num_rows, at, np.int32)))
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *sums.values(), "range_no"])
 
     ranged = df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    rows = staged(ranged.mapInArrow(run, schema), label)
-    base, bases = 0, []
-    for r in rows.groupBy("range_no").agg(F.sum(value).alias("n")).orderBy("range_no").collect():
-        bases.append((r["range_no"], base))
-        base += r["n"]
-    lookup = F.broadcast(spark.createDataFrame(bases, "range_no int, base long"))
-    return rows.join(lookup, "range_no").withColumn("start", F.col("start") + F.col("base")).drop("range_no", "base")
+    rows = staged(map_stream(ranged, run, schema), label)
+    base, bases = dict.fromkeys(sums, 0), []
+    for r in rows.groupBy("range_no").agg(*(F.sum(v).alias(v) for v in sums)).orderBy("range_no").collect():
+        bases.append((r["range_no"], *base.values()))
+        base = {v: n + r[v] for v, n in base.items()}
+    lookup = F.broadcast(spark.createDataFrame(bases, "range_no int" + "".join(f", `__{c}` long" for c in sums.values())))
+    whole = rows.join(lookup, "range_no").withColumns({c: F.col(c) + F.col(f"__{c}") for c in sums.values()})
+    return whole.drop("range_no", *(f"__{c}" for c in sums.values()))
 
 
 def components(edges: DataFrame, label: str, most_rounds: int = 60) -> DataFrame:
