@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import binary_output, chat, embedding_dedup, line_dedup, minhash, mixing, packing, quality, secrets, token_counts
-from .common import table
+from .common import staged, table
 
 
 def tokenizer(name: str) -> str:
@@ -31,7 +31,7 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = token_counts.prefix_tables(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    tables = staged(token_counts.prefix_tables(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")), "prefix-tables")
     return token_counts.with_budget(tables, 2048).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")
 
 
@@ -77,7 +77,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_components(table(spark, sf_dir, "documents"), percent=85)
+    return minhash.near_components(table(spark, sf_dir, "documents"), percent=85).drop("t")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
