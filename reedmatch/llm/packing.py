@@ -1,7 +1,7 @@
 """Packing along a space-filling curve.
 
-Every document's hashed words are projected to few dimensions, the Hilbert key of that point
-orders the documents (range sort, ties by doc_id), and the ids of neighbours on the curve fill
+Every document's pairs of adjacent ids are hashed and projected to few dimensions, the Hilbert key
+of that point orders the documents (range sort, ties by doc_id), and the ids of neighbours on the curve fill
 sequences one after the other: a document goes on where the one before it ended, and is cut
 where a sequence is full. So sequences hold similar documents and only the last one is padded.
 """
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import map_batches, mix, running_sum, staged
-from .tokens import encoded_texts, packed, unpacked
+from .tokens import packed, units, unpacked
 
 DIMENSIONS, BITS = 4, 12
 
@@ -58,13 +58,16 @@ def projected(features: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np
 
 
 def curve_keys(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Hilbert keys of documents, whose vectors hold the counts of adjacent id pairs hashed to features."""
-    pairs = ids.astype(np.uint64) * np.uint64(1 << 20)
-    pairs[1:] += ids[:-1]
+    """Hilbert keys of documents, whose vectors hold the counts of adjacent id pairs hashed to
+    features; a document's first id is paired with none, so its key depends on its own ids alone."""
     sums = np.zeros((len(counts), DIMENSIONS))
     filled = counts > 0
-    if filled.any():
-        sums[filled] = projected(pairs, (np.cumsum(counts) - counts)[filled], counts[filled])
+    begins = (np.cumsum(counts) - counts)[filled]
+    if len(begins):
+        pairs = ids.astype(np.uint64) * np.uint64(1 << 20)
+        pairs[1:] += ids[:-1]
+        pairs[begins] = ids[begins] * np.uint64(1 << 20) + np.uint64((1 << 20) - 1)
+        sums[filled] = projected(pairs, begins, counts[filled])
     z = sums / np.sqrt(np.maximum(counts, 1))[:, None]
     cells = np.clip((np.tanh(z / 2) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
     return hilbert_key(cells)
@@ -74,19 +77,13 @@ def placed_tokens(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
     """doc_id, n_tokens, curve key and packed ids of every whole text, end_id appended."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, keys, out = [], [], []
         tail = np.zeros(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
-        for _, _, ids, sizes in encoded_texts(batch.column("text"), path):
-            keys.append(curve_keys(ids, sizes))
-            at = 0
-            for n in sizes.tolist():
-                out.append(packed(np.concatenate([ids[at : at + n], tail])))
-                counts.append(n + len(tail))
-                at += n
-        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        return pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(key, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "curve_key", "ids"])
+        ids, sizes = units(path).encode(batch.column("text"))
+        keys = curve_keys(ids, sizes)
+        out = [packed(np.concatenate([x, tail])) for x in np.split(ids, np.cumsum(sizes)[:-1])] if len(sizes) else []
+        return pa.record_batch([batch.column("doc_id"), pa.array(sizes + len(tail)), pa.array(keys), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "curve_key", "ids"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_tokens long, curve_key long, ids binary", megabytes=8)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_tokens long, curve_key long, ids binary")
 
 
 def pack(docs: DataFrame, path: str, end_id: int | None = 2, size: int = 4096) -> DataFrame:
@@ -100,7 +97,7 @@ def pack(docs: DataFrame, path: str, end_id: int | None = 2, size: int = 4096) -
     """
     tokens = staged(placed_tokens(docs, path, end_id).withColumn("row_no", F.monotonically_increasing_id()), "placed-tokens")
     order = tokens.select("curve_key", "doc_id", "row_no", "n_tokens")
-    places = running_sum(order, ["curve_key", "doc_id", "row_no"], "n_tokens", "curve-order").select("row_no", "start")
+    places = running_sum(order, ["curve_key", "doc_id", "row_no"], {"n_tokens": "start"}, "curve-order").select("row_no", "start")
     placed = tokens.where("n_tokens > 0").join(places, "row_no")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -116,5 +113,4 @@ def pack(docs: DataFrame, path: str, end_id: int | None = 2, size: int = 4096) -
         kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 4
         return pa.record_batch([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "curve_key"])
 
-    # compressed ids grow several times when they are unpacked
-    return map_batches(placed, cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, curve_key long", megabytes=4)
+    return map_batches(placed, cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, curve_key long")
