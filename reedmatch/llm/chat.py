@@ -15,9 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, map_batches, partitions, staged
+from .common import map_batches, map_stream, partitions, running_sum, staged
 from .tokens import Library, packed, units, unpacked
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -73,9 +73,12 @@ def assemble(turns: DataFrame, path: str, loss_role: str = "assistant") -> DataF
 
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     encoded = map_batches(rows, run, "conv_id long, turn long, role string, text string, ids binary, n_ids long, loss_from long, loss_to long")
-    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    return encoded.select("conv_id", (F.row_number().over(order) - 1).cast("long").alias("turn_no"), "ids", "n_ids", "loss_from", "loss_to", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("token_start"))
+    rows = staged(encoded.withColumn("row_no", F.monotonically_increasing_id()).withColumn("one", F.lit(1).cast("long")), "chat-turns")
+    # one global order, so that a conversation of any size is cut over tasks
+    placed = running_sum(rows, ["conv_id", "turn", "role", "text", "row_no"], {"n_ids": "token_start", "one": "turn_no"}, "chat").select("conv_id", "turn_no", "ids", "n_ids", "loss_from", "loss_to", "token_start")
+    firsts = placed.groupBy("conv_id").agg(F.min("turn_no").alias("first_turn"), F.min("token_start").alias("first_token")).withColumnRenamed("conv_id", "conv")
+    whole = placed.join(firsts, F.col("conv_id").eqNullSafe(F.col("conv"))).withColumns({"turn_no": F.col("turn_no") - F.col("first_turn"), "token_start": F.col("token_start") - F.col("first_token")})
+    return whole.drop("conv", "first_turn", "first_token")
 
 
 def mask(loss_from: int, loss_to: int, n_ids: int) -> np.ndarray:
@@ -88,7 +91,8 @@ def mask(loss_from: int, loss_to: int, n_ids: int) -> np.ndarray:
 
 def read_back(formatted: DataFrame, path: str) -> DataFrame:
     """Digests of each conversation from its ids alone: n_turns, turns_sha256, loss_chars,
-    loss_sha256, formatted_chars and n_ids. Turns stream through a task in order, one at a time in memory."""
+    loss_sha256, formatted_chars and n_ids. The two digests are of a whole conversation, so its turns stream
+    through one task in order, one at a time in memory."""
     spark = formatted.sparkSession
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_ids long"
     names = [c.split()[0] for c in schema.split(", ")]
@@ -133,10 +137,9 @@ def read_back(formatted: DataFrame, path: str) -> DataFrame:
         if done:
             yield rows()
 
-    bounded_batches(spark)
     ordered = formatted.repartition(partitions(spark), "conv_id").sortWithinPartitions("conv_id", "turn_no")
-    return ordered.mapInArrow(run, schema)
+    return map_stream(ordered, run, schema)
 
 
 def round_trip(turns: DataFrame, path: str) -> DataFrame:
-    return read_back(staged(assemble(turns, path), "chat"), path)
+    return read_back(assemble(turns, path), path)
