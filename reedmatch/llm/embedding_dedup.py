@@ -6,9 +6,16 @@ collides often enough; the count is calibrated, by the binomial distribution of
 pair exactly at the least cosine, to miss less than one such pair in a hundred million. Passing pairs are
 verified by their cosine in double precision.
 
-Equal vectors are one class, so copies are never paired. Classes of a label are dealt to blocks
-of bounded size, and each pair of blocks is one unit of work that sends on, for each vector, its
-number of links and the smallest vector it is connected to: rows in proportion to vectors.
+Equal vectors are one class, so copies are never paired. Before the windows, vectors of a label are
+dealt to cells by the signs of further projections: `tables` times over, so that a pair at the least
+cosine shares no cell with a probability of at most CELL_MISS. The number of signs grows with the
+label, so that cells stay small: work grows with about the 1.2th power of a label's vectors, not
+with its square. A label for which that many tables would cost more than its pairs is one cell
+(at a cosine of 0.93, one of up to about 23,000 distinct vectors).
+
+Cells are dealt to blocks of bounded size, and each pair of blocks is one unit of work that sends on, for
+each vector, its number of links and the smallest vector it is connected to: rows in proportion to
+vectors. A pair is looked at in the first table whose cell it shares.
 """
 
 from __future__ import annotations
@@ -20,9 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, components, partitions, staged
+from .common import components, join_few, map_batches, map_stream, partitions, staged
 
-LINES, BLOCK, MISS = 96, 1024, 1e-8
+LINES, BLOCK, MISS, CELL_MISS = 96, 1024, 1e-8, 1e-6
 
 
 def window_and_count(least: float, lines: int = LINES, miss: float = MISS) -> tuple[float, int]:
@@ -64,10 +71,10 @@ def near_components(vectors: DataFrame, least: float = 0.93) -> DataFrame:
 
     Vectors that are null, zero, or hold null or non-finite numbers, and rows with a null label or
     vec_id, link with nothing and are their own component (null for a null vec_id). Vectors of
-    different dimension aren't compared. Repeated rows link like copies. Extra columns are ignored.
+    different dimension aren't compared. Repeated rows link like copies, and rows that share a vec_id but
+    not the vector are compared each on its own. Extra columns are ignored; an empty table gives none.
     """
     spark = vectors.sparkSession
-    bounded_batches(spark)
     e = F.col("embedding")
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
     good = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & ~bad & F.exists("embedding", lambda v: v != 0), F.lit(False))
@@ -75,16 +82,39 @@ def near_components(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     rows = rows.withColumns({"a": F.xxhash64("label", "embedding"), "b": F.xxhash64(F.lit(7), "embedding", "label")})
     rows = staged(rows, "vectors")
     usable = rows.where("good")
-    classes = usable.groupBy("a", "b").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-    classes = staged(classes, "vector-classes")
-    nodes = usable.select(F.col("vec_id").alias("node"), "a", "b", "label", "embedding").join(classes, ["node", "a", "b"]).dropDuplicates(["node"])
-    nodes = nodes.select("node", "copies", "label", F.size("embedding").alias("dimension"), "embedding")
-    nodes = staged(nodes, "vector-nodes")
-    sizes = nodes.groupBy("label", "dimension").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = nodes.join(sizes, ["label", "dimension"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    # a class holds equal vectors of a label; one vec_id on several vectors is in several classes
+    classes = usable.groupBy("a", "b").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    classes = staged(classes.withColumn("dimension", F.size("embedding")).withColumn("node", F.monotonically_increasing_id()), "vector-classes")
+    counts = classes.groupBy("label", "dimension").agg(F.count("*").alias("n"))
+    same_sign = 1 - math.acos(least) / math.pi  # of a pair at the least cosine on one line
+    bits = F.greatest(F.lit(0), F.round(F.log2(F.col("n") / F.lit(float(BLOCK))))).cast("int")
+    tables = F.when(F.col("bits") > 0, F.ceil(math.log(CELL_MISS) / F.log(1 - F.pow(F.lit(same_sign), "bits")))).otherwise(1).cast("int")
+    counts = counts.withColumn("bits", bits).withColumn("tables", tables)
+    worth = F.col("tables") < F.pow(F.lit(2.0), "bits")
+    counts = staged(counts.select("label", "dimension", F.when(worth, F.col("bits")).otherwise(0).alias("bits"), F.when(worth, F.col("tables")).otherwise(1).alias("tables")), "label-cells")
+    nodes = join_few(classes.select("node", "copies", "label", "dimension", "embedding"), counts, ["label", "dimension"], "node")
+
+    def coded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codes: list[np.ndarray] = [np.zeros(1, np.int64)] * batch.num_rows
+        shape = np.stack([batch.column(c).to_numpy() for c in ("dimension", "bits", "tables")], 1)
+        for d, k, t in np.unique(shape, axis=0).tolist():
+            if k:
+                at = np.flatnonzero((shape == (d, k, t)).all(1))
+                v = np.array([batch.column("embedding")[int(i)].as_py() for i in at])
+                signs = (v / np.abs(v).max(1, keepdims=True)) @ directions(d, k * t, seed=12) > 0
+                for i, row in zip(at, signs.reshape(len(at), t, k) @ (1 << np.arange(k))):
+                    codes[i] = row
+        keep = ["node", "copies", "label", "dimension", "embedding"]
+        return pa.record_batch([*(batch.column(c) for c in keep), pa.array(codes, pa.list_(pa.int64()))], [*keep, "codes"])
+
+    nodes = staged(map_batches(nodes.select("node", "copies", "label", "dimension", "embedding", "bits", "tables"), coded, "node long, copies long, label string, dimension int, embedding array<double>, codes array<long>"), "vector-cells")
+    cells = ["label", "dimension", "part", "code"]
+    placed = nodes.select("*", F.posexplode("codes").alias("part", "code"))
+    sizes = placed.groupBy(*cells).agg(F.count("*").alias("n")).where("n > 1").select(*cells, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = join_few(placed, staged(sizes, "cell-blocks"), cells, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ["label", "dimension", "x", "y"]
-    dealt = dealt.select("label", "dimension", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "copies", "embedding", "block")
+    keys = [*cells, "x", "y"]
+    dealt = dealt.select(*cells, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "copies", "embedding", "block", "codes")
     dealt = dealt.repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,10 +122,9 @@ def near_components(vectors: DataFrame, least: float = 0.93) -> DataFrame:
         window, count = window_and_count(least)
 
         def flush() -> pa.RecordBatch | None:
-            if len(held) < 2 and not (held and now[2] == now[3]):
-                return None
-            first = [r for r in held if r[3] == now[2]]
-            second = first if now[2] == now[3] else [r for r in held if r[3] == now[3]]
+            part, x, y = now[2], now[4], now[5]
+            first = [r for r in held if r[3] == x]
+            second = first if x == y else [r for r in held if r[3] == y]
             if not first or not second:
                 return None
             lines = directions(now[1])
@@ -106,6 +135,10 @@ def near_components(vectors: DataFrame, least: float = 0.93) -> DataFrame:
             i, j = candidates(*units, lines, window, count)
             if second is first:
                 i, j = i[i < j], j[i < j]
+            if part:  # pairs that an earlier table has shown
+                codes = [np.array([r[4] for r in side]) for side in (first, second)]
+                new = np.concatenate([~(codes[0][i[s : s + 65536], :part] == codes[1][j[s : s + 65536], :part]).any(1) for s in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+                i, j = i[new], j[new]
             cosine = np.concatenate([np.einsum("kd,kd->k", scaled[0][i[s : s + 65536]], scaled[1][j[s : s + 65536]]) for s in range(0, len(i), 65536)] or [np.zeros(0)])
             ok = cosine / (norms[0][i] * norms[1][j]) >= least
             i, j = i[ok], j[ok]
@@ -125,7 +158,7 @@ def near_components(vectors: DataFrame, least: float = 0.93) -> DataFrame:
             return pa.record_batch([pa.array(node[found]), pa.array(links[found].astype(np.int64)), pa.array(least_node[found])], ["node", "links", "least"])
 
         for batch in batches:
-            for key, *row in zip(zip(*(batch.column(c).to_pylist() for c in keys)), *(batch.column(c).to_pylist() for c in ("node", "copies", "embedding", "block"))):
+            for key, *row in zip(zip(*(batch.column(c).to_pylist() for c in keys)), *(batch.column(c).to_pylist() for c in ("node", "copies", "embedding", "block", "codes"))):
                 if key != now:
                     out = flush() if held else None
                     if out is not None:
@@ -136,11 +169,13 @@ def near_components(vectors: DataFrame, least: float = 0.93) -> DataFrame:
         if out is not None:
             yield out
 
-    found = staged(dealt.mapInArrow(compare, "node long, links long, least long"), "vector-links")
+    found = staged(map_stream(dealt, compare, "node long, links long, least long"), "vector-links")
     whole = components(found.select(F.col("node").alias("u"), F.col("least").alias("v")), "vector-components")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    by_class = classes.join(counts, "node", "left").join(whole, "node", "left")
-    by_class = by_class.select("a", "b", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    by_class = classes.select("a", "b", "first_id", "copies", "node").join(counts, "node", "left").join(whole, "node", "left")
+    by_class = staged(by_class.select("a", "b", "first_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("root")), "vector-roots")
+    least_ids = by_class.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    by_class = by_class.join(staged(least_ids, "vector-least"), "root").select("a", "b", "n_links", "component_id")
     linked = usable.select("vec_id", "a", "b").join(staged(by_class, "vector-results"), ["a", "b"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))
