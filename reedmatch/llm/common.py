@@ -34,21 +34,38 @@ def scratch(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Folders that `staged` has written and nobody has deleted.
+_written: list[str] = []
+
+
 def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a staged table that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, folder)
+
+
+def staged_alone(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """staged(build()); the tables that were staged on the way are deleted, as nothing reads them any more."""
+    before = len(_written)
+    out = staged(build(), label)
+    for folder in _written[before:-1]:
+        delete(spark, folder)
+    del _written[before:-1]
+    return out
 
 
 _shipped: set[str] = set()
