@@ -27,12 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, components, map_batches, mix, partitions, small, staged
+from .common import bounded_batches, components, join_few, map_batches, map_stream, mix, on_change, partitions, small, staged
 
 U = np.uint64
 SHINGLE, COORDINATES, MISS = 5, 320, 1e-5
 UNIVERSE = 1 << 21
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Five standard deviations of a signature's estimate, below the least similarity.
 SLACK = 5.0
 ODD = (np.arange(1, 2 * SHINGLE, 2, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -49,9 +49,7 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def forget() -> None:
-    """Empty the worker's cache of words when a task ends."""
-    _hashes.clear()
+on_change(_hashes.clear)
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -60,7 +58,7 @@ def shingles(text: bytes | None) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    if len(_hashes) > 300_000:
+    if len(_hashes) > 150_000:
         _hashes.clear()
     width = min(SHINGLE, len(words))
     n = len(words) - width + 1
@@ -77,6 +75,9 @@ def circulant() -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(np.concatenate([values, values[: COORDINATES - 1]]), COORDINATES)
 
 
+on_change(circulant.cache_clear)
+
+
 def signature(hashes: np.ndarray) -> np.ndarray:
     """All coordinates of a set, the low 16 bits of each."""
     places = (mix(hashes ^ U(0xD1B54A32D192ED03)) % U(UNIVERSE)).astype(np.int64)
@@ -106,7 +107,7 @@ def buckets(sig: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, band: int) -> DataFrame:
-    """doc_id, n_shingles, a and b (fingerprint of the set) and bands (the bucket of each band; null for empty sets)."""
+    """doc_id, t (hash of the text), n_shingles, a and b (fingerprint of the set) and bands (the bucket of each band; null for empty sets)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, a, b, bands = [], [], [], []
@@ -116,23 +117,24 @@ def sketches(docs: DataFrame, band: int) -> DataFrame:
             a.append(int(s.sum().view(np.int64)) if len(s) else 0)
             b.append(int(mix(s ^ U(0xA5A5A5A5)).sum().view(np.int64)) if len(s) else 0)
             bands.append(buckets(signature(s), band) if len(s) else None)
-        columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-        return pa.record_batch(columns, ["doc_id", "n_shingles", "a", "b", "bands"])
+        columns = [batch.column("doc_id"), batch.column("t"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+        return pa.record_batch(columns, ["doc_id", "t", "n_shingles", "a", "b", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return map_batches(rows, run, "doc_id long, n_shingles long, a long, b long, bands array<long>", at_end=forget)
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), F.col("text").cast("binary"))
+    return map_batches(rows, run, "doc_id long, t long, n_shingles long, a long, b long, bands array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """node, its set (sorted hashes as bytes) and signature, for the given nodes."""
+def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, its set (sorted hashes as bytes) and signature, for nodes (node, first_id, first_t)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingles(t.as_py()) for t in batch.column("text")]
         sigs = [signature(s).astype("<u2").tobytes() for s in found]
         return pa.record_batch([batch.column("node"), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(sigs, pa.binary())], ["node", "items", "sig"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
-    return map_batches(texts.join(ids, "node").dropDuplicates(["node"]).select("node", "text"), run, "node long, items binary, sig binary", at_end=forget)
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
+    found = texts.join(nodes, F.col("d").eqNullSafe(F.col("first_id")) & (F.col("t") == F.col("first_t")))
+    return map_batches(found.dropDuplicates(["node"]).select("node", "text"), run, "node long, items binary, sig binary")
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -194,30 +196,35 @@ def _compare(band: int, nodes: list[int], groups: list[int], sigs: np.ndarray, i
 
 
 def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (the smallest doc_id of a component) for each row.
-
-    Texts without words, null or empty, have an empty set and link with nothing, as do rows with a
-    null doc_id (their component_id is null, they are kept). Repeated rows with one doc_id and text
-    are one node. Texts may be of any length; extra columns are ignored; an empty table gives none.
+    """doc_id, n_shingles, component_id (the smallest doc_id of a component), kept (doc_id is that
+    one), t (hash of the text) and chosen for each row.
+
+    Texts without words, null or empty, have an empty set and link with nothing. Rows are told
+    apart by doc_id and text: rows repeated with both are one node, one id on several texts is
+    several. Rows with a null doc_id have a null component_id and are `kept`. `chosen` marks one (doc_id,
+    text) in each component, where such rows take part too, after all others. Texts may be of any
+    length; extra columns are ignored; an empty table gives none.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     all_rows = staged(sketches(docs, band_rows(percent)), "sketches")
-    usable = all_rows.where("n_shingles > 0 and doc_id is not null")
-    classes = staged(usable.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
-    nodes = usable.join(classes.select(F.col("node").alias("doc_id"), "a", "b"), ["doc_id", "a", "b"]).dropDuplicates(["doc_id", "a", "b"]).select(F.col("doc_id").alias("node"), "bands")
+    usable = all_rows.where("n_shingles > 0")
+    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    classes = usable.groupBy("a", "b").agg(F.min(rep).alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
+    classes = staged(classes.select("a", "b", F.col("rep.doc_id").alias("first_id"), F.col("rep.t").alias("first_t"), "bands", "size", F.monotonically_increasing_id().alias("node")), "classes")
 
-    by_band = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    full = by_band.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("node").alias("head"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("n > 1")
+    by_band = classes.select("node", "size", F.posexplode("bands").alias("band", "bucket"))
+    full = by_band.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("node").alias("head"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("n > 1")
     # equal sets of members need one look: the first band's
-    full = full.groupBy("n", "members", "head").agg(F.min(F.struct("band", "bucket")).alias("x")).select("n", "head", "x.band", "x.bucket")
+    full = full.groupBy("n", "members", "head").agg(F.min(F.struct("band", "bucket", "total")).alias("x")).select("n", "head", "x.band", "x.bucket", "x.total")
     full = staged(full, "buckets")
-    met = staged(by_band.join(small(full), ["band", "bucket"]).select("node", "head", "band", "bucket", "n"), "members")
+    met = staged(join_few(by_band, full, ["band", "bucket"], "node").select("node", "head", "band", "bucket", "n", "total"), "members")
 
     # the head met in most buckets first
     heads = met.where("node <> head").groupBy("node", "head").agg(F.count("*").alias("times")).groupBy("node").agg(F.max_by("head", F.struct("times", -F.col("head"))).alias("head"))
     heads = staged(heads, "heads")
-    sets = staged(sets_of(docs, small(staged(met.select("node").distinct(), "met-nodes"))), "sets")
+    seen = classes.select("node", "first_id", "first_t").join(met.select("node").distinct(), "node", "left_semi")
+    sets = staged(sets_of(docs, small(staged(seen, "met-nodes"))), "sets")
     pairs = heads.join(sets.select("node", "items"), "node").join(sets.select(F.col("node").alias("head"), F.col("items").alias("other")), "head")
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -228,11 +235,12 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = staged(map_batches(pairs.select("node", "head", "items", "other"), check, "u long, v long"), "links")
     groups = components(links, "settled")
 
-    grouped = met.join(groups, "node", "left").select("node", "band", "bucket", "n", F.coalesce("component", "node").alias("grp"))
+    grouped = met.join(groups, "node", "left").select("node", "band", "bucket", "n", "total", F.coalesce("component", "node").alias("grp"))
     grouped = staged(grouped, "grouped")
     open_buckets = grouped.groupBy("band", "bucket").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("band", "bucket")
-    left = grouped.join(open_buckets, ["band", "bucket"])
-    count = F.ceil(F.col("n") / BLOCK).cast("int")
+    left = join_few(grouped, staged(open_buckets, "open-buckets"), ["band", "bucket"], "node")
+    # blocks of bounded rows and, on average, bytes
+    count = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") * 8 / BLOCK_BYTES)).cast("int")
     block = F.pmod(F.xxhash64("node"), count).cast("int")
     left = left.withColumn("blocks", count).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("node", "grp", "band", "bucket", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
@@ -264,11 +272,15 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     keys = ["band", "bucket", "x", "y"]
     dealt = rows.select(*keys, "node", "grp", "sig", "items", "block").repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
-    more = staged(dealt.mapInArrow(compare, "u long, v long"), "more-links")
+    more = staged(map_stream(dealt, compare, "u long, v long"), "more-links")
     whole = components(links.union(more), "all-links")
-    by_class = classes.join(whole, "node", "left").select("a", "b", F.coalesce("component", "node").alias("component_id"))
-    by_class = staged(by_class, "by-class")
-    kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
-    rest = all_rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = usable.select("doc_id", "n_shingles", "a", "b").join(by_class, ["a", "b"]).select("doc_id", "n_shingles", "component_id")
-    return out.union(rest).withColumn("kept", kept)
+    rooted = staged(classes.join(whole, "node", "left").select("a", "b", "first_id", "first_t", "node", F.coalesce("component", "node").alias("root")), "rooted")
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")).alias("best"))
+    by_class = rooted.join(staged(best, "components"), "root")  # staged, so that adaptive execution splits a very large component
+    by_class = by_class.select("a", "b", F.col("best.first_id").alias("component_id"), F.when(F.col("best.node") == F.col("node"), F.col("first_t")).alias("chosen_t"))
+    rows = usable.select("doc_id", "t", "n_shingles", "a", "b").join(staged(by_class, "by-class"), ["a", "b"])
+    rows = rows.select("doc_id", "t", "n_shingles", "component_id", (F.coalesce(F.col("t") == F.col("chosen_t"), F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("chosen"))
+    rest = all_rows.where("n_shingles = 0").select("doc_id", "t", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("chosen"))
+    out = rows.union(rest)
+    named = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    return out.select("doc_id", "n_shingles", named.alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "t", "chosen")
