@@ -78,8 +78,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     keyed = copies.withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), key, F.col("copy_no").cast("string"))), 1, 15), 16, 10).cast("long"))
     n = partitions(docs.sparkSession)
     # keys are uniform by their making, so equal ranges need no sampling pass over the texts
-    part = F.shiftright("shuffle_key", 32)  # 28 bits
-    return keyed.withColumn("__part", (part * n / F.lit(1 << 28)).cast("int")).repartition(n, "__part").sortWithinPartitions("__part", "shuffle_key").drop("__part")
+    part = (F.shiftright("shuffle_key", 32) * n / F.lit(1 << 28)).cast("int")  # the key's first 28 bits
+    return keyed.repartitionById(n, part).sortWithinPartitions("shuffle_key")
 
 
 ORACLE = """
