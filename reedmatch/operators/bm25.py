@@ -17,10 +17,11 @@ K1, B, TITLE_BOOST = 1.5, 0.75, 1.6
 def entries(items: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """idx, dl (number of terms, 1 for an item without any), term, tf, in_title, from one pass over the
     items. Each item has a row with a null term. With `terms` (term), other terms are left out."""
-    cut = items.select("idx", tokens("text").alias("words"), F.array_distinct(tokens("title")).alias("heads"))
-    row = lambda term, n, head: F.struct(term.alias("term"), F.lit(n).alias("n"), F.lit(head).alias("head"))
-    every = F.concat(F.array(row(F.lit(None).cast("string"), 0, False)), F.transform("words", lambda t: row(t, 1, False)), F.transform("heads", lambda t: row(t, 0, True)))
-    rows = cut.select("idx", F.greatest(F.size("words"), F.lit(1)).cast("long").alias("dl"), F.explode(every).alias("e")).select("idx", "dl", "e.*")
+    # plain strings are exploded: "" stands for the item, a tab marks a term of the title
+    cut = items.select("idx", tokens("text").alias("words"), F.transform(F.array_distinct(tokens("title")), lambda t: F.concat(F.lit("\t"), t)).alias("heads"))
+    rows = cut.select("idx", F.greatest(F.size("words"), F.lit(1)).cast("long").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "words", "heads")).alias("e"))
+    head = F.col("e").startswith("\t")
+    rows = rows.select("idx", "dl", F.when(head, F.substring("e", 2, 1 << 30)).when(F.col("e") != "", F.col("e")).alias("term"), F.when(head | (F.col("e") == ""), 0).otherwise(1).alias("n"), head.alias("head"))
     if terms is not None:
         wanted = terms.select("term").distinct().withColumn("wanted", F.lit(True))
         rows = rows.join(broadcast_if_small(wanted), "term", "left").where("term is null or wanted")
@@ -40,7 +41,9 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
 
 def postings(items: DataFrame) -> DataFrame:
     """idx, term, tf, in_title."""
-    return entries(items).where("term is not null").select("idx", "term", "tf", "in_title")
+    words = items.select("idx", F.explode(tokens("text")).alias("term"), F.lit(1).alias("tf"), F.lit(False).alias("in_title"))
+    titles = items.select("idx", F.explode(F.array_distinct(tokens("title"))).alias("term"), F.lit(0).alias("tf"), F.lit(True).alias("in_title"))
+    return words.union(titles).groupBy("idx", "term").agg(F.sum("tf").alias("tf"), F.max("in_title").alias("in_title")).where("tf > 0")
 
 
 def lengths(items: DataFrame) -> DataFrame:

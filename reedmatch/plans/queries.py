@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import jsons, text as tx
 from ..operators import bm25, judge, profile
-from ..sources.staging import shared_folder, staged
+from ..sources.staging import shared_folder, spread, staged
 
 #: Executors may lack this package: its functions travel whole.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -29,7 +29,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs = spread(load(spark, sf_dir, "documents"))
     return docs.select(F.col("doc_id").alias("idx"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text", "source", "lang")
 
 
@@ -108,11 +108,11 @@ def query_bag_weighted(s, d):
 
 
 def html_to_text(s, d):
-    return load(s, d, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
+    return spread(load(s, d, "pages")).select("page_id", tx.html_to_text(F.col("html")).alias("text"))
 
 
 def html_sections(s, d):
-    texts = load(s, d, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
+    texts = spread(load(s, d, "pages")).select("page_id", tx.html_to_text(F.col("html")).alias("text"))
     rows = texts.select("page_id", F.posexplode(tx.sections(F.col("text"))).alias("k", "x"))
     return rows.select("page_id", F.col("k").cast("long").alias("k"), "x.crumb", F.md5("x.body").alias("body_md5"))
 
@@ -123,7 +123,7 @@ def passages_hard_split(s, d):
 
 
 def passages_packed(s, d):
-    texts = load(s, d, "pages").select("page_id", "url", tx.html_to_text(F.col("html")).alias("text"))
+    texts = spread(load(s, d, "pages")).select("page_id", "url", tx.html_to_text(F.col("html")).alias("text"))
     pages = texts.select("page_id", "url", tx.packed(tx.sections(F.col("text")), 1500, 200).alias("parts"))
     rows = pages.select("page_id", "url", F.size("parts").alias("total"), F.posexplode("parts").alias("k", "p"))
     anchor = F.when(F.col("total") == 1, F.col("url")).otherwise(F.concat("url", F.lit(" — part "), F.col("k") + 1, F.lit("/"), "total"))

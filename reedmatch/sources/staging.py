@@ -30,3 +30,10 @@ def broadcast_if_small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
     from pyspark.sql.functions import broadcast
 
     return broadcast(df) if df.count() <= most_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of at most two splits for each core is dealt evenly to the cores, as a small file often has all its
+    rows in one split, and dear expressions would run in one task; a larger table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= 2 * cores else df
