@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -14,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.staging import delete, shared_folder as scratch, staged, staged_alone  # noqa: F401
+
 U64 = np.uint64
 
 
@@ -21,53 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a new temporary one only in local mode, where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-        if not root:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
-
-
-#: Folders that `staged` has written and nobody has deleted.
-_written: list[str] = []
-
-
-def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a staged table that no later step reads."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         delete(df.sparkSession, folder)
 
 
-def staged_alone(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> DataFrame:
-    """staged(build()); the tables that were staged on the way are deleted, as nothing reads them any more."""
-    before = len(_written)
-    out = staged(build(), label)
-    for folder in _written[before:-1]:
-        delete(spark, folder)
-    del _written[before:-1]
-    return out
-
-
 _shipped: set[str] = set()
 
 
