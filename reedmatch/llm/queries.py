@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import binary_output, chat, embedding_dedup, line_dedup, minhash, mixing, packing, quality, secrets, token_counts
+from . import binary_output, centroids, chat, embedding_dedup, language, line_dedup, minhash, mixing, packing, prefix_trie, quality, secrets, token_counts
 from .common import staged, table
 
 
@@ -80,17 +80,32 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_components(table(spark, sf_dir, "documents"), percent=85).drop("t")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predicted(docs.select("doc_id", "text"), language.fit(docs.select("doc_id", "text", "lang")))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_binary_output, op3_mixing, op4_embedding_dedup, op5_token_counts, op6_packing, op7_chat, op8_secrets, op9_quality, op10_minhash, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_binary_output, op3_mixing, op4_embedding_dedup, op5_token_counts, op6_packing, op7_chat, op8_secrets, op9_quality, op10_minhash, op11_language_id, op12_centroids, op13_prefix_trie, pipeline)}
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op3_mixing": mixing.ORACLE,
     "op8_secrets": OP8,
+    "op12_centroids": centroids.oracle(k=8, rounds=10, seed=3),
+    "op13_prefix_trie": prefix_trie.ORACLE,
     "op4_embedding_dedup": """
 with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null),
 links as (select a.vec_id as u, b.vec_id as w from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.93),
