@@ -21,6 +21,7 @@ from .common import map_batches, map_stream, partitions, running_sum, staged
 from .tokens import Library, packed, units, unpacked
 
 START, END = "<|im_start|>", "<|im_end|>"
+HEAD = 64  # characters of role and text that order turns with one number
 
 
 def escape(text: str) -> str:
@@ -44,9 +45,10 @@ def assemble(turns: DataFrame, path: str, loss_role: str = "assistant") -> DataF
     `ids`, loss_from and loss_to (ids of this turn under the loss mask), and token_start (ids of
     the conversation's turns before).
 
-    Turns are ordered by turn, then role, then text (nulls first); null role or text is empty; a
-    null conv_id is a conversation of its own; repeated rows are repeated turns; a turn's text may
-    be of any length. Extra columns are ignored, an empty table gives no rows.
+    Turns are ordered by turn (nulls first), those of one turn by the first 64 characters of role and of
+    text, then by a hash of both; null role or text is empty; a null conv_id is a conversation of its own;
+    repeated rows are repeated turns; a turn's text may be of any length, as texts themselves are never
+    keys of a sort. Extra columns are ignored, an empty table gives no rows.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -68,15 +70,17 @@ def assemble(turns: DataFrame, path: str, loss_role: str = "assistant") -> DataF
         a = np.where(loss, places[:, 2], 0) if n else np.zeros(0, np.int64)
         b = np.where(loss, places[:, 3], 0) if n else np.zeros(0, np.int64)
         total = places[:, 5] if n else np.zeros(0, np.int64)
-        columns = [*(batch.column(c) for c in ("conv_id", "turn", "role", "text")), pa.array(out, pa.binary()), pa.array(total), pa.array(a), pa.array(b)]
-        return pa.record_batch(columns, ["conv_id", "turn", "role", "text", "ids", "n_ids", "loss_from", "loss_to"])
+        columns = [*(batch.column(c) for c in kept), pa.array(out, pa.binary()), pa.array(total), pa.array(a), pa.array(b)]
+        return pa.record_batch(columns, [*kept, "ids", "n_ids", "loss_from", "loss_to"])
 
+    kept = ["conv_id", "turn", "role_head", "text_head", "both"]
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    encoded = map_batches(rows, run, "conv_id long, turn long, role string, text string, ids binary, n_ids long, loss_from long, loss_to long")
+    rows = rows.withColumns({"role_head": F.substring("role", 1, HEAD), "text_head": F.substring("text", 1, HEAD), "both": F.xxhash64("role", "text")})
+    encoded = map_batches(rows, run, "conv_id long, turn long, role_head string, text_head string, both long, ids binary, n_ids long, loss_from long, loss_to long")
     rows = staged(encoded.withColumn("row_no", F.monotonically_increasing_id()).withColumn("one", F.lit(1).cast("long")), "chat-turns")
     # one global order, so that a conversation of any size is cut over tasks
-    placed = running_sum(rows, ["conv_id", "turn", "role", "text", "row_no"], {"n_ids": "token_start", "one": "turn_no"}, "chat").select("conv_id", "turn_no", "ids", "n_ids", "loss_from", "loss_to", "token_start")
-    firsts = placed.groupBy("conv_id").agg(F.min("turn_no").alias("first_turn"), F.min("token_start").alias("first_token")).withColumnRenamed("conv_id", "conv")
+    placed = running_sum(rows, [*kept, "row_no"], {"n_ids": "token_start", "one": "turn_no"}, "chat").select("conv_id", "turn_no", "ids", "n_ids", "loss_from", "loss_to", "token_start")
+    firsts = staged(placed.groupBy(F.col("conv_id").alias("conv")).agg(F.min("turn_no").alias("first_turn"), F.min("token_start").alias("first_token")), "chat-firsts")
     whole = placed.join(firsts, F.col("conv_id").eqNullSafe(F.col("conv"))).withColumns({"turn_no": F.col("turn_no") - F.col("first_turn"), "token_start": F.col("token_start") - F.col("first_token")})
     return whole.drop("conv", "first_turn", "first_token")
 
