@@ -62,9 +62,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
 
     weights: by source, others get none; `total` documents come out on average, as many as came in
     by default. Null and empty sources are one source; a null doc_id is hashed as empty; repeated
-    rows get the same count each; an empty table stays empty. Extra columns are kept. A source of
-    any size is neither grouped nor sorted as one: only its count is shuffled.
+    rows get the same count each; an empty table stays empty; texts of any length are copied whole.
+    Extra columns are kept, but for those named n_copies, copy_no, shuffle_key, __source, __mean and
+    __salt, which are replaced or dropped. A source of any size is neither grouped nor sorted as one: only its
+    count is shuffled.
     """
+    docs = docs.drop("n_copies", "copy_no", "shuffle_key", "__source", "__mean", "__salt")
     rate = staged(rates(docs, weights, power, total), "rates")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     with_rate = docs.withColumn("__source", F.coalesce("source", F.lit("")))
