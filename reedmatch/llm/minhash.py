@@ -79,7 +79,7 @@ on_change(circulant.cache_clear)
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """All coordinates of a set, the low 16 bits of each."""
+    """All coordinates of a set."""
     places = (mix(hashes ^ U(0xD1B54A32D192ED03)) % U(UNIVERSE)).astype(np.int64)
     out = np.full(COORDINATES, UNIVERSE, np.uint32)
     rows = circulant()
@@ -129,7 +129,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingles(t.as_py()) for t in batch.column("text")]
-        sigs = [signature(s).astype("<u2").tobytes() for s in found]
+        sigs = [signature(s).astype("<u4").tobytes() for s in found]
         return pa.record_batch([batch.column("node"), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(sigs, pa.binary())], ["node", "items", "sig"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
@@ -253,7 +253,7 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
             if len(held) < 2:
                 return []
             held.sort(key=lambda r: r[0])
-            sigs = np.stack([np.frombuffer(r[2], "<u2") for r in held])
+            sigs = np.stack([np.frombuffer(r[2], "<u4") for r in held])
             sides = np.array([3 if now[2] == now[3] else 1 if r[4] == now[2] else 2 for r in held])
             return _compare(now[0], [r[0] for r in held], [r[1] for r in held], sigs, [np.frombuffer(r[3], U) for r in held], sides, percent)
 
