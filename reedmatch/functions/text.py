@@ -77,24 +77,46 @@ def slices(body: Column, ceiling: int = CEILING, overlap: int = OVERLAP) -> Colu
 
 def packed(found: Column, ceiling: int = CEILING, overlap: int = OVERLAP) -> Column:
     """array<struct<crumb, text>>: whole sections joined by a blank line up to the ceiling; only a
-    section over it is cut. A part has the crumb of its first section."""
-    kind = "array<struct<crumb:string,text:string>>"
-    state = F.struct(F.array().cast(kind).alias("done"), F.lit("").alias("crumb"), F.lit("").alias("buf"))
+    section over it is cut. A part has the crumb of its first section.
 
-    def part(crumb: Column, text: Column) -> Column:
-        return F.struct(crumb.alias("crumb"), text.alias("text"))
-
-    def flushed(s: Column) -> Column:
-        return F.when(stripped(s["buf"]) != "", F.concat(s["done"], F.array(part(s["crumb"], stripped(s["buf"]))))).otherwise(s["done"])
-
-    def step(s: Column, x: Column) -> Column:
-        cut = F.transform(slices(x["body"], ceiling, overlap), lambda t: part(x["crumb"], t))
-        over = F.struct(F.concat(flushed(s), cut).alias("done"), s["crumb"].alias("crumb"), F.lit("").alias("buf"))
-        fresh = F.struct(flushed(s).alias("done"), x["crumb"].alias("crumb"), x["body"].alias("buf"))
-        longer = F.struct(s["done"].alias("done"), s["crumb"].alias("crumb"), F.concat(s["buf"], F.lit("\n\n"), x["body"]).alias("buf"))
-        return F.when(F.length(x["body"]) > ceiling, over).when((s["buf"] == "") | (F.length(s["buf"]) + F.length(x["body"]) > ceiling), fresh).otherwise(longer)
+    What fits depends on all that went before, so sections pass one by one, in time linear in the text."""
+    if ceiling <= overlap:
+        raise ValueError("the ceiling must exceed the overlap")
 
-    return F.aggregate(found, state, step, flushed)
+    def fold(documents: pd.Series) -> pd.Series:  # local, so that it travels whole: executors may lack this package
+        done = []
+        for sections in documents:
+            parts: list[dict[str, str]] = []
+            held: list[str] = []
+            size, crumb = 0, ""
+
+            def flush() -> None:
+                nonlocal size
+                text = "\n\n".join(held).strip()
+                if text:
+                    parts.append({"crumb": crumb, "text": text})
+                held.clear()
+                size = 0
+
+            for section in sections if sections is not None else ():
+                body = section["body"]
+                if len(body) > ceiling:
+                    flush()
+                    begins = range(0, max(len(body) - overlap, 1), ceiling - overlap)
+                    parts.extend({"crumb": section["crumb"], "text": body[at : at + ceiling]} for at in begins)
+                    continue
+                if size == 0 or size + len(body) > ceiling:
+                    flush()
+                    crumb = section["crumb"]
+                    size = len(body)
+                else:
+                    size += len(body) + 2
+                held.append(body)
+            flush()
+            done.append(parts)
+        return pd.Series(done, dtype=object)
+
+    return F.pandas_udf(fold, "array<struct<crumb:string,text:string>>")(found)
 
 
 # The common entities, in the order of their replacement; a page with any other is unescaped by Python.

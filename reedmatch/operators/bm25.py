@@ -1,121 +1,133 @@
 """BM25 over a corpus of items (columns: idx, title, text), statistics always after the filter.
 
-`entries` is the index: one row for each item and term, and one with a null term for each item. It
-can be made on the fly, or written once by `write_index` and read by every later ranking.
+Rankings read the items' texts once, or a written index (`index.py`) and there only the terms of the bags.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions.text import tokens
 from ..sources.staging import broadcast_if_small, staged
+from . import index as indexes
+from .index import Index
+from .terms import averages, corpus, entries, idf, lengths, postings, term_idf
 
+__all__ = ["averages", "corpus", "entries", "idf", "lengths", "postings", "term_idf", "scores", "statistics", "top", "top_of_many", "top_by_bounds", "kept", "read_index", "write_index"]
 K1, B, TITLE_BOOST = 1.5, 0.75, 1.6
 
 
-def entries(items: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """idx, dl (number of terms, 1 for an item without any), term, tf, in_title, from one pass over the
-    items. Each item has a row with a null term. With `terms` (term), other terms are left out."""
-    # plain strings are exploded: "" stands for the item, a tab marks a term of the title
-    cut = items.select("idx", tokens("text").alias("words"), F.transform(F.array_distinct(tokens("title")), lambda t: F.concat(F.lit("\t"), t)).alias("heads"))
-    rows = cut.select("idx", F.greatest(F.size("words"), F.lit(1)).cast("long").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "words", "heads")).alias("e"))
-    head = F.col("e").startswith("\t")
-    rows = rows.select("idx", "dl", F.when(head, F.substring("e", 2, 1 << 30)).when(F.col("e") != "", F.col("e")).alias("term"), F.when(head | (F.col("e") == ""), 0).otherwise(1).alias("n"), head.alias("head"))
-    if terms is not None:
-        wanted = terms.select("term").distinct().withColumn("wanted", F.lit(True))
-        rows = rows.join(broadcast_if_small(wanted), "term", "left").where("term is null or wanted")
-    # terms of an item lie together, so they are counted before the shuffle
-    counted = rows.groupBy("idx", "dl", "term").agg(F.sum("n").cast("long").alias("tf"), F.max("head").alias("in_title"))
-    return counted.where("term is null or tf > 0")
-
+def write_index(items: DataFrame, folder: str, **layout: int) -> None:
+    indexes.write(items, folder, **layout)
 
-def write_index(items: DataFrame, folder: str) -> None:
-    """The index as Parquet, ordered by term, so that a ranking reads the row groups of its terms."""
-    entries(items).repartitionByRange("term").sortWithinPartitions("term", "idx").write.parquet(folder)
 
+def read_index(spark: SparkSession, folder: str) -> Index:
+    return indexes.read(spark, folder)
 
-def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(folder)
 
+def kept(items: DataFrame, column: str, allowed: list[str] | tuple[str, ...] | None = None) -> DataFrame:
+    """Items whose column is among the allowed values; none allowed means no filter, and null is no value."""
+    return items.where(F.col(column).isin(list(allowed))) if allowed else items
 
-def postings(items: DataFrame) -> DataFrame:
-    """idx, term, tf, in_title."""
-    words = items.select("idx", F.explode(tokens("text")).alias("term"), F.lit(1).alias("tf"), F.lit(False).alias("in_title"))
-    titles = items.select("idx", F.explode(F.array_distinct(tokens("title"))).alias("term"), F.lit(0).alias("tf"), F.lit(True).alias("in_title"))
-    return words.union(titles).groupBy("idx", "term").agg(F.sum("tf").alias("tf"), F.max("in_title").alias("in_title")).where("tf > 0")
 
+def statistics(index: Index | DataFrame) -> DataFrame:
+    """One row: n and avg_len, over all items of an index or of entries."""
+    return index.statistics() if isinstance(index, Index) else averages(index.where("term is null"))
 
-def lengths(items: DataFrame) -> DataFrame:
-    """idx and number of terms; 1 for items without a term."""
-    return items.select("idx", F.greatest(F.size(tokens("text")), F.lit(1)).cast("long").alias("dl"))
 
+@dataclass(frozen=True)
+class Hits:
+    """What the bags' terms match: rows (idx, dl, term, tf, in_title), staged, and statistics of all items."""
 
-def statistics(index: DataFrame) -> DataFrame:
-    """One row: n and avg_len, over all items of an index."""
-    return index.where("term is null").agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avg_len"))
+    rows: DataFrame
+    statistics: DataFrame
 
 
-def corpus(items: DataFrame) -> DataFrame:
-    """One row: n and avg_len, over all items."""
-    return lengths(items).agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avg_len"))
+def hits_of(items: DataFrame, bags: DataFrame) -> Hits:
+    """From one pass over the items' texts."""
+    found = staged(entries(items, bags), "hits")
+    return Hits(found.where("term is not null"), statistics(found))
 
 
-def idf(df: Column, n: Column) -> Column:
-    return F.log(1 + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
+def hits_in(index: Index, bags: DataFrame) -> Hits:
+    """From a written index: the buckets and row groups of the bags' terms."""
+    return Hits(staged(index.hits(bags), "hits"), staged(index.statistics(), "statistics"))
 
 
-def term_idf(items: DataFrame) -> DataFrame:
-    """term, df, idf: a term counts once for each item, so nothing but terms is shuffled."""
-    df = items.select(F.explode(F.array_distinct(tokens("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = items.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))  # one row
-    return df.crossJoin(F.broadcast(n)).select("term", "df", idf(F.col("df"), F.col("n")).alias("idf"))
+def gain(w: Column, tf: Column, dl: Column, avg_len: Column, in_title: Column) -> Column:
+    """What a term adds to an item's score; w: its weight in the bag times its idf."""
+    return w * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_len)) * F.when(in_title, TITLE_BOOST).otherwise(1.0)
 
 
-def scores(index: DataFrame, bags: DataFrame) -> DataFrame:
-    """profile, idx, score for the items of an index with a term of a bag (profile, term, qw).
+def weighted(bags: DataFrame, df: DataFrame, statistics: DataFrame) -> DataFrame:
+    """profile, term, w, avg_len of the bags' terms that occur."""
+    rows = bags.join(df, "term").crossJoin(F.broadcast(statistics))  # one row
+    return rows.select("profile", "term", (F.col("qw") * idf(F.col("df"), F.col("n"))).alias("w"), "avg_len")
 
-    The index is read several times: it should be staged, or limited to the bags' terms and staged."""
-    hits = index.where("term is not null")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weights = bags.join(df, "term").crossJoin(F.broadcast(statistics(index)))  # one row
-    weights = weights.select("profile", "term", "qw", "avg_len", idf(F.col("df"), F.col("n")).alias("w"))
-    tf = F.col("tf")
-    hit = F.col("qw") * F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_len")))
-    rows = hits.join(weights, "term")
-    return rows.groupBy("profile", "idx").agg(F.sum(hit * F.when(F.col("in_title"), TITLE_BOOST).otherwise(1.0)).alias("score"))
 
+def scores(hits: Hits, bags: DataFrame) -> DataFrame:
+    """profile, idx, score for the items with a term of a bag (profile, term, qw)."""
+    weights = weighted(bags, hits.rows.groupBy("term").agg(F.count("*").alias("df")), hits.statistics)
+    return _scored(hits.rows, weights)
 
-def hits_of(items: DataFrame, bags: DataFrame) -> DataFrame:
-    """A staged index of the bags' terms alone: the one pass over the items' texts."""
-    return staged(entries(items, bags), "hits")
 
-
-def hits_in(index: DataFrame, bags: DataFrame) -> DataFrame:
-    """The same from a written index."""
-    wanted = bags.select("term").distinct().withColumn("wanted", F.lit(True))
-    rows = index.join(broadcast_if_small(wanted), "term", "left").where("term is null or wanted")
-    return staged(rows.select("idx", "dl", "term", "tf", "in_title"), "hits")
+def _scored(hits: DataFrame, weights: DataFrame) -> DataFrame:
+    rows = hits.join(weights, "term")
+    return rows.groupBy("profile", "idx").agg(F.sum(gain(F.col("w"), F.col("tf"), F.col("dl"), F.col("avg_len"), F.col("in_title"))).alias("score"))
 
 
-def top(items: DataFrame, bag: DataFrame, width: int, index: DataFrame | None = None) -> DataFrame:
+def top(items: DataFrame, bag: DataFrame, width: int, index: Index | None = None) -> DataFrame:
     """idx and score of the best `width` items for one bag (term, qw); ties keep corpus order.
     width <= 0: all items with score 0; an empty bag: the first `width` items with score 0.
 
-    The items' texts are read once, when this is called (from `index` if there is one), and only what
+    The items' texts are read once, when this is called (none of them if there is an index), and only what
     the bag's terms match is staged."""
-    zero = items.select("idx", F.lit(0.0).alias("score"))
+    zero = (items if index is None else index.documents()).select("idx", F.lit(0.0).alias("score"))
     if width <= 0:
         return zero
     bag = bag.select(F.lit(0).alias("profile"), "term", "qw")
     hits = hits_of(items, bag) if index is None else hits_in(index, bag)
     ranked = scores(hits, bag).select("idx", F.round("score", 9).alias("score"))
+    return _or_first(ranked, zero, bag, width)
+
+
+def _or_first(ranked: DataFrame, zero: DataFrame, bag: DataFrame, width: int) -> DataFrame:
     empty = bag.agg(F.count("*").alias("n")).where("n = 0").select()  # one row or none
     first = zero.orderBy("idx").limit(width).crossJoin(F.broadcast(empty))
     return ranked.union(first).orderBy(F.desc("score"), "idx").limit(width)
 
 
-def top_of_many(items: DataFrame, bags: DataFrame, width: int, index: DataFrame | None = None) -> DataFrame:
+def top_by_bounds(index: Index, bag: DataFrame, width: int, seeds: int = 64) -> tuple[DataFrame, int, int]:
+    """(the rows of `top`, posting lists of the bag's terms, those of them that were read).
+
+    The numbers beside the postings bound what a block of items can score. The `seeds` blocks with the
+    greatest bounds are scored first; the score of their width-th item is the threshold, and of the other
+    blocks only those whose bound reaches it are read. A block below it can't hold any of the best, ties included."""
+    if width <= 0:
+        return top(None, bag, width, index), 0, 0
+    spark = index.spark
+    bag = staged(bag.select(F.lit(0).alias("profile"), "term", "qw"), "bag")
+    lists = index.lists(bag)
+    weights = staged(weighted(bag, index.frequencies(lists), index.statistics()), "weights")  # as many rows as the bag has terms
+    blocks = ["segment", "block"]
+    most = gain(F.col("w"), F.col("max_tf"), F.col("min_dl"), F.col("avg_len"), F.col("any_title"))
+    about = lists.select(*blocks, "term", "max_tf", "min_dl", "any_title").join(broadcast_if_small(weights), "term")
+    bounds = staged(about.groupBy(*blocks).agg(F.sum(most).alias("bound"), F.count("*").alias("n_lists")), "bounds")
+
+    def scored(some: DataFrame) -> DataFrame:
+        return _scored(index.postings(lists.join(some.select(*blocks), blocks, "left_semi")), weights).select("idx", F.round("score", 9).alias("score"))
+
+    first = F.broadcast(bounds.orderBy(F.desc("bound"), *blocks).limit(seeds))
+    best = [r["score"] for r in scored(first).orderBy(F.desc("score")).limit(width).collect()]  # width numbers
+    least = best[-1] - 1e-6 if len(best) == width else float("-inf")
+    wanted = staged(bounds.where(F.col("bound") >= least), "blocks-read")
+    count = lambda df: df.agg(F.sum("n_lists")).first()[0] or 0
+    zero = index.documents().select("idx", F.lit(0.0).alias("score"))
+    return _or_first(scored(broadcast_if_small(wanted)), zero, bag, width), count(bounds), count(wanted)
+
+
+def top_of_many(items: DataFrame, bags: DataFrame, width: int, index: Index | None = None) -> DataFrame:
     """profile, idx, score, rank_no of the best `width` items for each bag."""
     hits = hits_of(items, bags) if index is None else hits_in(index, bags)
     order = W.partitionBy("profile").orderBy(F.desc("score"), "idx")

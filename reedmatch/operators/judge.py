@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.jsons import clamped, lenient, strings
+from .calls import Policy, made
 from .profile import percent
+from .rows import numbered
 
 BATCH = 6
 VERDICTS = "struct<verdicts:array<struct<projectId:string,score:string,rationale:string,evidence:string,gaps:string>>>"
 
 
-def batched(ranked: DataFrame, order: list[Column], size: int = BATCH) -> DataFrame:
-    """pos (from 0) and batch_no of the few rows that a limit has left."""
-    row = F.row_number().over(W.orderBy(*order))
-    return ranked.withColumn("pos", (row - 1).cast("long")).withColumn("batch_no", F.floor(F.col("pos") / size))
+def batched(ranked: DataFrame, order: list[Column], size: int = BATCH, limited: bool = True) -> DataFrame:
+    """pos (from 0) and batch_no. `limited`: the few rows that a limit has left; else rows of a whole corpus, which are
+    numbered over all tasks."""
+    if limited:
+        rows = ranked.withColumn("pos", (F.row_number().over(W.orderBy(*order)) - 1).cast("long"))
+    else:
+        rows = numbered(ranked, order, "pos")
+    return rows.withColumn("batch_no", F.floor(F.col("pos") / size))
 
 
 def item_json(title: Column, description: Column, skills: Column, roles: Column, id: Column | None = None, area: Column | None = None) -> Column:
@@ -36,21 +41,10 @@ def requests(candidates: DataFrame, profile_text: str) -> DataFrame:
     return lists.select("batch_no", F.concat(F.lit(f"PROFILE:\n{profile_text}\n\nITEMS:\n["), body, F.lit("]")).alias("request"))
 
 
-def called(requests: DataFrame, judge: Callable[[str], str], at_once: int = 8) -> DataFrame:
-    """batch_no, reply and error of one call for each request, at most `at_once` at a time (one task
-    makes its calls one by one). A failed call is a row with an error, not an exception."""
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for number, request in zip(pdf["batch_no"], pdf["request"]):
-                try:
-                    out.append((number, judge(request), None))
-                except Exception as e:  # noqa: BLE001
-                    out.append((number, None, str(e) or type(e).__name__))
-            yield pd.DataFrame(out, columns=["batch_no", "reply", "error"])
-
-    return requests.repartition(at_once, "batch_no").mapInPandas(run, "batch_no long, reply string, error string")
+def called(requests: DataFrame, judge: Callable[[str], str], at_once: int = 8, policy: Policy = Policy()) -> DataFrame:
+    """batch_no, reply, error, kind and tries of one call for each request, at most `at_once` at a time. A failed call is a
+    row with an error, not an exception."""
+    return made(requests, "batch_no", judge, at_once, policy)
 
 
 def verdicts(replies: DataFrame) -> DataFrame:
@@ -97,17 +91,22 @@ def ranked(rows: DataFrame, top_n: int | None = 20) -> DataFrame:
 
 
 def match_view(best: DataFrame, counts: DataFrame, item: Column, pool_size: int) -> DataFrame:
-    """rank_no and view, a match as JSON: rank, score, rationale, evidence, gaps, its item, and the run's statistics."""
+    """rank_no and view, a match as JSON: rank, score, rationale, evidence, gaps, its item, and the run's statistics;
+    pool_size: items that the ranking chose from."""
     stats = F.struct(F.lit(pool_size).alias("poolSize"), F.col("n_screened").alias("screened"), F.col("n_judged").alias("judged"), F.col("judge_calls").alias("judgeCalls"), F.col("n_failed").alias("failedJudge"), F.col("n_dropped").alias("droppedIds"))
     match = F.struct(F.col("rank_no").alias("rank"), F.col("match_score").alias("score"), "rationale", "evidence", "gaps", item.alias("project"), stats.alias("stats"))
     return best.crossJoin(F.broadcast(counts)).select("rank_no", F.to_json(match).alias("view"))  # one row of counts
 
 
-def markdown(c_rank: Column, score: Column, title: Column, body: Column, evidence: Column, gaps: Column, start: Column | None = None) -> Column:
-    """One match as Markdown; its start date, evidence and gaps only where there are any."""
+def markdown(c_rank: Column, score: Column, title: Column, body: Column, evidence: Column, gaps: Column, start: Column | None = None, id: Column | None = None, rationale: Column | None = None) -> Column:
+    """One match as Markdown: its id, body and start date, the judge's rationale, how to find it again, evidence and
+    gaps; what is null or empty is left out, and so is what no column is given for."""
     bullets = lambda head, xs: F.when(F.size(xs) > 0, F.concat(F.lit(f"\n**{head}**\n"), F.array_join(F.transform(xs, lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("\n"))).otherwise("")
-    starts = F.lit("") if start is None else F.coalesce(F.concat(F.lit(" · starts "), F.nullif(start, F.lit(""))), F.lit(""))
-    return F.concat(F.lit("## "), c_rank.cast("string"), F.lit(". ["), score.cast("string"), F.lit("] "), title, F.lit("\n\n"), body, starts, F.lit("\n"), bullets("Evidence", evidence), bullets("Gaps", gaps))
+    framed = lambda before, c, after: F.lit("") if c is None else F.coalesce(F.concat(F.lit(before), F.nullif(c, F.lit("")), F.lit(after)), F.lit(""))
+    head = F.concat(F.lit("## "), c_rank.cast("string"), F.lit(". ["), score.cast("string"), F.lit("] "), title, F.lit("\n\n"))
+    about = F.concat(framed("ID `", id, "` · "), body, framed(" · starts ", start, ""), F.lit("\n"))
+    search = framed("\nSearch for: `", None if id is None else title, "`\n")
+    return F.concat(head, about, framed("\n", rationale, "\n"), search, bullets("Evidence", evidence), bullets("Gaps", gaps))
 
 
 def export(matches: DataFrame, counts: DataFrame, pool_size: int, judge_name: str, note: str = "") -> DataFrame:

@@ -5,17 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.jsons import entries_of
 from ..functions.text import content_key, tokens
 from ..sources.staging import staged
+from .calls import Policy, made
+from .rows import numbered_in
 
 KEYS = ("skills", "domains", "projects", "experience", "interests", "achievements", "constraints")
 FAN_IN = 6
-# The weight of a profile's parts.
+# The weight of a profile's parts: of a plain entry, then of an object's fields. A skill's name weighs by its strength.
 STRENGTHS = {"demonstrated": 3.0, "used": 2.0, "mentioned": 1.0}
-PLAIN_SKILL, INTEREST, DOMAIN, PROJECT_NAME, PROSE = 1.5, 3.0, 2.5, 2.0, 1.0
+PLAIN_SKILL = 1.5
+WEIGHTS: dict[str, tuple[float, dict[str, float]]] = {
+    "skills": (PLAIN_SKILL, {"name": PLAIN_SKILL}),
+    "domains": (2.5, {}),
+    "interests": (3.0, {}),
+    "projects": (1.0, {"name": 2.0, "what": 1.0}),
+    "experience": (1.0, {"role": 1.0, "what": 1.0}),
+}
 
 
 def strength_weight(c: Column) -> Column:
@@ -28,16 +37,29 @@ def weighted_bag(parts: DataFrame) -> DataFrame:
     return rows.groupBy("profile", "term").agg(F.sum("weight").alias("qw"))
 
 
-def parts_of(profile: dict) -> list[tuple[str, float]]:
-    """(text, weight) of a profile whose elements are structs or plain strings."""
-    out: list[tuple[str, float]] = []
-    for s in profile.get("skills") or []:
-        out.append((str(s.get("name") or ""), STRENGTHS.get(str(s.get("strength")), PLAIN_SKILL)) if isinstance(s, dict) else (str(s), PLAIN_SKILL))
-    out += [(str(i), INTEREST) for i in profile.get("interests") or []] + [(str(d), DOMAIN) for d in profile.get("domains") or []]
-    for key, name, weight in (("projects", "name", PROJECT_NAME), ("experience", "role", PROSE)):
-        for p in profile.get(key) or []:
-            out += [(str(p.get(name) or ""), weight), (str(p.get("what") or ""), PROSE)] if isinstance(p, dict) else [(str(p), PROSE)]
-    return out
+def parts(items: DataFrame) -> DataFrame:
+    """profile, text, weight from entries (profile, key, item): plain strings, or objects as JSON text, whose fields weigh
+    on their own. Of a key whose objects have no weighed field an object counts as its text; other keys weigh nothing."""
+    item = F.col("item")
+    is_object = item.startswith("{")
+    none = F.array().cast("array<struct<text:string,weight:double>>")
+
+    def weighed(plain: float, fields: dict[str, float]) -> Column:
+        part = lambda text, weight: F.struct(F.coalesce(text, F.lit("")).alias("text"), weight.alias("weight"))
+        alone = F.array(part(item, F.lit(plain)))
+        if not fields:
+            return alone
+        field = lambda f: F.get_json_object(item, f"$.{f}")
+        by_field = F.array(*(part(field(f), strength_weight(field("strength")) if w == PLAIN_SKILL else F.lit(w)) for f, w in fields.items()))
+        return F.when(is_object, by_field).otherwise(alone)
+
+    by_key = F.coalesce(*(F.when(F.col("key") == k, weighed(plain, fields)) for k, (plain, fields) in WEIGHTS.items()), none)
+    return items.select("profile", F.explode(by_key).alias("p")).select("profile", "p.text", "p.weight")
+
+
+def bags_of(items: DataFrame) -> DataFrame:
+    """profile, term, qw: the bags of merged profiles (profile, key, item), ready for a ranking."""
+    return weighted_bag(parts(items))
 
 
 def split_by_cache(units: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,20 +68,18 @@ def split_by_cache(units: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataF
     return keyed.join(cache, "unit_key", "left_anti"), keyed.join(cache, "unit_key")
 
 
-def extracted(todo: DataFrame, extractor: Callable[[str], str]) -> DataFrame:
-    """One call for each distinct passage: unit_key, extract (JSON) and error; a failed call is a row, not an exception."""
+def passage_request(text: Column, source: Column, section: Column | None = None) -> Column:
+    """What an extractor reads: where the passage is from, with its section if it has one, and the passage."""
+    where = F.lit("") if section is None else F.coalesce(F.concat(F.lit(", section: "), F.nullif(section, F.lit(""))), F.lit(""))
+    return F.concat(F.lit("PASSAGE (source: "), F.coalesce(source, F.lit("")), where, F.lit("):\n\n"), text)
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for key, text in zip(pdf["unit_key"], pdf["text"]):
-                try:
-                    out.append((key, extractor(text), None))
-                except Exception as e:  # noqa: BLE001
-                    out.append((key, None, str(e) or type(e).__name__))
-            yield pd.DataFrame(out, columns=["unit_key", "extract", "error"])
 
-    return todo.dropDuplicates(["unit_key"]).select("unit_key", "text").mapInPandas(run, "unit_key string, extract string, error string")
+def extracted(todo: DataFrame, extractor: Callable[[str], str], at_once: int = 8, policy: Policy = Policy()) -> DataFrame:
+    """One call for each distinct passage: unit_key, extract (JSON) and error; a failed call is a row, not an exception.
+    The extractor gets `request` where there is such a column, else the text. At most `at_once` calls run at a time."""
+    asked = F.min("request" if "request" in todo.columns else "text").alias("request")
+    replies = made(todo.groupBy("unit_key").agg(asked), "unit_key", extractor, at_once, policy)
+    return replies.withColumnRenamed("reply", "extract")
 
 
 def fingerprint(c: Column) -> Column:
@@ -84,9 +104,12 @@ def item_fingerprint(item: Column) -> Column:
 
 
 def first_wins(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
-    """Of rows with one fingerprint in a group, the first in order; blank ones go."""
-    rows = rows.withColumn("fingerprint", item_fingerprint(F.col(value))).where("fingerprint <> ''")
-    return rows.withColumn("nth", F.row_number().over(W.partitionBy(group, "fingerprint").orderBy(*order))).where("nth = 1").drop("nth")
+    """Of rows with one fingerprint in a group, the first in order; blank ones go. Firsts are combined before the
+    shuffle, so that a very common fingerprint is no hot key."""
+    printed = rows.withColumn("fingerprint", item_fingerprint(F.col(value))).where("fingerprint <> ''")
+    rest = [c for c in rows.columns if c not in (group, *order)]
+    first = printed.groupBy(group, "fingerprint").agg(F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("__x"))
+    return first.select(group, "fingerprint", "__x.*").select(*rows.columns, "fingerprint")
 
 
 def merged(extracts: DataFrame) -> DataFrame:
@@ -98,8 +121,8 @@ def merged(extracts: DataFrame) -> DataFrame:
     rows = rows.withColumn("fingerprint", item_fingerprint(F.col("item"))).where("fingerprint <> ''")
     # the first of each fingerprint is combined before the shuffle, so a very common one is no hot key
     kept = rows.groupBy("profile", "key", "fingerprint").agg(F.min(F.struct("idx", "at", "item")).alias("x"))
-    order = W.partitionBy("profile", "key").orderBy("x.idx", "x.at")
-    return kept.select("profile", "key", (F.row_number().over(order) - 1).cast("long").alias("pos"), "x.item")
+    kept = kept.select("profile", "key", F.struct("profile", "key").alias("part"), "x.idx", "x.at", "x.item")
+    return numbered_in(kept, "part", ["idx", "at"], "pos").select("profile", "key", "pos", "item")
 
 
 def reduce_layers(n: Column, fan_in: int = FAN_IN) -> Column:
@@ -108,27 +131,44 @@ def reduce_layers(n: Column, fan_in: int = FAN_IN) -> Column:
 
 
 def tree_reduced(pieces: DataFrame, combine: Callable[[list[str]], str], fallback: Callable[[list[str]], str], fan_in: int = FAN_IN) -> tuple[DataFrame, int]:
-    """One piece from pieces (idx, piece), fan_in of them in each call, in order; blank pieces go first,
-    and a failed call falls back, so no branch is lost. Returns the rows and the number of layers.
+    """One piece of pieces (idx, piece), and the number of layers: `trees_reduced` of one profile."""
+    rows = trees_reduced(pieces.select(F.lit(0).alias("profile"), "idx", "piece"), combine, fallback, fan_in)
+    layers = rows.agg(F.coalesce(F.max("layers"), F.lit(0))).first()[0]
+    return rows.select(F.lit(0).cast("long").alias("idx"), "piece"), layers
 
-    The pieces of one profile are numbered by one task; each layer is written to the shared folder."""
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = pdf.sort_values("idx")["piece"].tolist()
-        try:
-            out = combine(items)
-        except Exception:  # noqa: BLE001
-            out = fallback(items)
-        return pd.DataFrame({"idx": [int(pdf["slot"].iloc[0])], "piece": [out]})
+def trees_reduced(pieces: DataFrame, combine: Callable[[list[str]], str], fallback: Callable[[list[str]], str], fan_in: int = FAN_IN) -> DataFrame:
+    """profile, piece, n_pieces, layers, n_failed from pieces (profile, idx, piece): for each profile its pieces folded, fan_in
+    of them in each call, in order of idx, until one is left. Blank pieces go first; a failed call falls back, so no branch
+    is lost; a profile of one piece is folded by no call, and one without any has no row.
 
+    A layer is one job over all profiles, and no task holds more than fan_in pieces of one fold. Pieces get their
+    places over all tasks, so one profile may have most of them. Each layer is written to the shared folder."""
+    kind = pieces.schema["profile"].dataType.simpleString()
     filled = pieces.where(F.coalesce("piece", F.lit("")).rlike(r"(?U)\S"))
-    pieces = staged(filled.select((F.row_number().over(W.orderBy("idx")) - 1).cast("long").alias("idx"), "piece"), "pieces")
-    layers, n = 0, pieces.count()
-    while n > 1:
-        slots = pieces.withColumn("slot", F.floor(F.col("idx") / fan_in).cast("long"))
-        pieces = staged(slots.groupBy("slot").applyInPandas(merge, "idx long, piece string"), "pieces")
-        layers, n = layers + 1, -(-n // fan_in)
-    return pieces, layers
+    placed = numbered_in(filled.select("profile", "idx", "piece"), "profile", ["idx", "piece"], "pos").select("profile", "pos", "piece", F.lit(0).cast("long").alias("n_failed"))
+    now = staged(placed, "pieces")
+    sizes = staged(now.groupBy("profile").agg(F.count("*").alias("n_pieces")).withColumn("layers", reduce_layers(F.col("n_pieces"), fan_in)), "sizes")
+    layers = sizes.agg(F.coalesce(F.max("layers"), F.lit(0))).first()[0]
+
+    def fold(batches):
+        for pdf in batches:
+            out = []
+            for profile, slot, failed, found in zip(pdf["profile"], pdf["slot"], pdf["n_failed"], pdf["found"]):
+                items = [x["piece"] for x in found]
+                try:
+                    piece = combine(items)
+                except Exception:  # noqa: BLE001
+                    piece, failed = fallback(items), failed + 1
+                out.append((profile, slot, piece, failed))
+            yield pd.DataFrame(out, columns=["profile", "pos", "piece", "n_failed"])
+
+    for layer in range(layers):
+        slots = now.join(sizes.where(F.col("layers") > layer).select(F.col("profile").alias("__p"), F.lit(True).alias("__on")), F.col("profile").eqNullSafe(F.col("__p")), "left").withColumn("goes_on", F.col("__on").isNotNull()).drop("__p", "__on")
+        groups = slots.where("goes_on").groupBy("profile", F.floor(F.col("pos") / fan_in).alias("slot")).agg(F.sum("n_failed").alias("n_failed"), F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("found"))
+        folded = groups.mapInPandas(fold, f"profile {kind}, pos long, piece string, n_failed long")
+        now = staged(folded.union(slots.where("not goes_on").select("profile", "pos", "piece", "n_failed")), "pieces")
+    return now.join(sizes.withColumnRenamed("profile", "__p"), F.col("profile").eqNullSafe(F.col("__p"))).select("profile", "piece", "n_pieces", "layers", "n_failed")
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import jsons, text as tx
-from ..operators import bm25, judge, profile
+from ..operators import bm25, calls, index, judge, profile, runs
 from ..sources.staging import shared_folder, spread, staged
 
 #: Executors may lack this package: its functions travel whole.
@@ -28,11 +28,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(load(spark, sf_dir, "documents"))
+def plain_items(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    docs = load(spark, sf_dir, "documents") if docs is None else docs
     return docs.select(F.col("doc_id").alias("idx"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text", "source", "lang")
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose texts are cut to terms: a small file is dealt to all cores."""
+    return plain_items(spark, sf_dir, spread(load(spark, sf_dir, "documents")))
+
+
 def bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.weighted_bag(load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("profile"), "text", F.lit(1.0).alias("weight")))
 
@@ -71,6 +76,36 @@ def bm25_from_index(s, d):
     return ranked(bm25.top(items(s, d), bag(s, d), WIDTH, bm25.read_index(s, folder)))
 
 
+def changed_index(s, d, folder):
+    """An index of the documents but those of src3, then three changes: src3 comes in, German texts get another line and
+    text before them, and what is in src5 goes."""
+    docs = items(s, d)
+    bm25.write_index(docs.where("source <> 'src3' or source is null"), folder)
+    index.change(s, folder, docs.where("source = 'src3'"))
+    german = docs.where("lang = 'de'").withColumns({"title": F.concat("source", F.lit(" "), F.col("title")), "text": F.concat(F.lit("the of and que "), F.col("text"))})
+    index.change(s, folder, german)
+    index.change(s, folder, deleted=docs.where("source = 'src5'"))
+
+
+def bm25_after_changes(s, d):
+    folder = f"{shared_folder(s)}/index-{uuid.uuid4().hex}"
+    changed_index(s, d, folder)
+    return ranked(bm25.top(None, bag(s, d), WIDTH, bm25.read_index(s, folder)))
+
+
+def bm25_compacted(s, d):
+    folder = f"{shared_folder(s)}/index-{uuid.uuid4().hex}"
+    changed_index(s, d, folder)
+    index.compact(s, folder)
+    return ranked(bm25.top(None, bag(s, d), WIDTH, bm25.read_index(s, folder)))
+
+
+def bm25_by_bounds(s, d):
+    folder = f"{shared_folder(s)}/index-{uuid.uuid4().hex}"
+    bm25.write_index(items(s, d), folder)
+    return ranked(bm25.top_by_bounds(bm25.read_index(s, folder), bag(s, d), TOP)[0])
+
+
 def index_texts(s, d):
     return load(s, d, "documents").select("doc_id", F.md5(tx.index_text("source", "lang", "text")).alias("text_md5"))
 
@@ -80,8 +115,13 @@ def redacted_texts(s, d):
 
 
 def bm25_filtered(s, d):
-    pool = items(s, d).where(F.col("source").isin("src0", "src1", "src2", "src3") & (F.lower(F.coalesce("lang", F.lit(""))) == "en"))
-    return ranked(bm25.top(pool, bag(s, d), WIDTH))
+    pool = bm25.kept(items(s, d), "source", ("src0", "src1", "src2", "src3"))
+    return ranked(bm25.top(bm25.kept(pool.withColumn("lang", F.lower("lang")), "lang", ("en",)), bag(s, d), WIDTH))
+
+
+def bm25_no_filter(s, d):
+    """An empty set of allowed values is no filter."""
+    return ranked(bm25.top(bm25.kept(items(s, d), "source", ()), bag(s, d), WIDTH))
 
 
 def bm25_title_boost(s, d):
@@ -157,14 +197,77 @@ def merged_profiles(s, d):
     return profile.merged(rows).select("profile", "key", "pos", F.coalesce(F.get_json_object("item", "$.name"), "item").alias("item"), F.get_json_object("item", "$.strength").try_cast("long").alias("from_idx"))
 
 
+def extract_of(request: str) -> str:
+    """An extractor without a model: a skill and an interest from the first words; some texts have nothing, some fail."""
+    text = request.split("\n\n", 1)[1]
+    words = text.split()
+    if len(text) % 13 == 0:
+        raise calls.CallFailed("429 quota exceeded", 401)
+    if len(text) % 5 == 0 or len(words) < 2:
+        return "Nothing here: {}"
+    return json.dumps({"skills": [{"name": words[0], "strength": "used"}], "interests": words[1], "domains": None})
+
+
+def extract_of_later(request: str) -> str:
+    """The same when the quota is there again for texts of an even length."""
+    text = request.split("\n\n", 1)[1]
+    return extract_of(request if len(text) % 2 else request + "\n" if len(text) % 13 == 0 else request)
+
+
+def profile_run_of(s, d):
+    """Profiles of the sources: a first run, and one that takes up what failed."""
+    docs = load(s, d, "documents").where("source is not null and text is not null")
+    units = docs.select(F.col("source").alias("profile"), F.col("doc_id").alias("idx"), "text", profile.passage_request(F.col("text"), F.col("source"), F.split_part("text", F.lit("\n"), F.lit(1))).alias("request"))
+    folder = f"{shared_folder(s)}/cache-{uuid.uuid4().hex}"
+    runs.build(units, folder, extract_of)
+    return runs.build(units, folder, extract_of_later)
+
+
+def profile_run(s, d):
+    return profile_run_of(s, d).counters.drop("failed_percent")
+
+
+def profile_run_calls(s, d):
+    """What the second run read again: only passages that failed or had nothing."""
+    rows = profile_run_of(s, d).calls
+    return rows.groupBy(F.coalesce("kind", F.lit("none")).alias("kind"), "tries").agg(F.count("*").alias("n"))
+
+
+def run_bags(s, d):
+    return profile.bags_of(profile_run_of(s, d).items)
+
+
+def profile_bags(s, d):
+    return run_bags(s, d)
+
+
+def profile_ranking(s, d):
+    """From documents to profiles, from profiles to bags, and the best documents for each."""
+    best = bm25.top_of_many(items(s, d), staged(run_bags(s, d), "bags"), 5)
+    return best.select("profile", "idx", F.col("rank_no").cast("long").alias("rank_no"), F.round("score", 6).alias("score"))
+
+
+def folded(pieces: list[str]) -> str:
+    if any(p.startswith("0") for p in pieces):
+        raise RuntimeError("no answer")
+    return "(" + "+".join(pieces) + ")"
+
+
+def reduced_conversations(s, d):
+    """Conversations folded six turns at a time, a turn being the start of its digest; folds with one that begins with 0 fall back."""
+    pieces = load(s, d, "conversations").select(F.col("conv_id").alias("profile"), F.col("turn").alias("idx"), F.substring(F.sha1("text"), 1, 6).alias("piece"))
+    rows = profile.trees_reduced(pieces, folded, "|".join)
+    return rows.select(F.col("profile").alias("conv_id"), "piece", "n_pieces", "layers", "n_failed")
+
+
 def reduce_layers(s, d):
     n = load(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
     return n.select("conv_id", "n", profile.reduce_layers(F.col("n")).alias("layers"))
 
 
 def profile_counters(s, d):
-    rows = load(s, d, "documents").join(load(s, d, "labels"), "doc_id", "left")
-    n = rows.agg(F.count("*").alias("n_units"), F.count_if(F.col("quality") == 0).alias("n_failed"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("n_hits"))
+    """Counters of the run over all sources."""
+    n = profile_run_of(s, d).counters.agg(*(F.sum(c).alias(c) for c in ("n_units", "n_cached", "n_failed", "n_hits")))
     return n.withColumn("failed_percent", profile.percent(F.col("n_failed"), F.col("n_units")))
 
 
@@ -180,8 +283,14 @@ def candidates(s, d):
     return staged(judge.batched(best, [F.desc("score"), F.col("idx")]).withColumn("id", F.col("idx").cast("string")), "candidates")
 
 
+def judge_all_batches(s, d):
+    """Batches of the whole corpus, as without a filter (width 0) every item is judged."""
+    rows = judge.batched(bm25.top(plain_items(s, d), bag(s, d), 0), [F.desc("score"), F.col("idx")], limited=False)
+    return rows.select("idx", "pos", "batch_no")
+
+
 def judge_batches(s, d):
-    rows = candidates(s, d).join(items(s, d).select("idx", "title", "text", "source", "lang"), "idx")
+    rows = candidates(s, d).join(plain_items(s, d).select("idx", "title", "text", "source", "lang"), "idx")
     seen = judge.item_json(F.col("title"), F.col("text"), F.col("source"), F.col("lang"))
     return rows.select("idx", "pos", "batch_no", F.length(F.get_json_object(seen, "$.description")).cast("long").alias("shown_chars"))
 
@@ -189,8 +298,9 @@ def judge_batches(s, d):
 def replies(cands: DataFrame, labels: DataFrame) -> DataFrame:
     """The deterministic judge: a reply in code fences for each batch, without the items it has no label
     for, with one that nobody asked for; batch 7 fails."""
-    v = F.struct(F.col("id").alias("projectId"), (F.col("quality") * 60 + (1 - F.col("toxic")) * 25 + F.col("idx") % 10).cast("string").alias("score"), F.lit("by label").alias("rationale"))
-    ghost = F.struct(F.lit("ghost").alias("projectId"), F.lit("99").alias("score"), F.lit("").alias("rationale"))
+    v = F.struct(F.col("id").alias("projectId"), (F.col("quality") * 60 + (1 - F.col("toxic")) * 25 + F.col("idx") % 10).cast("string").alias("score"), F.concat(F.lit("by label of "), F.col("id")).alias("rationale"), F.array(F.concat(F.lit("quality "), F.col("quality").cast("string"))).alias("evidence"), F.when(F.col("toxic") == 1, F.array(F.lit("toxic"))).otherwise(F.array().cast("array<string>")).alias("gaps"))
+    none = F.array().cast("array<string>")
+    ghost = F.struct(F.lit("ghost").alias("projectId"), F.lit("99").alias("score"), F.lit("").alias("rationale"), none.alias("evidence"), none.alias("gaps"))
     rows = cands.join(labels.withColumnRenamed("doc_id", "idx"), "idx", "left")
     lists = rows.groupBy("batch_no").agg(F.collect_list(F.when(F.col("quality").isNotNull(), v)).alias("vs"))
     reply = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.concat("vs", F.array(ghost)).alias("verdicts"))), F.lit("\n```"))
@@ -221,7 +331,7 @@ def scored_by_id(request: str) -> str:
 def judged_by_call(s, d):
     cands = candidates(s, d)
     shown = judge.item_json(F.col("title"), F.col("text"), F.col("source"), F.col("lang"), F.col("id"))
-    rows = cands.join(items(s, d).select("idx", "title", "text", "source", "lang"), "idx").select("batch_no", "pos", shown.alias("item"))
+    rows = cands.join(plain_items(s, d).select("idx", "title", "text", "source", "lang"), "idx").select("batch_no", "pos", shown.alias("item"))
     return judge.joined(cands, staged(judge.called(judge.requests(rows, "a profile"), scored_by_id), "replies"))
 
 
@@ -248,24 +358,26 @@ def match_pipeline(s, d):
     return best.select(F.col("rank_no").cast("long").alias("rank_no"), "idx", "match_score", "batch_no")
 
 
+def shown(s, d, best):
+    rows = best.join(plain_items(s, d).select("idx", "title", "source"), "idx")
+    return rows.select(F.col("rank_no").cast("long").alias("rank_no"), judge.markdown(F.col("rank_no"), F.col("match_score"), F.col("title"), F.col("source"), F.col("evidence"), F.col("gaps"), F.lit("2024"), F.col("id"), F.col("rationale")).alias("markdown"))
+
+
 def export_markdown(s, d):
-    best = judge.ranked(judged(s, d), TOP).join(items(s, d).select("idx", "title", "source"), "idx")
-    return best.select(F.col("rank_no").cast("long").alias("rank_no"), judge.markdown(F.col("rank_no"), F.col("match_score"), F.col("title"), F.col("source"), F.array(F.col("rationale")), F.array().cast("array<string>")).alias("markdown"))
+    return shown(s, d, judge.ranked(judged(s, d), TOP))
 
 
 def match_views(s, d):
     rows = staged(judged(s, d), "judged")
-    best = judge.ranked(rows, TOP).join(items(s, d).select("idx", "title"), "idx")
-    views = judge.match_view(best, judge.counters(rows), F.struct(F.col("id"), F.col("title")), 1000)
+    best = judge.ranked(rows, TOP).join(plain_items(s, d).select("idx", "title"), "idx")
+    views = judge.match_view(best, judge.counters(rows), F.struct(F.col("id"), F.col("title")), load(s, d, "documents").count())
     part = lambda path: F.get_json_object("view", path)
-    return views.select(F.col("rank_no").cast("long").alias("rank_no"), part("$.score").cast("int").alias("score"), part("$.project.id").alias("id"), part("$.project.title").alias("title"), part("$.stats.judged").cast("long").alias("judged"), part("$.stats.failedJudge").cast("long").alias("failed"))
+    return views.select(F.col("rank_no").cast("long").alias("rank_no"), part("$.score").cast("int").alias("score"), part("$.rationale").alias("rationale"), part("$.project.id").alias("id"), part("$.project.title").alias("title"), part("$.stats.poolSize").cast("long").alias("pool_size"), part("$.stats.judged").cast("long").alias("judged"), part("$.stats.failedJudge").cast("long").alias("failed"))
 
 
 def export_report(s, d):
     rows = staged(judged(s, d), "judged")
-    best = judge.ranked(rows, TOP).join(items(s, d).select("idx", "title", "source"), "idx")
-    parts = best.select("rank_no", judge.markdown(F.col("rank_no"), F.col("match_score"), F.col("title"), F.col("source"), "evidence", F.array(F.col("rationale")), F.lit("2024")).alias("markdown"))
-    return judge.export(parts, judge.counters(rows), 1000, "by label", "Search the title.")
+    return judge.export(shown(s, d, judge.ranked(rows, TOP)), judge.counters(rows), load(s, d, "documents").count(), "by label", "Search the title.")
 
 
 def facets(s, d):
@@ -276,20 +388,17 @@ def source_counts(s, d):
     return load(s, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("total_chars"))
 
 
-MESSAGES = ("429 Too Many Requests", "invalid API key", "billing required", "model not found", "could not parse JSON", "connect timeout", "oops", "quota exceeded")
-
-
 def error_classes(s, d):
-    message = F.element_at(F.array(*map(F.lit, MESSAGES)), (F.col("event_id") % 8 + 1).cast("int"))
-    return load(s, d, "events").groupBy(tx.error_class(message).alias("class")).agg(F.count("*").alias("n"))
+    """What the texts of the corpus would count as, were each the message of a failed call."""
+    return load(s, d, "documents").groupBy("source", tx.error_class(F.col("text")).alias("class")).agg(F.count("*").alias("n"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_tf, doc_lengths, corpus_stats, term_idf, bm25_topk, bm25_from_index, index_texts, redacted_texts, bm25_filtered, bm25_title_boost, bm25_multi_profile, bm25_width_zero, bm25_empty_bag,
+        tokenize_tf, doc_lengths, corpus_stats, term_idf, bm25_topk, bm25_from_index, bm25_after_changes, bm25_compacted, bm25_by_bounds, bm25_no_filter, index_texts, redacted_texts, bm25_filtered, bm25_title_boost, bm25_multi_profile, bm25_width_zero, bm25_empty_bag,
         query_bag_weighted, html_to_text, html_sections, passages_hard_split, passages_packed, content_keys, cache_antijoin, usable_documents, merge_first_wins, merged_profiles,
-        reduce_layers, profile_counters, failure_pct, judge_batches, verdict_join, run_counters, call_verdicts, call_counters, score_clamp, json_fields,
+        profile_run, profile_run_calls, profile_bags, profile_ranking, reduced_conversations, reduce_layers, profile_counters, failure_pct, judge_batches, judge_all_batches, verdict_join, run_counters, call_verdicts, call_counters, score_clamp, json_fields,
         match_pipeline, export_markdown, match_views, export_report,
         facets, source_counts, error_classes,
     )
