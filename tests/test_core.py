@@ -62,40 +62,72 @@ def test_width_and_empty_bag(spark):
     assert [tuple(r) for r in bm25.top(items(spark, CORPUS), none, 2).collect()] == [(0, 0.0), (1, 0.0)]
 
 
-def model_packed(text, ceiling, overlap):
-    heads = list(re.finditer(r"^(#{1,6})\s+(.+)$", text, re.M))
-    secs = [("", text)] if not heads else ([("", text[: heads[0].start()].strip())] if text[: heads[0].start()].strip() else [])
-    for k, m in enumerate(heads):
-        secs.append((m[2].strip(), text[m.start() : heads[k + 1].start() if k + 1 < len(heads) else len(text)].strip()))
-    parts, buf, crumb = [], "", ""
-    for c, body in secs:
-        if len(body) > ceiling:
-            if buf.strip():
-                parts.append((crumb, buf.strip()))
-            buf, at = "", 0
-            while True:
-                parts.append((c, body[at : at + ceiling]))
-                if at + ceiling >= len(body):
-                    break
-                at += ceiling - overlap
+def squeezed(text):
+    return re.sub(r"\s+", "", text)
+
+
+def check_packed(text, sections, parts, ceiling, overlap):
+    """What passages of a text must satisfy, whatever way they were made."""
+    assert squeezed("".join(body for _, body in sections)) == squeezed(text)  # sections rebuild the text
+    at = 0  # sections that the parts so far have used up
+    for k, (crumb, part) in enumerate(parts):
+        while not sections[at][1].strip():
+            at += 1
+        first = at
+        assert crumb == sections[first][0] and part
+        if len(sections[first][1]) > ceiling:  # slices of one section: each goes on `overlap` before the last one's end
+            body = sections[first][1]
+            mine = [p for _, p in parts[k:]][: 1 + max(0, -(-(len(body) - ceiling) // (ceiling - overlap)))]
+            joined = mine[0] + "".join(p[overlap:] for p in mine[1:])
+            assert joined == body and all(len(p) <= ceiling for p in mine)
+            assert all(a[len(a) - overlap :] == b[:overlap] for a, b in zip(mine, mine[1:]))
+            parts[k + 1 : k + len(mine)] = []
+            at += 1
             continue
-        if buf and len(buf) + len(body) > ceiling:
-            parts.append((crumb, buf.strip()))
-            buf = ""
-        if not buf:
-            crumb = c
-            buf = body
-        else:
-            buf += "\n\n" + body
-    return parts + ([(crumb, buf.strip())] if buf.strip() else [])
+        taken, size = [], 0
+        while at < len(sections) and squeezed("".join(taken)) != squeezed(part):
+            taken.append(sections[at][1])
+            size += len(sections[at][1]) + (2 if size else 0)
+            at += 1
+        assert squeezed("".join(taken)) == squeezed(part)  # whole sections, none left out
+        assert len(part) <= ceiling + 2 * len(taken)
+        if at < len(sections) and len(sections[at][1]) <= ceiling and sections[at][1]:
+            assert size + len(sections[at][1]) > ceiling  # the next one didn't fit
+    assert all(not body.strip() for _, body in sections[at:])
+
+
+def pairs(rows):
+    return [tuple(r) for r in rows]
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.lists(st.sampled_from(["# One", "## Two x", "alpha beta", "", "word " * 9, "#no", "y" * 70]), max_size=9), min_size=20, max_size=20))
-def test_passages_equal_the_model(spark, docs):
+def test_passages_hold(spark, docs):
     texts = ["\n".join(d) for d in docs]
-    got = one(spark, lambda c: tx.packed(tx.sections(c), 60, 10), *texts)
-    assert [[tuple(p) for p in g] for g in got] == [model_packed(t, 60, 10) for t in texts]
+    found, got = one(spark, tx.sections, *texts), one(spark, lambda c: tx.packed(tx.sections(c), 60, 10), *texts)
+    for text, sections, parts in zip(texts, found, got):
+        check_packed(text, pairs(sections), pairs(parts), 60, 10)
+
+
+def test_passages_by_hand(spark):
+    text = "intro\n# A\n" + "a" * 20 + "\n# B\nb\n# C\n" + "c" * 75 + "\n# D\nd"
+    got = one(spark, lambda c: tx.packed(tx.sections(c), 40, 10), text)[0]
+    assert pairs(got) == [("", "intro\n\n# A\n" + "a" * 20 + "\n\n# B\nb"), ("C", "# C\n" + "c" * 36), ("C", "c" * 40), ("C", "c" * 19), ("D", "# D\nd")]
+
+
+def test_packing_is_linear(spark):
+    import time
+
+    def took(n):
+        rows = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.struct(k.cast("string").alias("crumb"), F.repeat(F.lit("x"), k % 50).alias("body"))).alias("s"))
+        rows = rows.select(F.size(tx.packed(F.col("s"), 500, 50)).alias("n"))
+        rows.collect()
+        began = time.time()
+        rows.collect()
+        return time.time() - began
+
+    took(1000)
+    assert took(100_000) < 4 * took(50_000) + 1
 
 
 def test_slices_refuse_a_ceiling_below_the_overlap():
@@ -123,7 +155,8 @@ def test_every_entity(spark):
     want = [html.unescape(t) for t in ENTITY_PAGES.values()]
     assert one(spark, tx.html_to_text, *ENTITY_PAGES, None, "") == [*want, "", ""]
     got = one(spark, lambda c: tx.packed(tx.sections(tx.html_to_text(c)), 20, 5), *ENTITY_PAGES)
-    assert [[tuple(p) for p in g] for g in got] == [model_packed(t, 20, 5) for t in want]
+    for text, sections, parts in zip(want, one(spark, tx.sections, *want), got):
+        check_packed(text, pairs(sections), pairs(parts), 20, 5)
 
 
 def test_registered_passages(spark):
@@ -134,12 +167,13 @@ def test_registered_passages(spark):
     spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(rows)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     got = {r["id"]: tuple(r)[1:] for r in queries.passages_packed(spark, folder).collect()}
     texts = one(spark, tx.html_to_text, *(h for _, h in rows))
-    want = {}
-    for k, ((url, _), text) in enumerate(zip(rows, texts)):
-        parts = model_packed(text, 1500, 200)
-        for i, (crumb, body) in enumerate(parts):
-            want[f"doc:{k}#{i}"] = (k, url if len(parts) == 1 else f"{url} — part {i + 1}/{len(parts)}", crumb or url, body)
-    assert got == want and len(want) > 5
+    sections = one(spark, tx.sections, *texts)
+    for k, (url, _) in enumerate(rows):
+        mine = [got[f"doc:{k}#{i}"] for i in range(sum(key.startswith(f"doc:{k}#") for key in got))]
+        assert [m[1] for m in mine] == ([url] if len(mine) == 1 else [f"{url} — part {i + 1}/{len(mine)}" for i in range(len(mine))])
+        assert {m[0] for m in mine} <= {k}
+        check_packed(texts[k], pairs(sections[k]), [("" if c == url else c, t) for _, _, c, t in mine], 1500, 200)
+    assert len(got) > 5
 
 
 def test_lenient_json(spark):
@@ -326,9 +360,13 @@ def test_word_files_and_corpora(spark, tmp_path):
     assert [(r["title"], r["kind"], r["error"]) for r in ingest.carried(sent).collect()] == [("untitled", "text", "")]
 
 
-def test_bag_weights():
-    p = {"skills": [{"name": "rust", "strength": "used"}, "go"], "projects": [{"name": "x", "what": "y"}, "z"], "interests": ["i"]}
-    assert profile.parts_of(p) == [("rust", 2.0), ("go", 1.5), ("i", 3.0), ("x", 2.0), ("y", 1.0), ("z", 1.0)]
+def test_bag_weights(spark):
+    items = [("skills", '{"name":"rust","strength":"used"}'), ("skills", '{"name":"c++","strength":"odd"}'), ("skills", "golang"), ("projects", '{"name":"engine","what":"parsing"}'), ("projects", "zig"), ("interests", "birds"), ("domains", "physics"), ("domains", '{"a":"odd1"}'), ("experience", '{"role":"tester","org":"nowhere"}'), ("achievements", "prize"), ("constraints", "remote")]
+    rows = spark.createDataFrame([("p", k, i) for k, i in items], "profile string, key string, item string")
+    got = Counter((r["text"], r["weight"]) for r in profile.parts(rows).collect() if r["text"])
+    assert got == Counter([("rust", 2.0), ("c++", 1.5), ("golang", 1.5), ("engine", 2.0), ("parsing", 1.0), ("zig", 1.0), ("birds", 3.0), ("physics", 2.5), ('{"a":"odd1"}', 2.5), ("tester", 1.0)])
+    bag = {r["term"]: r["qw"] for r in profile.bags_of(rows.union(rows)).collect()}
+    assert bag["rust"] == 4.0 and "prize" not in bag and "nowhere" not in bag
     assert profile.warning(8, 1, 5, "e") == "12% of passages failed (1 of 8): e"
 
 
