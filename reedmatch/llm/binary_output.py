@@ -210,7 +210,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int | None) -> str:
         if docs_here:
             yield flush()
 
-    ranged = tokens.where("n_tokens >= 0").select("doc_id", "ids").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    # the row's number in the staged table tells rows of one doc_id apart, so that many of them are cut over tasks
+    ranged = tokens.where("n_tokens >= 0").select("doc_id", "ids").withColumn("row", F.monotonically_increasing_id()).repartitionByRange(partitions(spark), "doc_id", "row").sortWithinPartitions("doc_id", "row")
     map_stream(ranged, run, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
     drop_staged(tokens)
     base, rows = 0, []
