@@ -15,7 +15,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import jsons, text as tx
-from ..operators import bm25, calls, index, judge, profile, runs
+from ..operators import bm25, index, judge, profile, runs
+from ..operators.calls import CallFailed
 from ..sources.staging import shared_folder, spread, staged
 
 #: Executors may lack this package: its functions travel whole.
@@ -202,7 +203,7 @@ def extract_of(request: str) -> str:
     text = request.split("\n\n", 1)[1]
     words = text.split()
     if len(text) % 13 == 0:
-        raise calls.CallFailed("429 quota exceeded", 401)
+        raise CallFailed("429 quota exceeded", 401)
     if len(text) % 5 == 0 or len(words) < 2:
         return "Nothing here: {}"
     return json.dumps({"skills": [{"name": words[0], "strength": "used"}], "interests": words[1], "domains": None})
