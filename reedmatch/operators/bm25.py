@@ -50,11 +50,6 @@ def hits_of(items: DataFrame, bags: DataFrame) -> Hits:
     return Hits(found.where("term is not null"), statistics(found))
 
 
-def hits_in(index: Index, bags: DataFrame) -> Hits:
-    """From a written index: the buckets and row groups of the bags' terms."""
-    return Hits(staged(index.hits(bags), "hits"), staged(index.statistics(), "statistics"))
-
-
 def gain(w: Column, tf: Column, dl: Column, avg_len: Column, in_title: Column) -> Column:
     """What a term adds to an item's score; w: its weight in the bag times its idf."""
     return w * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_len)) * F.when(in_title, TITLE_BOOST).otherwise(1.0)
@@ -77,6 +72,20 @@ def _scored(hits: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.groupBy("profile", "idx").agg(F.sum(gain(F.col("w"), F.col("tf"), F.col("dl"), F.col("avg_len"), F.col("in_title"))).alias("score"))
 
 
+def _from_index(index: Index, bags: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(posting lists of the bags' terms, weights, bags). Bags of few terms come to the driver once and are then constants of
+    the plan; frequencies come from the numbers beside the postings, so a ranking is one more job."""
+    few = bags.select("profile", "term", "qw", F.xxhash64("term").alias("h")).limit(indexes.MOST_TERMS + 1).collect()
+    if len(few) <= indexes.MOST_TERMS:
+        lists = index.lists(bags, {r["term"]: r["h"] for r in few if r["term"] is not None})
+        kinds = f"profile {bags.schema['profile'].dataType.simpleString()}, term string, qw double"
+        bags = index.spark.createDataFrame([(r["profile"], r["term"], float(r["qw"])) for r in few], kinds).coalesce(1)
+    else:
+        bags = staged(bags.select("profile", "term", "qw"), "bags")
+        lists = index.lists(bags)
+    return lists, weighted(bags, index.frequencies(lists), index.statistics()), bags
+
+
 def top(items: DataFrame, bag: DataFrame, width: int, index: Index | None = None) -> DataFrame:
     """idx and score of the best `width` items for one bag (term, qw); ties keep corpus order.
     width <= 0: all items with score 0; an empty bag: the first `width` items with score 0.
@@ -87,9 +96,12 @@ def top(items: DataFrame, bag: DataFrame, width: int, index: Index | None = None
     if width <= 0:
         return zero
     bag = bag.select(F.lit(0).alias("profile"), "term", "qw")
-    hits = hits_of(items, bag) if index is None else hits_in(index, bag)
-    ranked = scores(hits, bag).select("idx", F.round("score", 9).alias("score"))
-    return _or_first(ranked, zero, bag, width)
+    if index is None:
+        scored = scores(hits_of(items, bag), bag)
+    else:
+        lists, weights, bag = _from_index(index, bag)
+        scored = _scored(index.postings(lists), weights)
+    return _or_first(scored.select("idx", F.round("score", 9).alias("score")), zero, bag, width)
 
 
 def _or_first(ranked: DataFrame, zero: DataFrame, bag: DataFrame, width: int) -> DataFrame:
@@ -106,10 +118,8 @@ def top_by_bounds(index: Index, bag: DataFrame, width: int, seeds: int = 64) ->
     blocks only those whose bound reaches it are read. A block below it can't hold any of the best, ties included."""
     if width <= 0:
         return top(None, bag, width, index), 0, 0
-    spark = index.spark
-    bag = staged(bag.select(F.lit(0).alias("profile"), "term", "qw"), "bag")
-    lists = index.lists(bag)
-    weights = staged(weighted(bag, index.frequencies(lists), index.statistics()), "weights")  # as many rows as the bag has terms
+    lists, weights, bag = _from_index(index, bag.select(F.lit(0).alias("profile"), "term", "qw"))
+    weights = staged(weights, "weights")  # as many rows as the bag has terms
     blocks = ["segment", "block"]
     most = gain(F.col("w"), F.col("max_tf"), F.col("min_dl"), F.col("avg_len"), F.col("any_title"))
     about = lists.select(*blocks, "term", "max_tf", "min_dl", "any_title").join(broadcast_if_small(weights), "term")
@@ -129,7 +139,11 @@ def top_by_bounds(index: Index, bag: DataFrame, width: int, seeds: int = 64) ->
 
 def top_of_many(items: DataFrame, bags: DataFrame, width: int, index: Index | None = None) -> DataFrame:
     """profile, idx, score, rank_no of the best `width` items for each bag."""
-    hits = hits_of(items, bags) if index is None else hits_in(index, bags)
+    if index is None:
+        scored = scores(hits_of(items, bags), bags)
+    else:
+        lists, weights, _ = _from_index(index, bags)
+        scored = _scored(index.postings(lists), weights)
     order = W.partitionBy("profile").orderBy(F.desc("score"), "idx")
-    ranked = scores(hits, bags).withColumn("score", F.round("score", 9)).withColumn("rank_no", F.row_number().over(order))
+    ranked = scored.withColumn("score", F.round("score", 9)).withColumn("rank_no", F.row_number().over(order))
     return ranked.where(F.col("rank_no") <= width)

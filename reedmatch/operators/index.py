@@ -23,11 +23,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.staging import broadcast_if_small, delete, run, staged
-from .terms import averages, entries
+from .terms import entries
 
 BLOCK, ROWS_OF_FILE = 64, 400_000
 #: Up to this many terms are named in the scan's filters; more are joined.
 MOST_TERMS = 2000
+#: What a ranking needs to know of a segment before it reads any: its buckets, items and words, and those that it took away.
+LAYOUT = "buckets int, n long, words long, n_gone long, words_gone long"
 HITS = "idx long, dl long, term string, tf long, in_title boolean"
 
 
@@ -77,8 +79,10 @@ def _write(spark: SparkSession, path: str, found: DataFrame, documents: DataFram
     by_bucket = lists.withColumn("bucket", bucket_of(F.col("term"), buckets))
     order = ["bucket", "term", "block"]
     by_bucket.repartitionByRange(files, *order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/postings")
-    spark.createDataFrame([(buckets, block)], "buckets int, block int").coalesce(1).write.parquet(f"{path}/layout")
     gone.select("idx", "dl").write.parquet(f"{path}/gone")
+    sums = lambda df: tuple(df.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first())
+    row = (buckets, *sums(documents), *sums(spark.read.schema("idx long, dl long").parquet(f"{path}/gone")))
+    spark.createDataFrame([row], LAYOUT).coalesce(1).write.parquet(f"{path}/layout")
     documents.write.parquet(f"{path}/documents")
 
 
@@ -95,7 +99,7 @@ def write(items: DataFrame, folder: str, block: int = BLOCK, rows_of_file: int =
 
 def change(spark: SparkSession, folder: str, items: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
     """Adds items, replaces those with a known idx, and deletes those of `deleted` (idx); an idx in both is replaced.
-    An unknown idx to delete is ignored."""
+    An unknown idx to delete is ignored. Of two changes at once the second to begin fails, as its segment's folder is there."""
     index = read(spark, folder)
     last = index.parts[-1].last if index.parts else 0
     with run(spark):
@@ -128,6 +132,10 @@ class Segment:
     last: int
     path: str
     buckets: int
+    n: int
+    words: int
+    n_gone: int
+    words_gone: int
 
 
 @dataclass(frozen=True)
@@ -159,26 +167,29 @@ class Index:
         return self.alive(self._all("documents", "idx long, dl long")).select("idx", "dl")
 
     def statistics(self) -> DataFrame:
-        """One row: n and avg_len. Sums of the segments' lengths less those of what is gone; no join."""
-        rows = self._all("documents", "idx long, dl long").select("dl", F.lit(1).alias("sign")).union(self._all("gone", "idx long, dl long").select("dl", F.lit(-1).alias("sign")))
-        sums = rows.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("k"), F.coalesce(F.sum(F.col("dl") * F.col("sign")), F.lit(0)).alias("words"))
-        return sums.select(F.greatest("k", F.lit(1)).cast("long").alias("n"), F.when(F.col("k") > 0, F.col("words") / F.col("k")).otherwise(1.0).alias("avg_len"))
-
-    def lists(self, terms: DataFrame | None) -> DataFrame:
-        """segment, term, block, n, max_tf, min_dl, any_title, postings of the wanted terms (term): a few are named in the scan, which
-        then reads their buckets and row groups alone; more are joined by bucket and term."""
+        """One row: n and avg_len, from the sums that each segment keeps."""
+        n, words = (sum(getattr(p, c) - getattr(p, f"{c}_gone") for p in self.parts) for c in ("n", "words"))
+        return self.spark.range(1).select(F.lit(max(n, 1)).cast("long").alias("n"), F.lit(words / n if n else 1.0).alias("avg_len"))
+
+    def named(self, terms: DataFrame) -> dict[str, int] | None:
+        """The distinct terms with their hashes, if there are at most MOST_TERMS."""
+        found = terms.select("term", F.xxhash64("term").alias("h")).where("term is not null").distinct().limit(MOST_TERMS + 1).collect()
+        return {r["term"]: r["h"] for r in found} if len(found) <= MOST_TERMS else None
+
+    def lists(self, terms: DataFrame | None, few: dict[str, int] | None = None) -> DataFrame:
+        """segment, term, block, n, max_tf, min_dl, any_title, postings of the wanted terms (term), of all for None. A few (`named`,
+        unless given) are named in the scan, which then reads their buckets and row groups alone; more are joined by
+        bucket and term."""
         schema = "term string, block long, n long, max_tf long, min_dl long, any_title boolean, postings array<struct<idx:long,dl:long,tf:long,in_title:boolean>>, bucket int"
         out = []
-        few = None
-        if terms is not None:
+        if few is None and terms is not None:
+            few = self.named(terms)
+        if few is None and terms is not None:
             terms = staged(terms.select("term").where("term is not null").distinct(), "terms")
-            if terms.count() <= MOST_TERMS:
-                few = [r["term"] for r in terms.collect()]
         for p in self.parts:
             rows = self.spark.read.schema(schema).parquet(f"{p.path}/postings")
             if few is not None:
-                named = self.spark.createDataFrame([(t,) for t in few], "term string").select(bucket_of(F.col("term"), p.buckets).alias("b")).distinct()
-                rows = rows.where(F.col("bucket").isin([r["b"] for r in named.collect()]) & F.col("term").isin(few))
+                rows = rows.where(F.col("bucket").isin(sorted({h % p.buckets for h in few.values()})) & F.col("term").isin(list(few)))
             elif terms is not None:
                 rows = rows.join(broadcast_if_small(terms.withColumn("bucket", bucket_of(F.col("term"), p.buckets))), ["bucket", "term"], "left_semi")
             out.append(rows.drop("bucket").withColumn("segment", F.lit(p.last)))
@@ -202,8 +213,10 @@ class Index:
 
 def read(spark: SparkSession, folder: str) -> Index:
     """The index as it is now; changes made later are not seen."""
-    parts = []
-    for first, last, path in segments(spark, folder):
-        layout = spark.read.schema("buckets int, block int").parquet(f"{path}/layout").first()
-        parts.append(Segment(first, last, path, layout["buckets"]))
-    return Index(spark, parts)
+    live = segments(spark, folder)
+    if not live:
+        return Index(spark, [])
+    where = F.regexp_extract(F.input_file_name(), r"/(segment-\d+-\d+)/layout/", 1)
+    rows = spark.read.schema(LAYOUT).parquet(*(f"{path}/layout" for _, _, path in live)).select(where.alias("name"), "*").collect()  # one row for each segment
+    layouts = {r["name"]: tuple(r)[1:] for r in rows}
+    return Index(spark, [Segment(first, last, path, *layouts[f"segment-{first}-{last}"]) for first, last, path in live])
