@@ -126,13 +126,18 @@ def held_out() -> F.Column:
 
 
 def sample(docs: DataFrame, most_rows: int) -> DataFrame:
-    """Staged (lang, text, h) of at most most_rows documents of each language, those with the least hashes."""
-    usable = docs.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), "text", held_out().alias("out")).where("not out and lang is not null and text is not null")
-    first = W.partitionBy("lang").orderBy("h")
-    bounds = usable.select("lang", "h").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= most_rows).groupBy("lang").agg(F.max("h").alias("last"))
-    near = usable.join(small(staged(bounds, "language-bounds"), 100_000), "lang").where("h <= last")
-    near = near.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h", F.xxhash64("text")))).where(F.col("nth") <= most_rows)
-    return staged(near.select("lang", "text", "h"), "language-sample")
+    """Staged (lang, text, h) of at most most_rows doc_ids of each language, those with the least hashes; of rows with one
+    doc_id and language the least text.
+
+    Hashes are uniform, so a bound that about one and a half times as many ids stay below follows from the number of
+    ids; what is below it is combined by id before the shuffle, and only that is ranked."""
+    usable = docs.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.col("text").cast("string").alias("text"), held_out().alias("out")).where("not out and lang is not null and text is not null")
+    share = 1.5 * most_rows / F.greatest(F.approx_count_distinct("h"), F.lit(1))
+    bound = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((share * 2.0**64 - 2.0**63).cast("long"))
+    bounds = staged(usable.groupBy("lang").agg(bound.alias("bound")), "language-bounds")
+    near = usable.join(small(bounds, 100_000), "lang").where("h <= bound").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    ranked = staged(near, "language-near").withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h")))
+    return staged(ranked.where(F.col("nth") <= most_rows).select("lang", "text", "h"), "language-sample")
 
 
 def fit(docs: DataFrame, most_rows: int = MOST_ROWS) -> Codes | None:
