@@ -113,16 +113,18 @@ def change(spark: SparkSession, folder: str, items: DataFrame | None = None, del
         _write(spark, f"{folder}/segment-{last + 1}-{last + 1}", found.where("term is not null"), documents, gone, BLOCK, ROWS_OF_FILE)
 
 
-def compact(spark: SparkSession, folder: str, block: int = BLOCK, rows_of_file: int = ROWS_OF_FILE) -> None:
-    """Merges all segments into one and deletes them. Readers of the old ones must be done."""
-    index = read(spark, folder)
-    if len(index.parts) < 2:
+def compact(spark: SparkSession, folder: str, keep: int = 0, block: int = BLOCK, rows_of_file: int = ROWS_OF_FILE) -> None:
+    """Merges all segments but the first `keep` into one and deletes them, so that many small changes need not rewrite a
+    large segment before them. Readers of the old ones must be done."""
+    parts = read(spark, folder).parts
+    earlier, merged = Index(spark, parts[:keep]), Index(spark, parts[keep:])
+    if len(merged.parts) < 2:
         return
     with run(spark):
-        found, documents = staged(index.hits(None), "entries"), staged(index.documents(), "lengths")
-        none = spark.createDataFrame([], "idx long, dl long")
-        _write(spark, f"{folder}/segment-{index.parts[0].first}-{index.parts[-1].last}", found, documents, none, block, rows_of_file)
-    for part in index.parts:
+        found, documents = staged(merged.hits(None), "entries"), staged(merged.documents(), "lengths")
+        gone = earlier.documents().join(merged._all("gone", "idx long, dl long").select("idx").distinct(), "idx", "left_semi")
+        _write(spark, f"{folder}/segment-{merged.parts[0].first}-{merged.parts[-1].last}", found, documents, gone, block, rows_of_file)
+    for part in merged.parts:
         delete(spark, part.path)
 
 

@@ -92,6 +92,8 @@ def test_changes_equal_a_rebuild(spark, tmp_path):
     assert len(ix.parts) == 4
     plan = ix.hits(bag(spark, BAG))._jdf.queryExecution().executedPlan().toString()
     assert "text" not in plan
+    index.compact(spark, folder, keep=1)
+    assert [(p.first, p.last) for p in holds().parts] == [(1, 1), (2, 4)]
     index.compact(spark, folder)
     assert len(holds().parts) == 1
     index.change(spark, folder, deleted=spark.createDataFrame([(0,)], "idx long"))
@@ -322,6 +324,20 @@ def test_small_scans_are_spread_by_bytes(spark, tmp_path, monkeypatch):
     assert staging.spread(df).rdd.getNumPartitions() == df.rdd.getNumPartitions()
 
 
+def test_an_index_follows_a_stream(spark, tmp_path):
+    from reedmatch.streaming import indexed_items
+
+    rows_ = corpus(spark, 60)
+    source, folder, checkpoint = (str(tmp_path / n) for n in ("items", "index", "checkpoint"))
+    changed = (7, "word3 word40", "word3 word40 word110")
+    for step in (rows_[:40], [*rows_[40:], changed]):
+        spark.createDataFrame(step, ITEM).coalesce(1).write.mode("append").parquet(source)
+        indexed_items(spark, source, folder, checkpoint).awaitTermination()
+    now = spark.createDataFrame([r for r in rows_ if r[0] != 7] + [changed], ITEM)
+    ix = bm25.read_index(spark, folder)
+    assert len(ix.parts) == 2 and pairs(bm25.top(None, bag(spark, BAG), 20, ix)) == pairs(bm25.top(now, bag(spark, BAG), 20))
+
+
 def test_counts_by_hour(spark):
     from reedmatch.streaming import counts_by_hour
 
