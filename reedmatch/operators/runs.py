@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import content_key
-from ..sources.staging import delete, staged
+from ..sources.staging import delete, shared_folder, staged
 from .calls import Policy
 from .profile import extracted, has_content, merged, percent, shaped
 
@@ -66,20 +67,29 @@ def warned(n_units: Column, n_failed: Column, n_hits: Column, first_error: Colum
     )
 
 
-def build(units: DataFrame, folder: str, extractor: Callable[[str], str], at_once: int = 8, policy: Policy = Policy(), batch: str | None = None) -> ProfileRun:
+def build(units: DataFrame, folder: str, extractor: Callable[[str], str], at_once: int = 8, policy: Policy = Policy(), batch: str | None = None, wave: int = 50_000) -> ProfileRun:
     """Profiles of units (profile, idx, text, and request if the extractor reads more than the text).
 
     Passages whose extract is in the cache under `folder` are not read again; the others are read once for each
     distinct text; extracts with something in them are added to the cache, failed and empty ones are not, so the next
-    run reads them again. The union of a profile's extracts is its profile."""
+    run reads them again. The union of a profile's extracts is its profile.
+
+    Passages are read in waves of about `wave`, each added to the cache when it is done: a build that breaks off, or a task that
+    is lost, costs a wave's calls at most."""
     spark = units.sparkSession
     batch = batch or uuid.uuid4().hex
     units = staged(units.withColumn("unit_key", content_key("text")), "units")
     cached = staged(read_cache(spark, folder).join(units.select("unit_key").distinct(), "unit_key", "left_semi"), "cached")
-    todo = units.join(cached.select("unit_key"), "unit_key", "left_anti")
-    calls = staged(extracted(todo, extractor, at_once, policy), "extracts")
+    asked = F.min("request" if "request" in units.columns else "text").alias("request")
+    todo = staged(units.join(cached.select("unit_key"), "unit_key", "left_anti").groupBy("unit_key").agg(asked), "todo")
+    waves = max(1, ceil(todo.count() / wave))
+    path = f"{shared_folder(spark)}/extracts-{uuid.uuid4().hex}"
+    for w in range(waves):
+        mine = staged(extracted(todo.where(F.pmod(F.xxhash64("unit_key"), F.lit(waves)) == w), extractor, at_once, policy), "wave")
+        append(mine.where(F.col("error").isNull() & has_content(shaped(F.col("extract")))), folder, f"{batch}-{w}")
+        mine.write.mode("append").parquet(path)
+    calls = spark.read.schema(mine.schema).parquet(path)
     fresh = calls.where(F.col("error").isNull() & has_content(shaped(F.col("extract")))).select("unit_key", "extract")
-    append(fresh, folder, batch)
     known = cached.select("unit_key", "extract", F.lit("cached").alias("how")).union(fresh.withColumn("how", F.lit("fresh")))
     known = staged(known.union(calls.where("error is not null").select("unit_key", F.lit(None).cast("string"), F.lit("failed"))), "known")
     rows = units.join(known, "unit_key", "left").join(calls.where("error is not null").select("unit_key", "error"), "unit_key", "left")

@@ -275,6 +275,29 @@ def test_a_run_is_taken_up_again(spark, tmp_path):
     assert nothing.counters.count() == nothing.items.count() == nothing.calls.count() == 0
 
 
+def test_a_run_that_breaks_off_keeps_its_waves(spark, tmp_path):
+    units = spark.createDataFrame([("p", k, f"text {k}") for k in range(60)], "profile string, idx long, text string")
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def extractor(stops):
+        def call(text):
+            if stops and text == "text 31":
+                raise SystemExit("lost")
+            (seen / f"{stops}-{text}-{random.random()}").touch()
+            return json.dumps({"skills": [text]})
+
+        return call
+
+    folder = str(tmp_path / "cache")
+    with pytest.raises(Exception):  # noqa: B017
+        runs.build(units, folder, extractor(True), wave=6)
+    done = runs.read_cache(spark, folder).count()
+    run = runs.build(units, folder, extractor(False), wave=6)
+    assert 60 - done == len(list(seen.glob("False-*"))) and run.counters.first()["n_hits"] == 60
+    assert run.calls.count() == 60 - done and run.items.count() == 60
+
+
 def test_passage_requests(spark):
     df = spark.createDataFrame([("t", "s", "h"), ("t", "s", ""), ("t", None, None)], "t string, s string, h string")
     got = [r[0] for r in df.select(profile.passage_request(F.col("t"), F.col("s"), F.col("h"))).collect()]
