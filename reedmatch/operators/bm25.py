@@ -72,18 +72,18 @@ def _scored(hits: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.groupBy("profile", "idx").agg(F.sum(gain(F.col("w"), F.col("tf"), F.col("dl"), F.col("avg_len"), F.col("in_title"))).alias("score"))
 
 
-def _from_index(index: Index, bags: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(posting lists of the bags' terms, weights, bags). Bags of few terms come to the driver once and are then constants of
-    the plan; frequencies come from the numbers beside the postings, so a ranking is one more job."""
+def _from_index(index: Index, bags: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """(posting lists of the bags' terms, their weights, whether the bags are empty). Bags of few terms come to the driver once and
+    are then constants of the plan, their weights broadcast; frequencies come from the numbers beside the postings."""
     few = bags.select("profile", "term", "qw", F.xxhash64("term").alias("h")).limit(indexes.MOST_TERMS + 1).collect()
-    if len(few) <= indexes.MOST_TERMS:
-        lists = index.lists(bags, {r["term"]: r["h"] for r in few if r["term"] is not None})
-        kinds = f"profile {bags.schema['profile'].dataType.simpleString()}, term string, qw double"
-        bags = index.spark.createDataFrame([(r["profile"], r["term"], float(r["qw"])) for r in few], kinds).coalesce(1)
-    else:
+    if len(few) > indexes.MOST_TERMS:
         bags = staged(bags.select("profile", "term", "qw"), "bags")
         lists = index.lists(bags)
-    return lists, weighted(bags, index.frequencies(lists), index.statistics()), bags
+        return lists, broadcast_if_small(staged(weighted(bags, index.frequencies(lists), index.statistics()), "weights")), False
+    lists = index.lists(bags, {r["term"]: r["h"] for r in few if r["term"] is not None})
+    kinds = f"profile {bags.schema['profile'].dataType.simpleString()}, term string, qw double"
+    bags = F.broadcast(index.spark.createDataFrame([(r["profile"], r["term"], float(r["qw"])) for r in few], kinds))
+    return lists, F.broadcast(weighted(bags, index.frequencies(lists), index.statistics())), not few
 
 
 def top(items: DataFrame, bag: DataFrame, width: int, index: Index | None = None) -> DataFrame:
@@ -96,12 +96,15 @@ def top(items: DataFrame, bag: DataFrame, width: int, index: Index | None = None
     if width <= 0:
         return zero
     bag = bag.select(F.lit(0).alias("profile"), "term", "qw")
-    if index is None:
-        scored = scores(hits_of(items, bag), bag)
-    else:
-        lists, weights, bag = _from_index(index, bag)
-        scored = _scored(index.postings(lists), weights)
-    return _or_first(scored.select("idx", F.round("score", 9).alias("score")), zero, bag, width)
+    if index is not None:
+        lists, weights, empty = _from_index(index, bag)
+        return zero.orderBy("idx").limit(width) if empty else _best(_scored(index.postings(lists), weights), width)
+    scored = scores(hits_of(items, bag), bag).select("idx", F.round("score", 9).alias("score"))
+    return _or_first(scored, zero, bag, width)
+
+
+def _best(scored: DataFrame, width: int) -> DataFrame:
+    return scored.select("idx", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "idx").limit(width)
 
 
 def _or_first(ranked: DataFrame, zero: DataFrame, bag: DataFrame, width: int) -> DataFrame:
@@ -118,23 +121,24 @@ def top_by_bounds(index: Index, bag: DataFrame, width: int, seeds: int = 64) ->
     blocks only those whose bound reaches it are read. A block below it can't hold any of the best, ties included."""
     if width <= 0:
         return top(None, bag, width, index), 0, 0
-    lists, weights, bag = _from_index(index, bag.select(F.lit(0).alias("profile"), "term", "qw"))
-    weights = staged(weights, "weights")  # as many rows as the bag has terms
+    lists, weights, empty = _from_index(index, bag.select(F.lit(0).alias("profile"), "term", "qw"))
+    if empty:
+        return top(None, bag, width, index), 0, 0
+    weights = broadcast_if_small(staged(weights, "weights"))  # as many rows as the bag has terms
     blocks = ["segment", "block"]
     most = gain(F.col("w"), F.col("max_tf"), F.col("min_dl"), F.col("avg_len"), F.col("any_title"))
-    about = lists.select(*blocks, "term", "max_tf", "min_dl", "any_title").join(broadcast_if_small(weights), "term")
+    about = lists.select(*blocks, "term", "max_tf", "min_dl", "any_title").join(weights, "term")
     bounds = staged(about.groupBy(*blocks).agg(F.sum(most).alias("bound"), F.count("*").alias("n_lists")), "bounds")
 
     def scored(some: DataFrame) -> DataFrame:
-        return _scored(index.postings(lists.join(some.select(*blocks), blocks, "left_semi")), weights).select("idx", F.round("score", 9).alias("score"))
+        return _scored(index.postings(lists.join(some.select(*blocks), blocks, "left_semi")), weights)
 
     first = F.broadcast(bounds.orderBy(F.desc("bound"), *blocks).limit(seeds))
-    best = [r["score"] for r in scored(first).orderBy(F.desc("score")).limit(width).collect()]  # width numbers
+    best = [r["score"] for r in _best(scored(first), width).collect()]  # width numbers
     least = best[-1] - 1e-6 if len(best) == width else float("-inf")
     wanted = staged(bounds.where(F.col("bound") >= least), "blocks-read")
     count = lambda df: df.agg(F.sum("n_lists")).first()[0] or 0
-    zero = index.documents().select("idx", F.lit(0.0).alias("score"))
-    return _or_first(scored(broadcast_if_small(wanted)), zero, bag, width), count(bounds), count(wanted)
+    return _best(scored(broadcast_if_small(wanted)), width), count(bounds), count(wanted)
 
 
 def top_of_many(items: DataFrame, bags: DataFrame, width: int, index: Index | None = None) -> DataFrame:
