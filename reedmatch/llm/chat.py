@@ -93,22 +93,45 @@ def mask(loss_from: int, loss_to: int, n_ids: int) -> np.ndarray:
     return np.cumsum(steps)[:n_ids].astype(bool)
 
 
+def decoded(formatted: DataFrame, path: str) -> DataFrame:
+    """What each turn's ids say, decoded where they lie: conv_id, turn_no, token_start, n_ids, said (role, line end, text, line end in
+    UTF-8), loss (the text under the loss mask), loss_chars and chars (of the formatted turn)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        if not batch.num_rows:
+            return None
+        library = Library(path)
+        table, size = library.token_bytes(), library.vocab_size
+        text_of = lambda ids: b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
+        out = []
+        for data, a, b in zip(*(batch.column(c).to_pylist() for c in ("ids", "loss_from", "loss_to"))):
+            ids = unpacked(data)
+            if ids[0] != size:
+                raise ValueError("a turn must begin with its marker")
+            end = int(np.flatnonzero(ids == size + 1)[0])
+            content = text_of(ids[1:end])
+            role, _, text = content.partition("\n")
+            under = unescape(text_of(ids[mask(a, b, len(ids))]))
+            said = f"{unescape_role(role)}\n{unescape(text)}\n"
+            out.append((len(ids), said.encode("utf-8", "surrogatepass"), under.encode("utf-8", "surrogatepass"), len(under), len(START) + len(content) + len(END) + len(text_of(ids[end + 1 :]))))
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        made = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+        return pa.record_batch([*(batch.column(c) for c in ("conv_id", "turn_no", "token_start")), *made], ["conv_id", "turn_no", "token_start", "n_ids", "said", "loss", "loss_chars", "chars"])
+
+    rows = formatted.select("conv_id", "turn_no", "token_start", "ids", "loss_from", "loss_to")
+    return map_batches(rows, run, "conv_id long, turn_no long, token_start long, n_ids long, said binary, loss binary, loss_chars long, chars long")
+
+
 def read_back(formatted: DataFrame, path: str) -> DataFrame:
     """Digests of each conversation from its ids alone: n_turns, turns_sha256, loss_chars,
-    loss_sha256, formatted_chars and n_ids. The two digests are of a whole conversation, so its turns stream
-    through one task in order, one at a time in memory."""
-    spark = formatted.sparkSession
+    loss_sha256, formatted_chars and n_ids. Turns are decoded in all tasks. The two digests are of a whole conversation, in order,
+    so one task feeds its turns' bytes to the hashes, a turn at a time in memory, and does nothing else."""
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_ids long"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = Library(path)
-        table, size = library.token_bytes(), library.vocab_size
         now, state, done = object(), None, []
 
-        def text_of(ids: np.ndarray) -> str:
-            return b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
-
         def rows() -> pa.RecordBatch:
             return pa.record_batch([pa.array(c, pa.string() if n.endswith("sha256") else pa.int64()) for n, c in zip(names, zip(*done))], names)
 
@@ -117,23 +140,19 @@ def read_back(formatted: DataFrame, path: str) -> DataFrame:
                 done.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5]))
 
         for batch in batches:
-            for conv, start, data, a, b in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "token_start", "ids", "loss_from", "loss_to"))):
+            said, loss = batch.column("said"), batch.column("loss")
+            for k, (conv, start, n_ids, loss_chars, chars) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("conv_id", "token_start", "n_ids", "loss_chars", "chars")))):
                 if state is None or conv != now:
                     close()
                     now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                ids = unpacked(data)
-                if ids[0] != size or start != state[5]:
-                    raise ValueError("a turn must begin with its marker, where the one before ended")
-                end = int(np.flatnonzero(ids == size + 1)[0])
-                content = text_of(ids[1:end])
-                role, _, text = content.partition("\n")
-                under = text_of(ids[mask(a, b, len(ids))])
+                if start != state[5]:
+                    raise ValueError("a turn must begin where the one before ended")
                 state[0] += 1
-                state[1].update(f"{unescape_role(role)}\n{unescape(text)}\n".encode("utf-8", "surrogatepass"))
-                state[2] += len(unescape(under))
-                state[3].update(unescape(under).encode("utf-8", "surrogatepass"))
-                state[4] += len(START) + len(content) + len(END) + len(text_of(ids[end + 1 :]))
-                state[5] += len(ids)
+                state[1].update(said[k].as_buffer())
+                state[2] += loss_chars
+                state[3].update(loss[k].as_buffer())
+                state[4] += chars
+                state[5] += n_ids
             if len(done) >= 1000:
                 yield rows()
                 done = []
@@ -141,7 +160,7 @@ def read_back(formatted: DataFrame, path: str) -> DataFrame:
         if done:
             yield rows()
 
-    ordered = formatted.repartition(partitions(spark), "conv_id").sortWithinPartitions("conv_id", "turn_no")
+    ordered = decoded(formatted, path).repartition(partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn_no")
     return map_stream(ordered, run, schema)
 
 
