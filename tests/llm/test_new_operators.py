@@ -49,6 +49,22 @@ def test_languages_held_out(spark):
     assert by_id[905][0]["lang_pred"] in SYLLABLES and len({tuple(r) for r in by_id[1]}) == 1 and len(by_id[1]) == 2
 
 
+def test_sample_is_bounded(spark):
+    docs, rows = corpus(spark, 400)
+    hot = spark.range(600).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("hot "), F.col("id").cast("string")).alias("text"), F.lit("dd").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    got = language.sample(docs.union(hot).union(docs), 20).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["lang"]].append(r["h"])
+    assert set(by) == set(SYLLABLES) and all(len(v) == len(set(v)) == 20 for v in by.values())
+    everything = language.sample(docs.union(hot), 10_000).groupBy("lang").count().collect()
+    ids = defaultdict(set)
+    for i, _, lang, _, _ in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            ids[lang].add(i)
+    assert {r["lang"]: r["count"] for r in everything} == {k: len(v) for k, v in ids.items()}
+
+
 def test_held_out_labels_are_never_read(spark):
     docs, _ = corpus(spark, 120)
     wrong = docs.withColumn("lang", F.when(language.held_out(), F.lit("zz")).otherwise(F.col("lang")))
