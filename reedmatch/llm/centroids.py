@@ -5,7 +5,8 @@ coefficients, coarse ones (few changes of sign) first. The transform keeps squar
 factor of 64, so the sum over the first coefficients is a lower bound of a distance. A vector's leader
 after the first group of coefficients is finished at once; at each further group, centroids whose sum is
 already strictly greater than the leader's whole distance are out, and those that stay are finished on all 64.
-All sums are integers, so nothing depends on rounding, on batches or on the order of tasks.
+All sums are integers, so nothing depends on rounding, on batches or on the order of tasks. Batches whose
+squared distances might not fit 64 bits are computed with integers of any size.
 
 The coefficients are staged once. A round is one pass over them: tasks return 64 sums and a count for each
 centroid, which Spark adds up; centroids * 64 numbers come to the driver, whatever the input's size.
@@ -23,8 +24,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import map_batches, map_stream, staged
 
 WIDTH, SCALE = 64, 1024
-#: Components beyond +-2**24 are left out: 64 times their squared distances would not fit 64 bits.
+#: Up to here the sums of squared differences of coefficients fit 64 bits; beyond it they are Python's integers.
 MOST = 1 << 24
+#: Coefficients of components from here on would not fit 64 bits.
+TOO_WIDE = 1 << 57
 #: Ends of the groups of coefficients, coarse to fine.
 GROUPS = (4, 8, 16, 32, 64)
 
@@ -61,10 +64,13 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     taken) of rows of coefficients."""
     n, k = len(x), len(centroids)
     rows = np.arange(n)
+    whole = np.iinfo(np.int64).max
+    if max(int(np.abs(m).max(initial=0)) for m in (x, centroids)) > WIDTH * MOST:
+        x, centroids, whole = x.astype(object), centroids.astype(object), 1 << 200
 
     def more(row: np.ndarray, centre: np.ndarray, begin: int, end: int) -> np.ndarray:
         d = x[row, begin:end] - centroids[centre, begin:end]
-        return np.einsum("ij,ij->i", d, d)
+        return (d * d).sum(1) if d.dtype == object else np.einsum("ij,ij->i", d, d)
 
     row, centre = np.repeat(rows, k), np.tile(np.arange(k), n)
     sums = more(row, centre, 0, GROUPS[0])
@@ -72,38 +78,42 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     leader = sums.reshape(n, k).argmin(1) if n else np.zeros(0, np.int64)
     bound = sums.reshape(n, k)[rows, leader] + more(rows, leader, GROUPS[0], WIDTH)
     taken += n * (WIDTH - GROUPS[0])
-    whole = sums.reshape(n, k).copy()
-    whole[rows, leader] = bound
     alive = (sums <= bound[row]) & (centre != leader[row])
     for begin, end in zip(GROUPS, GROUPS[1:]):
         row, centre, sums = row[alive], centre[alive], sums[alive]
         sums = sums + more(row, centre, begin, end)
         taken += len(row) * (end - begin)
         alive = sums <= bound[row]
-    best = np.full((n, k), np.iinfo(np.int64).max)
+    best = np.full((n, k), whole, x.dtype)
     best[rows, leader] = bound
     best[row[alive], centre[alive]] = sums[alive]
     at = best.argmin(1) if n else leader
     return at, best[rows, at] // WIDTH, taken
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(-1, WIDTH).astype(np.int64)
+def _encoded(coefs: np.ndarray) -> list[bytes]:
+    """Each row's coefficients as 32-bit integers in little-endian order, or as 64-bit ones where they need it."""
+    wide = (np.abs(coefs) >> 31).any(1)
+    return [row.astype("<i8" if w else "<i4").tobytes() for row, w in zip(coefs, wide)]
+
+
+def _matrix(rows: list[bytes]) -> np.ndarray:
+    if all(len(r) == WIDTH * 4 for r in rows):
+        return np.frombuffer(b"".join(rows), "<i4").reshape(-1, WIDTH).astype(np.int64)
+    return np.stack([np.frombuffer(r, "<i4" if len(r) == WIDTH * 4 else "<i8").astype(np.int64) for r in rows])
 
 
 def coefficients(vectors: DataFrame) -> DataFrame:
-    """vec_id and coefs (64 coefficients, 32-bit integers in little-endian order) of the vectors that are kept."""
+    """vec_id and coefs (64 coefficients as in `_encoded`) of the vectors that are kept."""
     e = F.col("embedding")
-    fine = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double") * SCALE) < MOST))
+    fine = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double") * SCALE) < TOO_WIDE))
     rows = vectors.where(F.coalesce((F.size(e) == WIDTH) & fine, F.lit(False)))
-    whole = rows.select(F.col("vec_id").cast("long"), F.transform(e, lambda v: F.floor(v.cast("double") * SCALE).cast("int")).alias("whole"))
+    whole = rows.select(F.col("vec_id").cast("long"), F.transform(e, lambda v: F.floor(v.cast("double") * SCALE).cast("long")).alias("whole"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = batch.column("whole")
         x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
-        data = transformed(x).astype("<i4").tobytes()
-        size = WIDTH * 4
-        return pa.record_batch([batch.column("vec_id"), pa.array([data[i : i + size] for i in range(0, len(data), size)], pa.binary())], ["vec_id", "coefs"])
+        return pa.record_batch([batch.column("vec_id"), pa.array(_encoded(transformed(x)), pa.binary())], ["vec_id", "coefs"])
 
     return map_batches(whole, run, "vec_id long, coefs binary")
 
@@ -112,7 +122,7 @@ def first_centroids(coefs: DataFrame, k: int, seed: int) -> np.ndarray:
     """The vectors with the least sha256 of `seed:vec_id` (a null id counts as empty; ties: by coefficients)."""
     keyed = coefs.select(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256).alias("h"), "coefs")
     found = [r["coefs"] for r in keyed.orderBy("h", "coefs").limit(k).collect()]  # k rows
-    return np.frombuffer(b"".join(found), "<i4").reshape(-1, WIDTH).astype(np.int64)
+    return _matrix(found) if found else np.zeros((0, WIDTH), np.int64)
 
 
 def _round(coefs: DataFrame, centroids: np.ndarray) -> np.ndarray:
@@ -120,18 +130,19 @@ def _round(coefs: DataFrame, centroids: np.ndarray) -> np.ndarray:
     k = len(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, counts = np.zeros((k, WIDTH), np.int64), np.zeros(k, np.int64)
+        sums, counts = np.zeros((k, WIDTH), object), np.zeros(k, np.int64)
         for batch in batches:
-            x = _matrix(batch.column("coefs"))
+            x = _matrix(batch.column("coefs").to_pylist())
             at = nearest(x, centroids)[0]
+            wide = np.abs(x).max(initial=0) > WIDTH * MOST
             for c in np.unique(at):
-                sums[c] += x[at == c].sum(0)
+                sums[c] += (x[at == c].astype(object) if wide else x[at == c]).sum(0)
             counts += np.bincount(at, minlength=k)
         some = np.flatnonzero(counts)
         if len(some):
-            yield pa.record_batch([pa.array(some), pa.array(counts[some]), pa.array(sums[some].tolist(), pa.list_(pa.int64()))], ["c", "n", "sums"])
+            yield pa.record_batch([pa.array(some), pa.array(counts[some]), pa.array([[str(s) for s in line] for line in sums[some]], pa.list_(pa.string()))], ["c", "n", "sums"])
 
-    parts = map_stream(coefs.select("coefs"), run, "c long, n long, sums array<long>")
+    parts = map_stream(coefs.select("coefs"), run, "c long, n long, sums array<string>")
     by_place = parts.select("c", "n", F.posexplode("sums").alias("at", "s")).groupBy("c", "at").agg(F.sum("n").alias("n"), F.sum(F.col("s").cast("decimal(38,0)")).alias("s"))
     whole = [[0] * WIDTH for _ in range(k)]
     count = [0] * k
@@ -146,13 +157,17 @@ def _round(coefs: DataFrame, centroids: np.ndarray) -> np.ndarray:
     return out
 
 
+def fits(v: int) -> int | None:
+    return v if v < 1 << 63 else None
+
+
 def clustered(vectors: DataFrame, k: int = 8, rounds: int = 10, seed: int = 3) -> DataFrame:
     """vec_id, cluster, distance (squared), cluster_inertia, inertia and centroid_sha256 for each kept vector.
 
-    Kept are vectors of exactly 64 components, none null, non-finite or beyond +-16384 (their squared
-    distances would not fit). Fewer vectors than k give fewer centroids; repeated rows and a repeated vec_id
-    are vectors each, a null vec_id stays null; sums that don't fit a long are null. Extra columns are
-    ignored, an empty table gives no rows.
+    Kept are vectors of exactly 64 components, none null or non-finite, nor beyond +-2**47 (not even their
+    coefficients fit a long). Fewer vectors than k give fewer centroids; repeated rows and a repeated vec_id
+    are vectors each, a null vec_id stays null; distances and sums that don't fit a long are null. Extra columns
+    are ignored, an empty table gives no rows.
     """
     spark = vectors.sparkSession
     coefs = staged(coefficients(vectors), "coefficients")
@@ -166,12 +181,12 @@ def clustered(vectors: DataFrame, k: int = 8, rounds: int = 10, seed: int = 3) -
         centroids = after
 
     def assign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at, distance, _ = nearest(_matrix(batch.column("coefs")), centroids)
-        return pa.record_batch([batch.column("vec_id"), pa.array(at.astype(np.int32)), pa.array(distance)], ["vec_id", "cluster", "distance"])
+        at, distance, _ = nearest(_matrix(batch.column("coefs").to_pylist()), centroids)
+        return pa.record_batch([batch.column("vec_id"), pa.array(at.astype(np.int32)), pa.array(map(fits, distance.tolist()), pa.int64())], ["vec_id", "cluster", "distance"])
 
     placed = staged(map_batches(coefs, assign, "vec_id long, cluster int, distance long"), "assigned")
-    total = {r["cluster"]: int(r["s"]) for r in placed.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()}  # at most k rows
-    fits = lambda v: v if v < 1 << 63 else None
+    known = F.coalesce(F.col("distance").cast("decimal(38,0)"), F.lit(str(1 << 63)).cast("decimal(38,0)"))  # null: does not fit
+    total = {r["cluster"]: int(r["s"]) for r in placed.groupBy("cluster").agg(F.sum(known).alias("s")).collect()}  # at most k rows
     plain = (centroids @ hadamard()) // WIDTH
     names = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in plain.tolist()]
     rows = [(c, fits(total.get(c, 0)), fits(sum(total.values())), names[c]) for c in range(len(centroids))]

@@ -123,11 +123,13 @@ def vectors(spark, rows):
     return clashing(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int"), "coefs", "cluster", "n", "c", "distance")
 
 
-@pytest.mark.parametrize("kind", ["spread", "grouped", "ties"])
+@pytest.mark.parametrize("kind", ["spread", "grouped", "ties", "wide"])
 def test_clusters(spark, kind):
     rng = np.random.default_rng(4)
     if kind == "spread":
         x = rng.normal(0, 0.1, (150, 64))
+    elif kind == "wide":  # some beyond what 64 times a squared distance leaves in 64 bits
+        x = rng.normal(0, 1, (150, 64)) * np.where(np.arange(150) % 10 == 0, 20_000, 1)[:, None]
     elif kind == "grouped":
         x = np.repeat(rng.normal(0, 3, (5, 64)), 30, 0) + rng.normal(0, 0.01, (150, 64))
     else:
@@ -139,10 +141,12 @@ def test_clusters(spark, kind):
 
 
 def test_few_vectors_and_none(spark):
-    rows = [(None, [1.0] * 64), (7, [2.0] * 64), (7, [2.0] * 64), (8, [1e6] * 64)]
+    rows = [(None, [1.0] * 64), (7, [2.0] * 64), (7, [2.0] * 64), (8, [1e30] * 64)]
     got = centroids.clustered(vectors(spark, rows)).collect()
     assert sorted(str(r["vec_id"]) for r in got) == ["7", "7", "None"] and {r["inertia"] for r in got} == {0}
     assert centroids.clustered(vectors(spark, rows[3:])).count() == 0
+    far = centroids.clustered(vectors(spark, [(1, [1e12] * 64), (2, [-1e12] * 64), (3, [1e12] * 64)]), 1, 1).collect()
+    assert sorted((r["vec_id"], r["distance"], r["cluster_inertia"], r["inertia"]) for r in far) == [(k, None, None, None) for k in (1, 2, 3)]
 
 
 def test_search_is_exact_and_leaves_out_worse_centroids():
