@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.jsons import entries_of
-from ..functions.text import content_key, tokens
+from ..functions.text import bound, content_key, tokens
 from ..sources.staging import staged
 from .calls import Policy, made
 from .rows import numbered_in
@@ -201,9 +201,9 @@ def rendered(shape: Column, most: int = 6000) -> Column:
         }.get(key)
         return F.when(item.startswith("{"), form()).otherwise(item) if form else item
 
-    def line(key: str, label: str) -> Column:
-        items = F.filter(F.transform(shape[key], lambda x: shown(key, x)), lambda t: t.rlike(r"(?U)\S"))
-        return F.when(F.size(items) > 0, F.concat(F.lit(f"{label}: "), F.array_join(items, "; ")))
+    def line(items: Column, key: str, label: str) -> Column:
+        said = F.filter(F.transform(items, lambda x: shown(key, x)), lambda t: t.rlike(r"(?U)\S"))
+        return bound(F.array_join(said, "; "), lambda t: F.when(t != "", F.concat(F.lit(f"{label}: "), t)))
 
-    text = F.concat_ws("\n", *(line(k, label) for k, label in LABELS.items()))
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most), F.lit(" …[truncated]")))
+    lines = bound(shape, lambda x: F.concat_ws("\n", *(line(x[k], k, label) for k, label in LABELS.items())))
+    return bound(lines, lambda t: F.when(F.length(t) <= most, t).otherwise(F.concat(F.substring(t, 1, most), F.lit(" …[truncated]"))))

@@ -1,6 +1,8 @@
 """Registered queries and, for each, SQL of the same result."""
 
-from .oracles import ORACLES
-from .queries import QUERIES
+from . import files, oracles, queries
+
+QUERIES = queries.QUERIES | files.QUERIES
+ORACLES = oracles.ORACLES | files.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]

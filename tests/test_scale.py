@@ -321,6 +321,13 @@ def test_delimiters(spark):
     assert ingest.labelled_rows(docs, F.lit(True)).first()["text"] == "# t\n\n## Row 1\nname: 1\na,b,c,d: 2"
 
 
+def test_files_in_a_table(spark):
+    rows_ = [("/x/a.md", b"one"), ("/x/b.csv", "k;v\n1;é\n".encode("utf-8-sig")), ("c.txt", None), ("d.docx", b"no archive"), ("e.txt", "\u00e9".encode("utf-16"))]
+    got = {r["title"]: (r["text"], r["kind"], r["error"][:23]) for r in ingest.documents_of(spark.createDataFrame(rows_, "path string, content binary")).collect()}
+    assert got["a.md"] == ("one", "md", "") and got["b.csv"] == ("# b.csv\n\n## Row 1\nk: 1\nv: é", "csv", "")
+    assert got["c.txt"] == ("", "text", "the file is empty") and got["d.docx"] == ("", "docx", "could not read the file") and got["e.txt"][0] == "\u00e9"
+
+
 def test_export_names_what_it_shows(spark):
     row = spark.createDataFrame([(1, 80, "Title", "body", ["e"], [], "id7", "because")], "r int, s int, t string, b string, e array<string>, g array<string>, i string, w string")
     md = row.select(judge.markdown(F.col("r"), F.col("s"), F.col("t"), F.col("b"), F.col("e"), F.col("g"), None, F.col("i"), F.col("w"))).first()[0]
