@@ -126,8 +126,9 @@ ENTITIES = {"&quot;": '"', "&copy;": "©", "&middot;": "·", "&lt;": "<", "&gt;"
 RARE = r"&(?!(?:quot|copy|middot|lt|gt|#39|nbsp|amp);)(?:#[0-9xX]|[A-Za-z])"
 
 
-def unescaped(c: Column, rare: Column) -> Column:
-    """All named, decimal and hex references of HTML 5 replaced, in one pass; only the texts marked as rare go to Python."""
+def unescaped(c: Column, rare: Column | None) -> Column:
+    """All named, decimal and hex references of HTML 5 replaced, in one pass; only the texts marked as rare go to Python.
+    With None for them the common entities alone are replaced."""
 
     def whole(texts: pd.Series) -> pd.Series:  # local, so that it travels whole: executors may lack this package
         return texts.map(html.unescape, na_action="ignore")
@@ -135,13 +136,16 @@ def unescaped(c: Column, rare: Column) -> Column:
     out = c
     for entity, char in ENTITIES.items():
         out = F.replace(out, F.lit(entity), F.lit(char))
+    if rare is None:
+        return out
     return F.when(rare, F.pandas_udf(whole, "string")(F.when(rare, c))).otherwise(out)
 
 
 # The order of the steps below and what each of them matches.
-def html_to_text(c: Column) -> Column:
-    """Readable text of a page: scripts and styles go, headings become ``#`` lines, block ends new lines."""
-    rare = F.coalesce(c, F.lit("")).rlike(RARE)  # of the raw page: cutting tags leaves white space, so makes no new reference
+def html_to_text(c: Column, every: bool = True) -> Column:
+    """Readable text of a page: scripts and styles go, headings become ``#`` lines, block ends new lines. `every`: all
+    references are replaced, else only the common entities with their semicolon, and others stay as written."""
+    rare = F.coalesce(c, F.lit("")).rlike(RARE) if every else None  # of the raw page: cutting tags leaves white space, so makes no new reference
     out = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<script.*?</script>|<style.*?</style>", " ")
     for n in range(1, 7):
         out = F.regexp_replace(out, rf"(?i)<h{n}[^>]*>", "\n\n" + "#" * n + " ")

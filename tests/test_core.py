@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reedmatch.functions import jsons, text as tx
 from reedmatch.operators import bm25, judge, profile
-from reedmatch.plans import queries
+from reedmatch.plans import oracles, queries
 from reedmatch.sources import ingest
 
 
@@ -176,6 +176,20 @@ def test_registered_passages(spark):
     assert len(got) > 5
 
 
+@pytest.mark.parametrize("name", ["html_sections"])
+def test_page_queries_equal_their_sql(spark, tmp_path, name):
+    import duckdb
+
+    pages = ["<title>A cut &amp</title><h2>One &amp; two</h2><p>x &lt;b&gt; &amp;lt;</p>", "<h1>Caf&eacute; &mdash; &#8217;&#39;</h1><p>&copy2024 &quot;q&quot;</p>", "<p>plain &ampere</p>", "", None]
+    rows = [(k, f"u{k}", h) for k, h in enumerate(pages)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(f"select {', '.join(got.columns)} from ({oracles.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_lenient_json(spark):
     values = ['{"a": 1}', '```json\n{"a": 1}\n```', 'Sure: {"a": "}"} done', "[1, 2] tail", "nothing", None]
     got = one(spark, jsons.lenient, *values)
