@@ -1,11 +1,12 @@
 """A written index of terms: pruned when read, kept up to date by segments.
 
-A segment is a folder with three tables:
+A segment is a folder with four tables:
 
+* `items`: its own items, each with its terms and their counts, from which segments are merged.
 * `postings`, partitioned by a hash of the term: a row for each term and block of about `block` items, with the
-  block's postings as an array and, beside it, their number, the greatest tf, the least length and whether
+  block's postings as two arrays and, beside them, their number, the greatest tf, the least length and whether
   a title holds the term. Items of a block have about the same length. Rows lie sorted by term and block in
-  files of equal numbers of rows, so a frequent term, which has many blocks, is spread over files.
+  files of about equal numbers of rows, dealt by a hash of the block, so a frequent term, which has many blocks, is spread over files.
 * `gone` (idx, dl): the items of earlier segments that this one replaces or deletes.
 * `documents` (idx, dl): its own items; written last, so a segment whose writing broke off is not seen.
 
@@ -17,19 +18,25 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.staging import broadcast_if_small, delete, run, staged
-from .terms import entries
+from .terms import COUNTED, counted
 
 BLOCK, ROWS_OF_FILE = 64, 400_000
+POSTINGS_OF_TASK = 2_000_000
 #: Up to this many terms are named in the scan's filters; more are joined.
 MOST_TERMS = 2000
 #: What a ranking needs to know of a segment before it reads any: its buckets, items and words, and those that it took away.
 LAYOUT = "buckets int, n long, words long, n_gone long, words_gone long"
+#: A posting list of a term and block: a posting is an idx and, at its place in numbers, dl * 2**32 + 2 * tf, and one more if the title has the term.
+LISTS = "term string, block long, n long, max_tf long, min_dl long, any_title boolean, ids array<long>, numbers array<long>"
 HITS = "idx long, dl long, term string, tf long, in_title boolean"
 
 
@@ -57,8 +64,54 @@ def segments(spark: SparkSession, folder: str) -> list[tuple[int, int, str]]:
     return live
 
 
-def _write(spark: SparkSession, path: str, found: DataFrame, documents: DataFrame, gone: DataFrame, block: int, rows_of_file: int) -> None:
-    """found: idx, dl, term, tf, in_title, and documents: idx, dl, both staged."""
+def lists_of(placed: DataFrame) -> DataFrame:
+    """LISTS of items (COUNTED) with their block; rows of a block lie together, in order of idx."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(t: pa.Table) -> pa.RecordBatch:
+            block, dl, idx = (t[c].combine_chunks() for c in ("block", "dl", "idx"))
+            block, dl, known = block.to_numpy(), dl.to_numpy(), idx.is_valid().to_numpy(zero_copy_only=False)
+            terms = pa.chunked_array([c.flatten() for c in t["terms"].chunks], pa.string()).combine_chunks().dictionary_encode()
+            numbers = pa.chunked_array([c.flatten() for c in t["numbers"].chunks], pa.int32()).to_numpy().astype(np.int64)
+            row, width = np.repeat(np.arange(len(block)), t["n"].to_numpy()), max(1, len(terms.dictionary))
+            key = np.cumsum(np.diff(block, prepend=block[:1]) != 0)[row] * width + terms.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            key, row, tf, head = key[order], row[order], numbers[order] >> 1, numbers[order] & 1
+            ids, first = idx.fill_null(0).to_numpy()[row], np.ones(len(key), bool)
+            same = np.stack([key, ids, dl[row], known[row]])
+            first[1:] = (same[:, 1:] != same[:, :-1]).any(0)
+            if not first.all():  # an item that is there twice counts once
+                at = np.flatnonzero(first)
+                key, row, tf, head = key[at], row[at], np.add.reduceat(tf, at), np.maximum.reduceat(head, at)
+            at = np.flatnonzero(np.diff(key, prepend=-1))
+            ends, size = pa.array(np.append(at, len(key)).astype(np.int32)), dl[row]
+            most = (lambda x, f=np.maximum: f.reduceat(x, at)) if len(at) else (lambda x, f=None: x)
+            columns = [
+                terms.dictionary.take(pa.array(key[at] % width)), pa.array(block[row[at]]), pa.array(np.diff(np.append(at, len(key)))), pa.array(most(tf)), pa.array(most(size, np.minimum)), pa.array(most(head) > 0),
+                pa.ListArray.from_arrays(ends, idx.take(pa.array(row))), pa.ListArray.from_arrays(ends, pa.array(size << 32 | tf << 1 | head)),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["term", "block", "n", "max_tf", "min_dl", "any_title", "ids", "numbers"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                t = pa.Table.from_batches([*held, batch])
+                block = t["block"].to_numpy()
+                last = int(np.searchsorted(block, block[-1]))  # the last block may go on in the next batch
+                if last:
+                    yield made(t.slice(0, last))
+                held = t.slice(last).to_batches()
+        if held:
+            yield made(pa.Table.from_batches(held))
+
+    return placed.mapInArrow(run, LISTS)
+
+
+def _write(spark: SparkSession, path: str, items: DataFrame, gone: DataFrame, block: int, rows_of_file: int) -> None:
+    """A segment of items (COUNTED)."""
+    items.write.parquet(f"{path}/items")
+    items = spark.read.schema(COUNTED).parquet(f"{path}/items")
+    documents = staged(items.select("idx", "dl").distinct(), "lengths")
     # lengths within a tenth are one class; a class is dealt to blocks by a hash
     kind = F.floor(F.log(F.col("dl").cast("double")) / math.log(1.1)).cast("int")
     sizes = documents.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).orderBy("kind").collect()  # some hundred classes
@@ -68,17 +121,23 @@ def _write(spark: SparkSession, path: str, found: DataFrame, documents: DataFram
         rows.append((r["kind"], begin, blocks))
         begin += blocks
     classes = F.broadcast(spark.createDataFrame(rows, "kind int, first long, blocks long"))
-    placed = found.withColumn("kind", kind).join(classes, "kind").withColumn("block", F.col("first") + F.pmod(F.xxhash64("idx"), "blocks"))
-    posting = F.struct("idx", "dl", "tf", "in_title")
-    lists = placed.groupBy("term", "block").agg(
-        F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.max("in_title").alias("any_title"), F.array_sort(F.collect_list(posting)).alias("postings")
-    )
-    lists = staged(lists, "lists")
-    files = max(1, math.ceil(lists.count() / rows_of_file))
+    placed = items.where("n > 0").withColumn("kind", kind).join(classes, "kind").withColumn("block", F.col("first") + F.pmod(F.xxhash64("idx"), "blocks"))
+    placed = placed.select("block", "idx", "dl", "n", "terms", "numbers")
+    total = items.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+
+    def listed(some: DataFrame, postings: float) -> DataFrame:
+        tasks = max(spark.sparkContext.defaultParallelism, math.ceil(postings / POSTINGS_OF_TASK))
+        return lists_of(some.repartition(tasks, "block").sortWithinPartitions("block", "idx"))
+
+    # the number of files follows from some blocks, evenly chosen; every list is written
+    step = max(1, begin // 128)
+    about = step * listed(placed.where(F.col("block") % step == 0), total / step).count()
+    files = max(1, math.ceil(about / rows_of_file))
     buckets = 1 << max(0, math.ceil(math.log2(files / 4)))  # some files for each
-    by_bucket = lists.withColumn("bucket", bucket_of(F.col("term"), buckets))
-    order = ["bucket", "term", "block"]
-    by_bucket.repartitionByRange(files, *order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/postings")
+    each = math.ceil(files / buckets)
+    by_bucket = listed(placed, total).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    dealt = by_bucket.repartitionById(buckets * each, (F.col("bucket") * each + F.pmod(F.xxhash64("block"), F.lit(each))).cast("int"))
+    dealt.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
     gone.select("idx", "dl").write.parquet(f"{path}/gone")
     sums = lambda df: tuple(df.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first())
     row = (buckets, *sums(documents), *sums(spark.read.schema("idx long, dl long").parquet(f"{path}/gone")))
@@ -92,9 +151,7 @@ def write(items: DataFrame, folder: str, block: int = BLOCK, rows_of_file: int =
     if segments(spark, folder):
         raise ValueError(f"{folder} holds an index")
     with run(spark):
-        found = staged(entries(items), "entries")
-        none = spark.createDataFrame([], "idx long, dl long")
-        _write(spark, f"{folder}/segment-1-1", found.where("term is not null"), staged(found.where("term is null").select("idx", "dl"), "lengths"), none, block, rows_of_file)
+        _write(spark, f"{folder}/segment-1-1", counted(items), spark.createDataFrame([], "idx long, dl long"), block, rows_of_file)
 
 
 def change(spark: SparkSession, folder: str, items: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
@@ -105,12 +162,11 @@ def change(spark: SparkSession, folder: str, items: DataFrame | None = None, del
     with run(spark):
         if items is None:
             items = spark.createDataFrame([], "idx long, title string, text string")
-        found = staged(entries(items), "entries")
-        documents = staged(found.where("term is null").select("idx", "dl"), "lengths")
-        ids = documents.select("idx")
+        found = staged(counted(items), "counted")
+        ids = found.select("idx")
         ids = staged((ids if deleted is None else ids.union(deleted.select("idx"))).distinct(), "changed")
         gone = index.documents().join(ids, "idx", "left_semi")
-        _write(spark, f"{folder}/segment-{last + 1}-{last + 1}", found.where("term is not null"), documents, gone, BLOCK, ROWS_OF_FILE)
+        _write(spark, f"{folder}/segment-{last + 1}-{last + 1}", found, gone, BLOCK, ROWS_OF_FILE)
 
 
 def compact(spark: SparkSession, folder: str, keep: int = 0, block: int = BLOCK, rows_of_file: int = ROWS_OF_FILE) -> None:
@@ -121,9 +177,8 @@ def compact(spark: SparkSession, folder: str, keep: int = 0, block: int = BLOCK,
     if len(merged.parts) < 2:
         return
     with run(spark):
-        found, documents = staged(merged.hits(None), "entries"), staged(merged.documents(), "lengths")
         gone = earlier.documents().join(merged._all("gone", "idx long, dl long").select("idx").distinct(), "idx", "left_semi")
-        _write(spark, f"{folder}/segment-{merged.parts[0].first}-{merged.parts[-1].last}", found, documents, gone, block, rows_of_file)
+        _write(spark, f"{folder}/segment-{merged.parts[0].first}-{merged.parts[-1].last}", merged.items(), gone, block, rows_of_file)
     for part in merged.parts:
         delete(spark, part.path)
 
@@ -168,6 +223,10 @@ class Index:
         """idx and dl of all items in force."""
         return self.alive(self._all("documents", "idx long, dl long")).select("idx", "dl")
 
+    def items(self) -> DataFrame:
+        """COUNTED of all items in force."""
+        return self.alive(self._all("items", COUNTED)).select("idx", "dl", "n", "terms", "numbers")
+
     def statistics(self) -> DataFrame:
         """One row: n and avg_len, from the sums that each segment keeps."""
         n, words = (sum(getattr(p, c) - getattr(p, f"{c}_gone") for p in self.parts) for c in ("n", "words"))
@@ -179,10 +238,10 @@ class Index:
         return {r["term"]: r["h"] for r in found} if len(found) <= MOST_TERMS else None
 
     def lists(self, terms: DataFrame | None, few: dict[str, int] | None = None) -> DataFrame:
-        """segment, term, block, n, max_tf, min_dl, any_title, postings of the wanted terms (term), of all for None. A few (`named`,
+        """segment and LISTS of the wanted terms (term), of all for None. A few (`named`,
         unless given) are named in the scan, which then reads their buckets and row groups alone; more are joined by
         bucket and term."""
-        schema = "term string, block long, n long, max_tf long, min_dl long, any_title boolean, postings array<struct<idx:long,dl:long,tf:long,in_title:boolean>>, bucket int"
+        schema = f"{LISTS}, bucket int"
         out = []
         if few is None and terms is not None:
             few = self.named(terms)
@@ -199,7 +258,9 @@ class Index:
 
     def postings(self, lists: DataFrame) -> DataFrame:
         """HITS of lists: the postings of items in force."""
-        rows = lists.select("segment", "term", F.explode("postings").alias("p")).select("segment", "p.idx", "p.dl", "term", "p.tf", "p.in_title")
+        rows = lists.select("segment", "term", F.explode(F.arrays_zip("ids", "numbers")).alias("p")).select("segment", "term", F.col("p.ids").alias("idx"), F.col("p.numbers").alias("p"))
+        p = F.col("p")
+        rows = rows.select("segment", "idx", F.shiftright(p, 32).alias("dl"), "term", F.shiftright(p, 1).bitwiseAND((1 << 31) - 1).alias("tf"), (p.bitwiseAND(1) == 1).alias("in_title"))
         return self.alive(rows).select("idx", "dl", "term", "tf", "in_title")
 
     def hits(self, terms: DataFrame | None) -> DataFrame:
@@ -209,7 +270,7 @@ class Index:
         """term and df. Of one segment only the numbers beside the postings are read; else also the postings' ids."""
         if len(self.parts) < 2:
             return lists.groupBy("term").agg(F.sum("n").alias("df"))
-        rows = lists.select("segment", "term", F.explode(F.col("postings.idx")).alias("idx"))
+        rows = lists.select("segment", "term", F.explode("ids").alias("idx"))
         return self.alive(rows).groupBy("term").agg(F.count("*").alias("df"))
 
 
