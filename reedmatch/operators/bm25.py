@@ -144,7 +144,11 @@ def top_by_bounds(index: Index, bag: DataFrame, width: int, seeds: int = 64) ->
 def top_of_many(items: DataFrame, bags: DataFrame, width: int, index: Index | None = None) -> DataFrame:
     """profile, idx, score, rank_no of the best `width` items for each bag."""
     if index is None:
-        scored = scores(hits_of(items, bags), bags)
+        # hits of an item lie together before each of them becomes a row for every profile with its term: sums need no further shuffle
+        hits = hits_of(items, bags)
+        frequencies = hits.rows.groupBy("term").agg(F.count("*").alias("df"))
+        weights = broadcast_if_small(staged(weighted(bags, frequencies, hits.statistics), "weights"))
+        scored = _scored(hits.rows.repartition("idx"), weights)
     else:
         lists, weights, _ = _from_index(index, bags)
         scored = _scored(index.postings(lists), weights)

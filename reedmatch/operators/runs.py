@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import content_key
 from ..sources.staging import delete, shared_folder, staged
-from .calls import Policy
-from .profile import extracted, has_content, merged, percent, shaped
+from .calls import Policy, made
+from .profile import has_content, merged, percent, shaped
 
+#: Parts of a wave's passages when they are written.
+PARTS = 8
 CACHE = "unit_key string, extract string"
 
 
@@ -78,14 +80,24 @@ def build(units: DataFrame, folder: str, extractor: Callable[[str], str], at_onc
     is lost, costs a wave's calls at most."""
     spark = units.sparkSession
     batch = batch or uuid.uuid4().hex
-    units = staged(units.withColumn("unit_key", content_key("text")), "units")
+    asked = F.col("request" if "request" in units.columns else "text").alias("request")
+    units = staged(units.select("profile", "idx", content_key("text").alias("unit_key"), asked), "units")
     cached = staged(read_cache(spark, folder).join(units.select("unit_key").distinct(), "unit_key", "left_semi"), "cached")
-    asked = F.min("request" if "request" in units.columns else "text").alias("request")
-    todo = staged(units.join(cached.select("unit_key"), "unit_key", "left_anti").groupBy("unit_key").agg(asked), "todo")
-    waves = max(1, ceil(todo.count() / wave))
+    todo = units.select("unit_key", "request").join(cached.select("unit_key"), "unit_key", "left_anti")
+    waves = max(1, ceil(todo.select("unit_key").distinct().count() / wave))
+    # written once with a folder for each wave, so that a wave reads its own passages alone
+    path = f"{shared_folder(spark)}/todo-{uuid.uuid4().hex}"
+    of_wave, part = F.pmod(F.xxhash64("unit_key"), F.lit(waves)).cast("int"), F.pmod(F.crc32("unit_key"), F.lit(PARTS)).cast("int")
+    dealt = todo.withColumns({"wave": of_wave, "part": part}).repartition(waves * PARTS, "wave", "part")
+    grouped = dealt.groupBy("wave", "part", "unit_key").agg(F.min("request").alias("request"))
+    grouped.select("wave", "unit_key", "request").write.partitionBy("wave").parquet(path)
+    todo = spark.read.schema("unit_key string, request string, wave int").parquet(path)
     path = f"{shared_folder(spark)}/extracts-{uuid.uuid4().hex}"
+    # as many tasks as there are cores for, each with fewer threads: at_once still bounds the calls
+    policy = replace(policy, threads=max(1, min(policy.threads, at_once // min(at_once, spark.sparkContext.defaultParallelism))))
     for w in range(waves):
-        mine = staged(extracted(todo.where(F.pmod(F.xxhash64("unit_key"), F.lit(waves)) == w), extractor, at_once, policy), "wave")
+        replies = made(todo.where(F.col("wave") == w), "unit_key", extractor, at_once, policy)
+        mine = staged(replies.withColumnRenamed("reply", "extract"), "wave")
         append(mine.where(F.col("error").isNull() & has_content(shaped(F.col("extract")))), folder, f"{batch}-{w}")
         mine.write.mode("append").parquet(path)
     calls = spark.read.schema(mine.schema).parquet(path)

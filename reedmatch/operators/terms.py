@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import string
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import STOPWORDS, TOKEN, tokens
+from ..functions.text import STOPWORDS, tokens
 from ..sources.staging import broadcast_if_small
 
 
@@ -43,36 +43,48 @@ SLICE_CHARS = 4 << 20
 
 def counted(items: DataFrame) -> DataFrame:
     """COUNTED: the terms of `tokens` for each item, counted where its text lies, so that nothing is shuffled."""
-    pattern, stop, most = TOKEN, frozenset(STOPWORDS), SLICE_CHARS
-
-    class Codes(dict):
-        """Word to the place of its term in names; -1 for a word that is none."""
-
-        def __init__(self):
-            self.names: dict[str, int] = {}
-
-        def __missing__(self, word: str) -> int:
-            self[word] = code = self.names.setdefault(word.strip(".-"), len(self.names)) if len(word) > 2 and word not in stop else -1
-            return code
+    stop, most = frozenset(STOPWORDS), SLICE_CHARS
+    kinds = np.zeros(256, np.uint8)  # of the characters of TOKEN: 1 may begin a word, 2 may only go on
+    kinds[[ord(c) for c in string.digits + "+#.-"]], kinds[[ord(c) for c in string.ascii_lowercase]] = 2, 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(pattern).findall
-
-        def cut(texts: list[str | None], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
-            found = [find(x.lower()) if x else [] for x in texts]
-            row = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            code = np.fromiter((codes[w] for x in found for w in x), np.int64, len(row))
-            return row[code >= 0], code[code >= 0]
+        def cut(texts: list[str | None]) -> tuple[np.ndarray, pa.StringArray]:
+            """The texts' words of three characters at least, and the text of each."""
+            low = [x.lower().encode() if x else b"" for x in texts]
+            data = np.frombuffer(b" ".join([*low, b""]), np.uint8)
+            kind = kinds[data]
+            edge = np.diff((kind > 0).view(np.int8), prepend=0, append=0)
+            begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            late = np.flatnonzero(kind[begin] != 1)  # such a word begins at its first letter
+            letters = np.append(np.flatnonzero(kind == 1), len(kind)) if len(late) else begin
+            begin[late] = letters[np.searchsorted(letters, begin[late])]
+            size = end - begin
+            begin, end, size = begin[size > 2], end[size > 2], size[size > 2]
+            inside = np.zeros(len(data) + 1, np.int8)
+            inside[begin], inside[end] = 1, -1
+            chars = data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+            words = pa.StringArray.from_buffers(len(size), pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(chars))
+            last = np.cumsum([len(x) + 1 for x in low])
+            return np.repeat(np.arange(len(low)), np.diff(np.searchsorted(begin, last), prepend=0)), words
+
+        def coded(words: pa.StringArray, code_of: Callable[[str], int]) -> np.ndarray:
+            """The code of each word's term, -1 for a stop word; stop words go before dots and hyphens."""
+            found = words.dictionary_encode()
+            codes = [-1 if w in stop else code_of(w.rstrip(".-")) for w in found.dictionary.to_pylist()]
+            return np.array(codes, np.int64)[found.indices.to_numpy()]
 
         def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-            codes, n = Codes(), batch.num_rows
-            row, code = cut(batch.column("text").to_pylist(), codes)
-            in_row, head = cut(batch.column("title").to_pylist(), codes)
-            dl, width = np.maximum(np.bincount(row, minlength=n), 1), max(1, len(codes.names))
+            names: dict[str, int] = {}
+            n, (row, words), (in_row, heads) = batch.num_rows, cut(batch.column("text").to_pylist()), cut(batch.column("title").to_pylist())
+            code = coded(words, lambda term: names.setdefault(term, len(names)))
+            row, code = row[code >= 0], code[code >= 0]
+            head = coded(heads, lambda term: names.get(term, -1))
+            in_row, head = in_row[head >= 0], head[head >= 0]
+            dl, width = np.maximum(np.bincount(row, minlength=n), 1), max(1, len(names))
             keys, tf = np.unique(row * width + code, return_counts=True)
             sizes = np.bincount(keys // width, minlength=n)
-            at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            terms = pa.array(list(codes.names), pa.string()).take(pa.array(keys % width))
+            at = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+            terms = pa.array(list(names), pa.string()).take(pa.array(keys % width))
             numbers = (2 * tf + np.isin(keys, in_row * width + head)).astype(np.int32)
             columns = [batch.column("idx"), pa.array(dl), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(at, terms), pa.ListArray.from_arrays(at, pa.array(numbers))]
             return pa.RecordBatch.from_arrays(columns, names=["idx", "dl", "n", "terms", "numbers"])

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reedmatch.functions import jsons
-from reedmatch.operators import bm25, calls, index, judge, profile, rows, runs
+from reedmatch.operators import bm25, calls, index, judge, profile, rows, runs, terms
 from reedmatch.sources import ingest, staging
 
 ITEM = "idx long, title string, text string"
@@ -54,6 +54,32 @@ def test_index_is_pruned_and_balanced(spark, tmp_path):
         bm25.write_index(items, folder)
 
 
+def test_terms_are_counted_in_place(spark, monkeypatch):
+    """As the plain functions have them, also over slices; a written index needs no shuffle of its words."""
+    odd = ["The. the of. C++ node.js -- a-b- c+", "Étude \u0130st K\u212aLVIN 3d 86x-y ...tail. 9abc", "x" * 70_000, "", None, "a\tb\nabc\u0000def -.-abc.-", "3.14 #tag data. data"]
+    rows_ = [(k, t and t[:9], t) for k, t in enumerate(odd)] + [(k + 10, *r[1:]) for k, r in enumerate(corpus(spark, 60))] + [(None, None, "none here")]
+    items = spark.createDataFrame(rows_, ITEM).coalesce(1)
+    monkeypatch.setattr(terms, "SLICE_CHARS", 300)
+    got = terms.counted(items)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    got = got.collect()
+    flat = {(r["idx"], r["dl"], t, x >> 1, x % 2 == 1) for r in got for t, x in zip(r["terms"], r["numbers"])}
+    assert flat == {tuple(r) for r in terms.entries(items).where("term is not null").collect()}
+    assert all(r["n"] == len(r["terms"]) == len(r["numbers"]) for r in got)
+    assert {(r["idx"], r["dl"]) for r in got} == {tuple(r) for r in terms.lengths(items).collect()}
+
+
+def test_items_that_are_there_twice(spark, tmp_path):
+    """Equal rows of one item are one posting, and a null idx is an item."""
+    rows_ = [*corpus(spark, 50), *corpus(spark, 50)[:9], (None, "word3", "word3 word7"), (None, "word3", "word3 word7")]
+    items = spark.createDataFrame(rows_, ITEM)
+    bm25.write_index(items, str(tmp_path / "index"))
+    ix = bm25.read_index(spark, str(tmp_path / "index"))
+    want = terms.entries(items)
+    assert sorted(map(repr, pairs(ix.hits(None)))) == sorted(map(repr, pairs(want.where("term is not null").select("idx", "dl", "term", "tf", "in_title"))))
+    assert tuple(bm25.statistics(ix).first()) == tuple(bm25.statistics(want).first())
+
+
 def test_many_terms_are_joined(spark, tmp_path, monkeypatch):
     items = spark.createDataFrame(corpus(spark, 100), ITEM)
     bm25.write_index(items, str(tmp_path / "index"), rows_of_file=200)
@@ -373,3 +399,23 @@ def test_counts_by_hour(spark):
 
     df = spark.sql("select timestamp'2024-01-01 00:10:00' as ts, 'a' as event_type union all select timestamp'2024-01-01 00:50:00', 'a' union all select timestamp'2024-01-01 01:00:00', 'b'")
     assert sorted(r["n"] for r in counts_by_hour(df).collect()) == [1, 2]
+
+
+def test_a_wave_reads_its_own_passages(spark, tmp_path, monkeypatch):
+    files, made = [], runs.made
+    monkeypatch.setattr(runs, "made", lambda todo, *a: (files.append(set(todo.inputFiles())), made(todo, *a))[1])
+    units = spark.createDataFrame([("p", k, f"word{k % 25} text") for k in range(40)], "profile string, idx long, text string")
+    run = runs.build(units, str(tmp_path / "cache"), lambda text: json.dumps({"skills": [text.split()[0]]}), wave=6)
+    assert len(files) == 5 and all(files) and sum(map(len, files)) == len(set().union(*files))
+    assert run.calls.count() == 25 and run.items.count() == 25
+    assert run.counters.select("n_units", "n_hits", "n_cached").first() == (40, 40, 0)
+
+
+def test_scores_of_many_profiles_are_summed_where_hits_lie(spark):
+    items = spark.createDataFrame(corpus(spark, 80), ITEM)
+    bags = spark.createDataFrame([(p, f"word{k}", 1.0 + p) for p in range(4) for k in range(p, 40, 3)], "profile long, term string, qw double")
+    got = bm25.top_of_many(items, bags, 5)
+    assert not re.search(r"hashpartitioning\(profile#\d+L?, idx", got._jdf.queryExecution().executedPlan().toString())
+    for p in range(4):
+        want = [tuple(r) for r in bm25.top(items, bags.where(F.col("profile") == p).select("term", "qw"), 5).collect()]
+        assert sorted((r["rank_no"], r["idx"], r["score"]) for r in got.where(F.col("profile") == p).collect()) == [(k + 1, *w) for k, w in enumerate(want)]
