@@ -2,7 +2,7 @@
 
 A segment is a folder with four tables:
 
-* `items`: its own items, each with its terms and their counts, from which segments are merged.
+* `items`: its own items, each with its terms and their counts as two values, from which segments are merged.
 * `postings`, partitioned by a hash of the term: a row for each term and block of about `block` items, with the
   block's postings as two arrays and, beside them, their number, the greatest tf, the least length and whether
   a title holds the term. Items of a block have about the same length. Rows lie sorted by term and block in
@@ -24,13 +24,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.staging import broadcast_if_small, delete, run, staged
-from .terms import COUNTED, counted
+from .terms import PACKED, counted
 
-BLOCK, ROWS_OF_FILE = 64, 400_000
-POSTINGS_OF_TASK = 2_000_000
+BLOCK, ROWS_OF_FILE = 512, 400_000
+POSTINGS_OF_TASK, POSTINGS_OF_PASS = 2_000_000, 1_000_000
 #: Up to this many terms are named in the scan's filters; more are joined.
 MOST_TERMS = 2000
 #: What a ranking needs to know of a segment before it reads any: its buckets, items and words, and those that it took away.
@@ -65,14 +66,15 @@ def segments(spark: SparkSession, folder: str) -> list[tuple[int, int, str]]:
 
 
 def lists_of(placed: DataFrame) -> DataFrame:
-    """LISTS of items (COUNTED) with their block; rows of a block lie together, in order of idx."""
+    """LISTS of items (PACKED) with their block; rows of a block lie together, in order of idx."""
+    most_of_pass = POSTINGS_OF_PASS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(t: pa.Table) -> pa.RecordBatch:
             block, dl, idx = (t[c].combine_chunks() for c in ("block", "dl", "idx"))
             block, dl, known = block.to_numpy(), dl.to_numpy(), idx.is_valid().to_numpy(zero_copy_only=False)
-            terms = pa.chunked_array([c.flatten() for c in t["terms"].chunks], pa.string()).combine_chunks().dictionary_encode()
-            numbers = pa.chunked_array([c.flatten() for c in t["numbers"].chunks], pa.int32()).to_numpy().astype(np.int64)
+            terms = pc.split_pattern(t["terms"].combine_chunks(), " ").flatten().dictionary_encode()
+            numbers = np.frombuffer(b"".join(t["numbers"].to_pylist()), "<i4").astype(np.int64)
             row, width = np.repeat(np.arange(len(block)), t["n"].to_numpy()), max(1, len(terms.dictionary))
             key = np.cumsum(np.diff(block, prepend=block[:1]) != 0)[row] * width + terms.indices.to_numpy()
             order = np.argsort(key, kind="stable")
@@ -92,6 +94,16 @@ def lists_of(placed: DataFrame) -> DataFrame:
             ]
             return pa.RecordBatch.from_arrays(columns, names=["term", "block", "n", "max_tf", "min_dl", "any_title", "ids", "numbers"])
 
+        def passes(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Whole blocks of some postings at a time."""
+            ends = np.append(np.flatnonzero(np.diff(t["block"].to_numpy())) + 1, t.num_rows)
+            postings, begin = np.cumsum(t["n"].to_numpy())[ends - 1], 0
+            for k, end in enumerate(ends):
+                if k + 1 == len(ends) or postings[k + 1] - (postings[begin - 1] if begin else 0) > most_of_pass:
+                    at = ends[begin - 1] if begin else 0
+                    yield made(t.slice(at, end - at))
+                    begin = k + 1
+
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if batch.num_rows:
@@ -99,18 +111,18 @@ def lists_of(placed: DataFrame) -> DataFrame:
                 block = t["block"].to_numpy()
                 last = int(np.searchsorted(block, block[-1]))  # the last block may go on in the next batch
                 if last:
-                    yield made(t.slice(0, last))
+                    yield from passes(t.slice(0, last))
                 held = t.slice(last).to_batches()
         if held:
-            yield made(pa.Table.from_batches(held))
+            yield from passes(pa.Table.from_batches(held))
 
     return placed.mapInArrow(run, LISTS)
 
 
 def _write(spark: SparkSession, path: str, items: DataFrame, gone: DataFrame, block: int, rows_of_file: int) -> None:
-    """A segment of items (COUNTED)."""
+    """A segment of items (PACKED)."""
     items.write.parquet(f"{path}/items")
-    items = spark.read.schema(COUNTED).parquet(f"{path}/items")
+    items = spark.read.schema(PACKED).parquet(f"{path}/items")
     documents = staged(items.select("idx", "dl").distinct(), "lengths")
     # lengths within a tenth are one class; a class is dealt to blocks by a hash
     kind = F.floor(F.log(F.col("dl").cast("double")) / math.log(1.1)).cast("int")
@@ -118,9 +130,10 @@ def _write(spark: SparkSession, path: str, items: DataFrame, gone: DataFrame, bl
     begin, rows = 0, []
     for r in sizes:
         blocks = max(1, round(r["n"] / block))
-        rows.append((r["kind"], begin, blocks))
+        rows.append({"kind": r["kind"], "first": begin, "blocks": blocks})
         begin += blocks
-    classes = F.broadcast(spark.createDataFrame(rows, "kind int, first long, blocks long"))
+    kinds = pa.schema([("kind", pa.int32()), ("first", pa.int64()), ("blocks", pa.int64())])
+    classes = F.broadcast(spark.createDataFrame(pa.Table.from_pylist(rows, kinds)))  # from Arrow, so that no Python worker starts for it
     placed = items.where("n > 0").withColumn("kind", kind).join(classes, "kind").withColumn("block", F.col("first") + F.pmod(F.xxhash64("idx"), "blocks"))
     placed = placed.select("block", "idx", "dl", "n", "terms", "numbers")
     total = items.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
@@ -130,7 +143,7 @@ def _write(spark: SparkSession, path: str, items: DataFrame, gone: DataFrame, bl
         return lists_of(some.repartition(tasks, "block").sortWithinPartitions("block", "idx"))
 
     # the number of files follows from some blocks, evenly chosen; every list is written
-    step = max(1, begin // 128)
+    step = max(1, begin // 24)
     about = step * listed(placed.where(F.col("block") % step == 0), total / step).count()
     files = max(1, math.ceil(about / rows_of_file))
     buckets = 1 << max(0, math.ceil(math.log2(files / 4)))  # some files for each
@@ -151,7 +164,7 @@ def write(items: DataFrame, folder: str, block: int = BLOCK, rows_of_file: int =
     if segments(spark, folder):
         raise ValueError(f"{folder} holds an index")
     with run(spark):
-        _write(spark, f"{folder}/segment-1-1", counted(items), spark.createDataFrame([], "idx long, dl long"), block, rows_of_file)
+        _write(spark, f"{folder}/segment-1-1", counted(items, packed=True), spark.range(0).select(F.col("id").alias("idx"), F.col("id").alias("dl")), block, rows_of_file)
 
 
 def change(spark: SparkSession, folder: str, items: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
@@ -162,7 +175,7 @@ def change(spark: SparkSession, folder: str, items: DataFrame | None = None, del
     with run(spark):
         if items is None:
             items = spark.createDataFrame([], "idx long, title string, text string")
-        found = staged(counted(items), "counted")
+        found = staged(counted(items, packed=True), "counted")
         ids = found.select("idx")
         ids = staged((ids if deleted is None else ids.union(deleted.select("idx"))).distinct(), "changed")
         gone = index.documents().join(ids, "idx", "left_semi")
@@ -224,8 +237,8 @@ class Index:
         return self.alive(self._all("documents", "idx long, dl long")).select("idx", "dl")
 
     def items(self) -> DataFrame:
-        """COUNTED of all items in force."""
-        return self.alive(self._all("items", COUNTED)).select("idx", "dl", "n", "terms", "numbers")
+        """PACKED of all items in force."""
+        return self.alive(self._all("items", PACKED)).select("idx", "dl", "n", "terms", "numbers")
 
     def statistics(self) -> DataFrame:
         """One row: n and avg_len, from the sums that each segment keeps."""

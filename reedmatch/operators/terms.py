@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import STOPWORDS, tokens
@@ -37,13 +38,15 @@ def entries(items: DataFrame, terms: DataFrame | None = None) -> DataFrame:
 
 #: An item with its terms: numbers[k] is twice the tf of terms[k], and one more if the title has it; n: how many terms.
 COUNTED = "idx long, dl long, n int, terms array<string>, numbers array<int>"
+#: The same with the terms as one string, joined by spaces, and the numbers as 32-bit little-endian integers: two values for an item, however many terms it has.
+PACKED = "idx long, dl long, n int, terms string, numbers binary"
 #: Texts are cut to terms in slices of about this many characters.
 SLICE_CHARS = 4 << 20
 
 
-def counted(items: DataFrame) -> DataFrame:
-    """COUNTED: the terms of `tokens` for each item, counted where its text lies, so that nothing is shuffled."""
-    stop, most = frozenset(STOPWORDS), SLICE_CHARS
+def counted(items: DataFrame, packed: bool = False) -> DataFrame:
+    """COUNTED, or PACKED: the terms of `tokens` for each item, counted where its text lies, so that nothing is shuffled."""
+    stop, most = tuple(STOPWORDS), SLICE_CHARS
     kinds = np.zeros(256, np.uint8)  # of the characters of TOKEN: 1 may begin a word, 2 may only go on
     kinds[[ord(c) for c in string.digits + "+#.-"]], kinds[[ord(c) for c in string.ascii_lowercase]] = 2, 1
 
@@ -67,27 +70,32 @@ def counted(items: DataFrame) -> DataFrame:
             last = np.cumsum([len(x) + 1 for x in low])
             return np.repeat(np.arange(len(low)), np.diff(np.searchsorted(begin, last), prepend=0)), words
 
-        def coded(words: pa.StringArray, code_of: Callable[[str], int]) -> np.ndarray:
-            """The code of each word's term, -1 for a stop word; stop words go before dots and hyphens."""
+        def coded(words: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
+            """The code of each word's term, -1 for a stop word, and the terms; stop words go before dots and hyphens."""
             found = words.dictionary_encode()
-            codes = [-1 if w in stop else code_of(w.rstrip(".-")) for w in found.dictionary.to_pylist()]
-            return np.array(codes, np.int64)[found.indices.to_numpy()]
+            terms = pc.ascii_rtrim(found.dictionary, characters=".-").dictionary_encode()
+            stops = pc.is_in(found.dictionary, value_set=pa.array(stop, pa.string())).to_numpy(zero_copy_only=False)
+            codes = np.where(stops, -1, terms.indices.to_numpy()).astype(np.int64)
+            return codes[found.indices.to_numpy()], terms.dictionary
 
         def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-            names: dict[str, int] = {}
             n, (row, words), (in_row, heads) = batch.num_rows, cut(batch.column("text").to_pylist()), cut(batch.column("title").to_pylist())
-            code = coded(words, lambda term: names.setdefault(term, len(names)))
+            (code, names), (head, head_names) = coded(words), coded(heads)
             row, code = row[code >= 0], code[code >= 0]
-            head = coded(heads, lambda term: names.get(term, -1))
+            in_row, head = in_row[head >= 0], head[head >= 0]
+            head = pc.fill_null(pc.index_in(head_names, value_set=names), -1).to_numpy().astype(np.int64)[head]
             in_row, head = in_row[head >= 0], head[head >= 0]
             dl, width = np.maximum(np.bincount(row, minlength=n), 1), max(1, len(names))
             keys, tf = np.unique(row * width + code, return_counts=True)
             sizes = np.bincount(keys // width, minlength=n)
-            at = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
-            terms = pa.array(list(names), pa.string()).take(pa.array(keys % width))
-            numbers = (2 * tf + np.isin(keys, in_row * width + head)).astype(np.int32)
-            columns = [batch.column("idx"), pa.array(dl), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(at, terms), pa.ListArray.from_arrays(at, pa.array(numbers))]
-            return pa.RecordBatch.from_arrays(columns, names=["idx", "dl", "n", "terms", "numbers"])
+            at = np.append(0, np.cumsum(sizes)).astype(np.int32)
+            terms = pa.ListArray.from_arrays(pa.array(at), names.take(pa.array(keys % width)))
+            numbers = (2 * tf + np.isin(keys, in_row * width + head)).astype("<i4")
+            if packed:
+                both = [pc.binary_join(terms, " "), pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(4 * at), pa.py_buffer(numbers)])]
+            else:
+                both = [terms, pa.ListArray.from_arrays(pa.array(at), pa.array(numbers))]
+            return pa.RecordBatch.from_arrays([batch.column("idx"), pa.array(dl), pa.array(sizes.astype(np.int32)), *both], names=["idx", "dl", "n", "terms", "numbers"])
 
         for batch in batches:
             ends = np.cumsum(batch.column("chars").to_numpy(zero_copy_only=False))
@@ -99,7 +107,7 @@ def counted(items: DataFrame) -> DataFrame:
                 begin = end
 
     rows = items.select(F.col("idx").cast("long").alias("idx"), "title", "text", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
-    return rows.mapInArrow(run, COUNTED)
+    return rows.mapInArrow(run, PACKED if packed else COUNTED)
 
 
 def postings(items: DataFrame) -> DataFrame:
