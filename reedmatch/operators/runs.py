@@ -5,17 +5,20 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import cached_property
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import content_key
-from ..sources.staging import delete, shared_folder, staged
+from ..sources.staging import broadcast_if_small, delete, shared_folder, staged
 from .calls import Policy, made
 from .profile import has_content, merged, percent, shaped
 
 #: Parts of a wave's passages when they are written.
 PARTS = 8
+#: Up to this many cached keys are broadcast to the passages.
+MOST_KEYS = 500_000
 CACHE = "unit_key string, extract string"
 
 
@@ -49,13 +52,18 @@ def compact(spark: SparkSession, folder: str) -> None:
 
 @dataclass(frozen=True)
 class ProfileRun:
-    """counters: a row for each profile; items: the merged profiles (profile, key, pos, item); calls: a row for each
+    """counters: a row for each profile; extracts: what its passages gave (profile, idx, extract); calls: a row for each
     passage that was read in this run (unit_key, extract, error, kind, tries)."""
 
     counters: DataFrame
-    items: DataFrame
+    extracts: DataFrame
     calls: DataFrame
 
+    @cached_property
+    def items(self) -> DataFrame:
+        """The merged profiles (profile, key, pos, item); merging is some jobs, which run when this is first asked for."""
+        return merged(self.extracts)
+
 
 def warned(n_units: Column, n_failed: Column, n_hits: Column, first_error: Column) -> Column:
     """What to tell of a build; null if all is well."""
@@ -76,31 +84,38 @@ def build(units: DataFrame, folder: str, extractor: Callable[[str], str], at_onc
     distinct text; extracts with something in them are added to the cache, failed and empty ones are not, so the next
     run reads them again. The union of a profile's extracts is its profile.
 
-    Passages are read in waves of about `wave`, each added to the cache when it is done: a build that breaks off, or a task that
-    is lost, costs a wave's calls at most."""
+    `units` is computed twice, once for the keys and once for the passages that are not cached: texts that are dear to make or
+    differ each time should be staged before. Passages are read in waves of about `wave`, each added to the cache when it is
+    done: a build that breaks off, or a task that is lost, costs a wave's calls at most."""
     spark = units.sparkSession
     batch = batch or uuid.uuid4().hex
     asked = F.col("request" if "request" in units.columns else "text").alias("request")
-    units = staged(units.select("profile", "idx", content_key("text").alias("unit_key"), asked), "units")
-    cached = staged(read_cache(spark, folder).join(units.select("unit_key").distinct(), "unit_key", "left_semi"), "cached")
-    todo = units.select("unit_key", "request").join(cached.select("unit_key"), "unit_key", "left_anti")
-    waves = max(1, ceil(todo.select("unit_key").distinct().count() / wave))
-    # written once with a folder for each wave, so that a wave reads its own passages alone
+    asked = units.select(content_key("text").alias("unit_key"), asked)
+    units = staged(units.select("profile", "idx", content_key("text").alias("unit_key")), "units")
+    keys = units.select("unit_key").distinct()
+    cached = staged(read_cache(spark, folder).join(keys, "unit_key", "left_semi"), "cached")
+    waves = max(1, ceil((keys.count() - cached.count()) / wave))
+    # written once with a folder for each wave, so that a wave reads its own passages alone; texts are moved once, as
+    # cached keys too many to broadcast are dealt with them instead of being joined before
     path = f"{shared_folder(spark)}/todo-{uuid.uuid4().hex}"
     of_wave, part = F.pmod(F.xxhash64("unit_key"), F.lit(waves)).cast("int"), F.pmod(F.crc32("unit_key"), F.lit(PARTS)).cast("int")
+    known = cached.select("unit_key")
+    small = broadcast_if_small(known, MOST_KEYS)
+    todo = asked.withColumn("known", F.lit(False))
+    todo = todo.join(small, "unit_key", "left_anti") if small is not known else todo.union(known.select("unit_key", F.lit(None).cast("string"), F.lit(True)))
     dealt = todo.withColumns({"wave": of_wave, "part": part}).repartition(waves * PARTS, "wave", "part")
-    grouped = dealt.groupBy("wave", "part", "unit_key").agg(F.min("request").alias("request"))
+    grouped = dealt.groupBy("wave", "part", "unit_key").agg(F.min("request").alias("request"), F.max("known").alias("known")).where("not known")
     grouped.select("wave", "unit_key", "request").write.partitionBy("wave").parquet(path)
     todo = spark.read.schema("unit_key string, request string, wave int").parquet(path)
     path = f"{shared_folder(spark)}/extracts-{uuid.uuid4().hex}"
     # as many tasks as there are cores for, each with fewer threads: at_once still bounds the calls
     policy = replace(policy, threads=max(1, min(policy.threads, at_once // min(at_once, spark.sparkContext.defaultParallelism))))
     for w in range(waves):
-        replies = made(todo.where(F.col("wave") == w), "unit_key", extractor, at_once, policy)
-        mine = staged(replies.withColumnRenamed("reply", "extract"), "wave")
+        replies = made(todo.where(F.col("wave") == w), "unit_key", extractor, at_once, policy).withColumnRenamed("reply", "extract")
+        replies.write.parquet(f"{path}/{w}")
+        mine = spark.read.schema(replies.schema).parquet(f"{path}/{w}")
         append(mine.where(F.col("error").isNull() & has_content(shaped(F.col("extract")))), folder, f"{batch}-{w}")
-        mine.write.mode("append").parquet(path)
-    calls = spark.read.schema(mine.schema).parquet(path)
+    calls = spark.read.schema(replies.schema).parquet(*(f"{path}/{w}" for w in range(waves)))
     fresh = calls.where(F.col("error").isNull() & has_content(shaped(F.col("extract")))).select("unit_key", "extract")
     known = cached.select("unit_key", "extract", F.lit("cached").alias("how")).union(fresh.withColumn("how", F.lit("fresh")))
     known = staged(known.union(calls.where("error is not null").select("unit_key", F.lit(None).cast("string"), F.lit("failed"))), "known")
@@ -112,5 +127,4 @@ def build(units: DataFrame, folder: str, extractor: Callable[[str], str], at_onc
     )
     counts = counts.withColumn("failed_percent", percent(F.col("n_failed"), F.col("n_units")))
     counts = counts.withColumn("warning", warned(F.col("n_units"), F.col("n_failed"), F.col("n_hits"), F.col("first_error")))
-    items = merged(rows.where(how.isin("cached", "fresh")).select("profile", "idx", "extract"))
-    return ProfileRun(counts, items, calls)
+    return ProfileRun(counts, rows.where(how.isin("cached", "fresh")).select("profile", "idx", "extract"), calls)
