@@ -72,18 +72,28 @@ def _scored(hits: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.groupBy("profile", "idx").agg(F.sum(gain(F.col("w"), F.col("tf"), F.col("dl"), F.col("avg_len"), F.col("in_title"))).alias("score"))
 
 
-def _from_index(index: Index, bags: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """(posting lists of the bags' terms, their weights, whether the bags are empty). Bags of few terms come to the driver once and
-    are then constants of the plan, their weights broadcast; frequencies come from the numbers beside the postings."""
+def _from_index(index: Index, bags: DataFrame, lists_only: bool = False) -> tuple[DataFrame, DataFrame, bool]:
+    """(postings of the bags' terms, or their lists, their weights, whether the bags are empty). Bags of few terms come to the driver once and
+    are then constants of the plan, their weights broadcast; frequencies of one segment come from the numbers beside the postings,
+    those of several from the postings, which are staged to be read and told from replaced ones once."""
+
+    def found(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+        if lists_only:
+            return lists, index.frequencies(lists)
+        if len(index.parts) < 2:
+            return index.postings(lists), index.frequencies(lists)
+        hits = staged(index.postings(lists), "hits")
+        return hits, hits.groupBy("term").agg(F.count("*").alias("df"))
+
     few = bags.select("profile", "term", "qw", F.xxhash64("term").alias("h")).limit(indexes.MOST_TERMS + 1).collect()
     if len(few) > indexes.MOST_TERMS:
         bags = staged(bags.select("profile", "term", "qw"), "bags")
-        lists = index.lists(bags)
-        return lists, broadcast_if_small(staged(weighted(bags, index.frequencies(lists), index.statistics()), "weights")), False
-    lists = index.lists(bags, {r["term"]: r["h"] for r in few if r["term"] is not None})
+        rows, df = found(index.lists(bags))
+        return rows, broadcast_if_small(staged(weighted(bags, df, index.statistics()), "weights")), False
+    rows, df = found(index.lists(bags, {r["term"]: r["h"] for r in few if r["term"] is not None}))
     kinds = f"profile {bags.schema['profile'].dataType.simpleString()}, term string, qw double"
     bags = F.broadcast(index.spark.createDataFrame([(r["profile"], r["term"], float(r["qw"])) for r in few], kinds))
-    return lists, F.broadcast(weighted(bags, index.frequencies(lists), index.statistics())), not few
+    return rows, F.broadcast(weighted(bags, df, index.statistics())), not few
 
 
 def top(items: DataFrame, bag: DataFrame, width: int, index: Index | None = None) -> DataFrame:
@@ -97,8 +107,8 @@ def top(items: DataFrame, bag: DataFrame, width: int, index: Index | None = None
         return zero
     bag = bag.select(F.lit(0).alias("profile"), "term", "qw")
     if index is not None:
-        lists, weights, empty = _from_index(index, bag)
-        return zero.orderBy("idx").limit(width) if empty else _best(_scored(index.postings(lists), weights), width)
+        rows, weights, empty = _from_index(index, bag)
+        return zero.orderBy("idx").limit(width) if empty else _best(_scored(rows, weights), width)
     scored = scores(hits_of(items, bag), bag).select("idx", F.round("score", 9).alias("score"))
     return _or_first(scored, zero, bag, width)
 
@@ -121,7 +131,7 @@ def top_by_bounds(index: Index, bag: DataFrame, width: int, seeds: int = 64) ->
     blocks only those whose bound reaches it are read. A block below it can't hold any of the best, ties included."""
     if width <= 0:
         return top(None, bag, width, index), 0, 0
-    lists, weights, empty = _from_index(index, bag.select(F.lit(0).alias("profile"), "term", "qw"))
+    lists, weights, empty = _from_index(index, bag.select(F.lit(0).alias("profile"), "term", "qw"), lists_only=True)
     if empty:
         return top(None, bag, width, index), 0, 0
     weights = broadcast_if_small(staged(weights, "weights"))  # as many rows as the bag has terms
@@ -150,8 +160,8 @@ def top_of_many(items: DataFrame, bags: DataFrame, width: int, index: Index | No
         weights = broadcast_if_small(staged(weighted(bags, frequencies, hits.statistics), "weights"))
         scored = _scored(hits.rows.repartition("idx"), weights)
     else:
-        lists, weights, _ = _from_index(index, bags)
-        scored = _scored(index.postings(lists), weights)
+        rows, weights, _ = _from_index(index, bags)
+        scored = _scored(rows, weights)
     order = W.partitionBy("profile").orderBy(F.desc("score"), "idx")
     ranked = scored.withColumn("score", F.round("score", 9)).withColumn("rank_no", F.row_number().over(order))
     return ranked.where(F.col("rank_no") <= width)

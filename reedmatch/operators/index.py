@@ -3,9 +3,9 @@
 A segment is a folder with four tables:
 
 * `items`: its own items, each with its terms and their counts as two values, from which segments are merged.
-* `postings`, partitioned by a hash of the term: a row for each term and block of about `block` items, with the
-  block's postings as two arrays and, beside them, their number, the greatest tf, the least length and whether
-  a title holds the term. Items of a block have about the same length. Rows lie sorted by term and block in
+* `postings`, partitioned by a hash of the term: a row for each term and block of about `block` items (unless given, 512, and
+  of shorter ones as many as have some number of words), with the block's postings as two arrays and, beside them, their number,
+  the greatest tf, the least length and whether a title holds the term. Items of a block have about the same length. Rows lie sorted by term and block in
   files of about equal numbers of rows, dealt by a hash of the block, so a frequent term, which has many blocks, is spread over files.
 * `gone` (idx, dl): the items of earlier segments that this one replaces or deletes.
 * `documents` (idx, dl): its own items; written last, so a segment whose writing broke off is not seen.
@@ -31,6 +31,8 @@ from ..sources.staging import broadcast_if_small, delete, run, staged
 from .terms import PACKED, counted
 
 BLOCK, ROWS_OF_FILE = 512, 400_000
+#: A block of short items has more than BLOCK of them, up to about this many words: most lists of a block are short, so larger blocks have fewer rows.
+WORDS_OF_BLOCK = 1 << 19
 POSTINGS_OF_TASK, POSTINGS_OF_PASS = 2_000_000, 1_000_000
 #: Up to this many terms are named in the scan's filters; more are joined.
 MOST_TERMS = 2000
@@ -119,17 +121,21 @@ def lists_of(placed: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, LISTS)
 
 
-def _write(spark: SparkSession, path: str, items: DataFrame, gone: DataFrame, block: int, rows_of_file: int) -> None:
-    """A segment of items (PACKED)."""
+def _kept(spark: SparkSession, path: str, items: DataFrame) -> DataFrame:
+    """The items (PACKED) of a new segment, written once and read again."""
     items.write.parquet(f"{path}/items")
-    items = spark.read.schema(PACKED).parquet(f"{path}/items")
+    return spark.read.schema(PACKED).parquet(f"{path}/items")
+
+
+def _write(spark: SparkSession, path: str, items: DataFrame, gone: DataFrame, block: int | None, rows_of_file: int) -> None:
+    """The rest of a segment whose items (PACKED) are written."""
     documents = staged(items.select("idx", "dl").distinct(), "lengths")
     # lengths within a tenth are one class; a class is dealt to blocks by a hash
     kind = F.floor(F.log(F.col("dl").cast("double")) / math.log(1.1)).cast("int")
     sizes = documents.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).orderBy("kind").collect()  # some hundred classes
     begin, rows = 0, []
     for r in sizes:
-        blocks = max(1, round(r["n"] / block))
+        blocks = max(1, round(r["n"] / (block or max(BLOCK, WORDS_OF_BLOCK / 1.1 ** r["kind"]))))
         rows.append({"kind": r["kind"], "first": begin, "blocks": blocks})
         begin += blocks
     kinds = pa.schema([("kind", pa.int32()), ("first", pa.int64()), ("blocks", pa.int64())])
@@ -138,13 +144,14 @@ def _write(spark: SparkSession, path: str, items: DataFrame, gone: DataFrame, bl
     placed = placed.select("block", "idx", "dl", "n", "terms", "numbers")
     total = items.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
 
-    def listed(some: DataFrame, postings: float) -> DataFrame:
+    def listed(some: DataFrame, postings: float, step: int = 1) -> DataFrame:
+        """Blocks go to tasks in turn, so that each has as many of every length."""
         tasks = max(spark.sparkContext.defaultParallelism, math.ceil(postings / POSTINGS_OF_TASK))
-        return lists_of(some.repartition(tasks, "block").sortWithinPartitions("block", "idx"))
+        return lists_of(some.repartitionById(tasks, F.expr(f"cast(block div {step} % {tasks} as int)")).sortWithinPartitions("block", "idx"))
 
     # the number of files follows from some blocks, evenly chosen; every list is written
     step = max(1, begin // 24)
-    about = step * listed(placed.where(F.col("block") % step == 0), total / step).count()
+    about = step * listed(placed.where(F.col("block") % step == 0), total / step, step).count()
     files = max(1, math.ceil(about / rows_of_file))
     buckets = 1 << max(0, math.ceil(math.log2(files / 4)))  # some files for each
     each = math.ceil(files / buckets)
@@ -158,13 +165,14 @@ def _write(spark: SparkSession, path: str, items: DataFrame, gone: DataFrame, bl
     documents.write.parquet(f"{path}/documents")
 
 
-def write(items: DataFrame, folder: str, block: int = BLOCK, rows_of_file: int = ROWS_OF_FILE) -> None:
+def write(items: DataFrame, folder: str, block: int | None = None, rows_of_file: int = ROWS_OF_FILE) -> None:
     """A new index of items in one segment."""
     spark = items.sparkSession
     if segments(spark, folder):
         raise ValueError(f"{folder} holds an index")
     with run(spark):
-        _write(spark, f"{folder}/segment-1-1", counted(items, packed=True), spark.range(0).select(F.col("id").alias("idx"), F.col("id").alias("dl")), block, rows_of_file)
+        path = f"{folder}/segment-1-1"
+        _write(spark, path, _kept(spark, path, counted(items, packed=True)), spark.range(0).select(F.col("id").alias("idx"), F.col("id").alias("dl")), block, rows_of_file)
 
 
 def change(spark: SparkSession, folder: str, items: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
@@ -175,14 +183,15 @@ def change(spark: SparkSession, folder: str, items: DataFrame | None = None, del
     with run(spark):
         if items is None:
             items = spark.createDataFrame([], "idx long, title string, text string")
-        found = staged(counted(items, packed=True), "counted")
+        path = f"{folder}/segment-{last + 1}-{last + 1}"
+        found = _kept(spark, path, counted(items, packed=True))
         ids = found.select("idx")
         ids = staged((ids if deleted is None else ids.union(deleted.select("idx"))).distinct(), "changed")
         gone = index.documents().join(ids, "idx", "left_semi")
-        _write(spark, f"{folder}/segment-{last + 1}-{last + 1}", found, gone, BLOCK, ROWS_OF_FILE)
+        _write(spark, path, found, gone, None, ROWS_OF_FILE)
 
 
-def compact(spark: SparkSession, folder: str, keep: int = 0, block: int = BLOCK, rows_of_file: int = ROWS_OF_FILE) -> None:
+def compact(spark: SparkSession, folder: str, keep: int = 0, block: int | None = None, rows_of_file: int = ROWS_OF_FILE) -> None:
     """Merges all segments but the first `keep` into one and deletes them, so that many small changes need not rewrite a
     large segment before them. Readers of the old ones must be done."""
     parts = read(spark, folder).parts
@@ -191,7 +200,8 @@ def compact(spark: SparkSession, folder: str, keep: int = 0, block: int = BLOCK,
         return
     with run(spark):
         gone = earlier.documents().join(merged._all("gone", "idx long, dl long").select("idx").distinct(), "idx", "left_semi")
-        _write(spark, f"{folder}/segment-{merged.parts[0].first}-{merged.parts[-1].last}", merged.items(), gone, block, rows_of_file)
+        path = f"{folder}/segment-{merged.parts[0].first}-{merged.parts[-1].last}"
+        _write(spark, path, _kept(spark, path, merged.items()), gone, block, rows_of_file)
     for part in merged.parts:
         delete(spark, part.path)
 
