@@ -70,11 +70,11 @@ class Policy:
         raise AssertionError("attempts must be positive")
 
 
-def made(requests: DataFrame, key: str, call: Callable[[str], str], at_once: int = 8, policy: Policy = Policy()) -> DataFrame:
+def made(requests: DataFrame, key: str, call: Callable[[str], str], at_once: int = 8, policy: Policy = Policy(), dealt: bool = False) -> DataFrame:
     """key, reply, error, kind (the class of the error) and tries for each row (key, request).
 
-    At most `at_once` calls run at a time: the rows are dealt to tasks of policy.threads threads each. A row without a
-    request is an error. Requests stream through a task a batch at a time."""
+    At most `at_once` calls run at a time: the rows are dealt to tasks of policy.threads threads each. `dealt`: the partitions are
+    about even, so that some are put together and no request is shuffled. A row without a request is an error. Requests stream through a task a batch at a time."""
     kind = requests.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,5 +86,6 @@ def made(requests: DataFrame, key: str, call: Callable[[str], str], at_once: int
                 yield out
 
     tasks = max(1, at_once // policy.threads)
-    rows = requests.select(key, "request").repartition(tasks, key).mapInPandas(run, f"`{key}` {kind}, reply string, error string, tries int")
+    requests = requests.select(key, "request")
+    rows = (requests.coalesce(tasks) if dealt else requests.repartition(tasks, key)).mapInPandas(run, f"`{key}` {kind}, reply string, error string, tries int")
     return rows.withColumn("kind", F.when(F.col("error").isNotNull(), error_class(F.col("error"))))

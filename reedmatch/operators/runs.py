@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, reduce
 from math import ceil
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import content_key
 from ..sources.staging import broadcast_if_small, delete, shared_folder, staged
 from .calls import Policy, made
 from .profile import has_content, merged, percent, shaped
 
-#: Parts of a wave's passages when they are written.
+#: Least number of parts of a wave's passages when they are written.
 PARTS = 8
 #: Up to this many cached keys are broadcast to the passages.
 MOST_KEYS = 500_000
@@ -95,28 +98,42 @@ def build(units: DataFrame, folder: str, extractor: Callable[[str], str], at_onc
     keys = units.select("unit_key").distinct()
     cached = staged(read_cache(spark, folder).join(keys, "unit_key", "left_semi"), "cached")
     waves = max(1, ceil((keys.count() - cached.count()) / wave))
+    # as many tasks as there are cores for, each with fewer threads: at_once still bounds the calls; each task gets as many parts
+    policy = replace(policy, threads=max(1, min(policy.threads, at_once // min(at_once, spark.sparkContext.defaultParallelism))))
+    tasks = max(1, at_once // policy.threads)
+    parts = tasks * ceil(PARTS / tasks)
     # written once with a folder for each wave, so that a wave reads its own passages alone; texts are moved once, as
     # cached keys too many to broadcast are dealt with them instead of being joined before
     path = f"{shared_folder(spark)}/todo-{uuid.uuid4().hex}"
-    of_wave, part = F.pmod(F.xxhash64("unit_key"), F.lit(waves)).cast("int"), F.pmod(F.crc32("unit_key"), F.lit(PARTS)).cast("int")
+    of_wave, part = F.pmod(F.xxhash64("unit_key"), F.lit(waves)).cast("int"), F.coalesce(F.pmod(F.crc32("unit_key"), F.lit(parts)), F.lit(0)).cast("int")
     known = cached.select("unit_key")
     small = broadcast_if_small(known, MOST_KEYS)
     todo = asked.withColumn("known", F.lit(False))
     todo = todo.join(small, "unit_key", "left_anti") if small is not known else todo.union(known.select("unit_key", F.lit(None).cast("string"), F.lit(True)))
-    dealt = todo.withColumns({"wave": of_wave, "part": part}).repartition(waves * PARTS, "wave", "part")
+    dealt = todo.withColumns({"wave": of_wave, "part": part}).repartition(waves * parts, "wave", "part")
     grouped = dealt.groupBy("wave", "part", "unit_key").agg(F.min("request").alias("request"), F.max("known").alias("known")).where("not known")
-    grouped.select("wave", "unit_key", "request").write.partitionBy("wave").parquet(path)
-    todo = spark.read.schema("unit_key string, request string, wave int").parquet(path)
+    grouped.select("wave", "part", "unit_key", "request").write.partitionBy("wave", "part").parquet(path)
+    todo = spark.read.schema("unit_key string, request string, wave int, part int").parquet(path)
     path = f"{shared_folder(spark)}/extracts-{uuid.uuid4().hex}"
-    # as many tasks as there are cores for, each with fewer threads: at_once still bounds the calls
-    policy = replace(policy, threads=max(1, min(policy.threads, at_once // min(at_once, spark.sparkContext.defaultParallelism))))
-    for w in range(waves):
-        replies = made(todo.where(F.col("wave") == w), "unit_key", extractor, at_once, policy).withColumnRenamed("reply", "extract")
-        replies.write.parquet(f"{path}/{w}")
-        mine = spark.read.schema(replies.schema).parquet(f"{path}/{w}")
+
+    def add(w: int, schema: StructType) -> None:
+        mine = spark.read.schema(schema).parquet(f"{path}/{w}")
         append(mine.where(F.col("error").isNull() & has_content(shaped(F.col("extract")))), folder, f"{batch}-{w}")
+
+    # a wave is added to the cache while the calls of the next one run; a build that breaks off adds the last one first
+    with ThreadPoolExecutor(1) as beside:
+        added = None
+        for w in range(waves):
+            # its parts are even and follow one another, so putting them together leaves the calls' tasks even
+            mine = reduce(DataFrame.union, (todo.where((F.col("wave") == w) & (F.col("part") == k)) for k in range(parts)))
+            replies = made(mine, "unit_key", extractor, at_once, policy, True).withColumnRenamed("reply", "extract")
+            replies.write.parquet(f"{path}/{w}")
+            if added:
+                added.result()
+            added = beside.submit(inheritable_thread_target(spark)(add), w, replies.schema)
+        added.result()
     calls = spark.read.schema(replies.schema).parquet(*(f"{path}/{w}" for w in range(waves)))
-    fresh = calls.where(F.col("error").isNull() & has_content(shaped(F.col("extract")))).select("unit_key", "extract")
+    fresh = spark.read.schema(CACHE).parquet(*(f"{folder}/batch-{batch}-{w}" for w in range(waves)))  # told from empty ones when they were added
     known = cached.select("unit_key", "extract", F.lit("cached").alias("how")).union(fresh.withColumn("how", F.lit("fresh")))
     known = staged(known.union(calls.where("error is not null").select("unit_key", F.lit(None).cast("string"), F.lit("failed"))), "known")
     rows = units.join(known, "unit_key", "left").join(calls.where("error is not null").select("unit_key", "error"), "unit_key", "left")
