@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import content_key
-from ..sources.staging import broadcast_if_small, delete, shared_folder, staged
+from ..sources.staging import delete, shared_folder, staged
 from .calls import Policy, made
 from .profile import has_content, merged, percent, shaped
 
 #: Least number of parts of a wave's passages when they are written.
 PARTS = 8
-#: Up to this many cached keys are broadcast to the passages.
-MOST_KEYS = 500_000
+#: Up to this many cached keys are broadcast to the passages; beyond, up to so many hashes of the keys that are not cached.
+MOST_KEYS, MOST_HASHES = 500_000, 1_000_000
 CACHE = "unit_key string, extract string"
 
 
@@ -97,19 +97,28 @@ def build(units: DataFrame, folder: str, extractor: Callable[[str], str], at_onc
     units = staged(units.select("profile", "idx", content_key("text").alias("unit_key")), "units")
     keys = units.select("unit_key").distinct()
     cached = staged(read_cache(spark, folder).join(keys, "unit_key", "left_semi"), "cached")
-    waves = max(1, ceil((keys.count() - cached.count()) / wave))
+    n_cached = cached.count()
+    n_missing = keys.count() - n_cached
+    waves = max(1, ceil(n_missing / wave))
     # as many tasks as there are cores for, each with fewer threads: at_once still bounds the calls; each task gets as many parts
     policy = replace(policy, threads=max(1, min(policy.threads, at_once // min(at_once, spark.sparkContext.defaultParallelism))))
     tasks = max(1, at_once // policy.threads)
     parts = tasks * ceil(PARTS / tasks)
     # written once with a folder for each wave, so that a wave reads its own passages alone; texts are moved once, as
-    # cached keys too many to broadcast are dealt with them instead of being joined before
+    # cached keys too many to broadcast are dealt with them instead of being joined before. Of a run that is taken up again few
+    # keys are not cached: texts without the hash of such a key are not moved at all (a cached key with one is dealt with them)
     path = f"{shared_folder(spark)}/todo-{uuid.uuid4().hex}"
     of_wave, part = F.pmod(F.xxhash64("unit_key"), F.lit(waves)).cast("int"), F.coalesce(F.pmod(F.crc32("unit_key"), F.lit(parts)), F.lit(0)).cast("int")
     known = cached.select("unit_key")
-    small = broadcast_if_small(known, MOST_KEYS)
     todo = asked.withColumn("known", F.lit(False))
-    todo = todo.join(small, "unit_key", "left_anti") if small is not known else todo.union(known.select("unit_key", F.lit(None).cast("string"), F.lit(True)))
+    if n_cached <= MOST_KEYS:
+        todo = todo.join(F.broadcast(known), "unit_key", "left_anti")
+    else:
+        todo = todo.union(known.select("unit_key", F.lit(None).cast("string"), F.lit(True)))
+        if n_missing <= MOST_HASHES:
+            hashed = F.xxhash64("unit_key").alias("hash")
+            missing = staged(keys.join(known, "unit_key", "left_anti").select(hashed), "missing")
+            todo = todo.select("*", hashed).join(F.broadcast(missing), "hash", "left_semi").drop("hash")
     dealt = todo.withColumns({"wave": of_wave, "part": part}).repartition(waves * parts, "wave", "part")
     grouped = dealt.groupBy("wave", "part", "unit_key").agg(F.min("request").alias("request"), F.max("known").alias("known")).where("not known")
     grouped.select("wave", "part", "unit_key", "request").write.partitionBy("wave", "part").parquet(path)
